@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import BLANKS, let, words_of
+from ampliflow.llm.common import BLANK_RUN, BLANKS, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices and page furniture (lower case); a line of few words that holds one is boilerplate.
@@ -38,9 +38,9 @@ class LineRules:
     max_repeat_percent: int = 20
 
 
-def _removed(text: Column, chars: str) -> Column:
-    """How many of ``chars`` the text holds."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _symbols(text: Column) -> Column:
+    """How many of ``SYMBOLS`` the text holds."""
+    return F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long")
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -65,12 +65,26 @@ def repeated_words(words: Column, window: int = 5) -> Column:
 
         return let(pairs, lambda s: let(starts(s), total))
 
-    def of_hashes(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(window)]))
-        return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
+    def shifted(a: Column, by: int) -> Column:
+        return F.slice(a, by + 1, F.size(a))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) > window, let(hashes, of_hashes)).otherwise(F.lit(0).cast("long"))
+    def doubled(runs: Column, by: int) -> Column:
+        return let(runs, lambda r: F.zip_with(r, shifted(r, by), lambda a, b: F.xxhash64(a, b)))
+
+    def grams(w: Column) -> Column:
+        """Hashes of all runs: those of 2, 4, 8 ... words are hashed in pairs, then single words are added."""
+        width, runs = 1, w
+        while 2 * width <= window:
+            runs = doubled(runs, width)
+            width *= 2
+        for at in range(width, window):
+            runs = F.zip_with(runs, shifted(w, at), lambda a, b: F.xxhash64(a, b))
+        return F.slice(runs, 1, F.size(w) - window + 1)
+
+    def of_words(w: Column) -> Column:
+        return let(grams(w), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
+
+    return let(words, lambda w: F.when(F.size(w) > window, of_words(w)).otherwise(F.lit(0).cast("long")))
 
 
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
@@ -78,15 +92,16 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
 
     def judge(w: Column) -> Column:
         n = F.size(w)
-        letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-        upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+        letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+        upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+        bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
         lower = F.lower(line)
         phrase = F.lit(False)
         for p in BOILERPLATE:
             phrase = phrase | lower.contains(p)
         return (
-            (_removed(line, SYMBOLS) > rules.max_symbols_per_word * n)
-            | (_removed(line, "|") > rules.max_bars_per_word * n)
+            (_symbols(line) > rules.max_symbols_per_word * n)
+            | (bars > rules.max_bars_per_word * n)
             | ((n >= rules.min_upper_words) & (upper > rules.max_upper_share * letters))
             | ((n >= rules.min_distinct_words) & (F.size(F.array_distinct(w)) < rules.min_distinct_share * n))
             | ((n < rules.min_unended_words) & ~line.rlike(r"[.!?:;,\"'”»…)\]][\x20\x09-\x0D]*$"))
@@ -110,8 +125,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     judged = lines.withColumns(
         {
             "qr_n_words": F.size("qr_words").cast("long"),
-            "qr_word_chars": (F.length(text) - (F.length(text) - F.length(F.translate(text, BLANKS, "")))).cast("long"),
-            "qr_n_symbols": _removed(text, SYMBOLS),
+            "qr_word_chars": F.length(F.regexp_replace(text, BLANK_RUN, "")).cast("long"),
+            "qr_n_symbols": _symbols(text),
             "qr_n_lines": F.size("qr_lines").cast("long"),
             "qr_n_dup_lines": (F.size("qr_lines") - F.size(F.array_distinct("qr_lines"))).cast("long"),
             "qr_n_repeat_words": repeated_words(F.col("qr_words"), rules.window),
