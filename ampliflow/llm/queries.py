@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliflow.llm import quality_rules
+from ampliflow.llm import fingerprints, license_scan, quality_rules, simhash_dedup
 from ampliflow.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op1_query(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7_query(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.op8_query(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op9_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op7_quality_rules": op7_quality_rules,
+    "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.ORACLE,
+    "op9_license_scan": license_scan.ORACLE,
 }
