@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliflow.llm import fingerprints, license_scan, quality_rules, simhash_dedup
+from ampliflow.llm import bpe, fingerprints, license_scan, line_crf, packing, quality_rules, simhash_dedup
 from ampliflow.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; its folder has the same place on all machines."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op1_query(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op4_query(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.op5_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7_query(table(spark, sf_dir, "documents"))
 
@@ -26,11 +41,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op9_query(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_bpe": op4_bpe,
+    "op5_line_crf": op5_line_crf,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
