@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliflow.llm import bpe, fingerprints, license_scan, line_crf, packing, quality_rules, simhash_dedup
+from ampliflow.llm import bpe, fingerprints, license_scan, line_crf, maxent_lm, packing, quality_rules, simhash_dedup, suffix_dedup
 from ampliflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op1_query(table(spark, sf_dir, "documents"))
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.op3_query(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4_query(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -29,6 +33,10 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.op5_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op6_query(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7_query(table(spark, sf_dir, "documents"))
 
@@ -47,8 +55,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_maxent_lm": op3_maxent_lm,
     "op4_bpe": op4_bpe,
     "op5_line_crf": op5_line_crf,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
