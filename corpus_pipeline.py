@@ -28,9 +28,9 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is below the classifier's threshold."""
+    """Drops documents whose quality score is below the threshold of a classifier that learned from the whole documents and labels."""
     docs = docs.select(*COLUMNS)
-    crf = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    crf = line_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return line_crf.score(docs, crf, out_col="quality_score").where(F.col("quality_score") >= line_crf.THRESHOLD).select(*COLUMNS)
 
 
