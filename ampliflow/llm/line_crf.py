@@ -139,13 +139,13 @@ def score_of(crf: LineCrf, share: np.ndarray) -> np.ndarray:
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 120, rate: float = 0.08, ridge: float = 1e-3) -> LineCrf:
     """Gradient ascent (Adam) on the mean log-likelihood of the lines, which bear their document's label.
 
-    Both labels weigh the same in sum. Without documents of both labels every text gets the score 0.5 at a share of one half.
+    Both labels weigh the same in sum. If only one label is known every text gets nearly that; without labels, one half.
     """
     crf = LineCrf(np.zeros((PLACES, WIDTH + 1)), np.zeros((2, 2)))
     keep = [k for k, (x, _) in enumerate(docs) if len(x)]
     labels = np.asarray(labels, float)
     if not keep or len({labels[k] for k in keep}) < 2:
-        return LineCrf(crf.weights, crf.steps, (1.0, -0.5))
+        return LineCrf(crf.weights, crf.steps, (0.0, 3.0 * float(np.sign(2 * labels - 1).mean()) if len(labels) else 0.0))
     feats, y = [docs[k][0] for k in keep], labels[keep]
     parts = [(_layout([feats[k] for k in group]), np.array([len(feats[k]) for k in group]), group) for group in (np.flatnonzero(y == v) for v in (0.0, 1.0))]
     moments = [np.zeros((2, *w.shape)) for w in (crf.weights, crf.steps)]
