@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliflow.llm import bpe, fingerprints, license_scan, line_crf, maxent_lm, packing, quality_rules, simhash_dedup, suffix_dedup
+from ampliflow.llm import bpe, fingerprints, html_extract, license_scan, line_crf, maxent_lm, packing, quality_rules, simhash_dedup, suffix_dedup
 from ampliflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op1_query(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op2_query(table(spark, sf_dir, "pages"))
+
+
 def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.op3_query(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_html_extract": op2_html_extract,
     "op3_maxent_lm": op3_maxent_lm,
     "op4_bpe": op4_bpe,
     "op5_line_crf": op5_line_crf,
