@@ -1,10 +1,371 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries and their SQL oracles, one for each operator family."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ampliflow.functions import dna
+from ampliflow.operators import sparse
+from ampliflow.operators.database import primer_table
+from ampliflow.operators.mapper import ReadMapper
+from ampliflow.operators.primers import best_hit, edge_hit
+from ampliflow.operators.simjoin import hamming_join
+from ampliflow.operators.staging import dense_index
+from ampliflow.plans import fixture as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers the function under its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Without the sample column: the driver's tables are one sample."""
+    return df.drop("sample")
+
+
+# Sequence functions.
+
+_RC = f"translate(reverse(codes_t), '{dna.COMPLEMENT[0]}', '{dna.COMPLEMENT[1]}')"
+
+
+@query(f"WITH {fx.SQL_DNA} SELECT doc_id, {_RC} AS rc FROM (SELECT doc_id, replace(codes, 'U', 'T') AS codes_t FROM dna)")
+def dna_revcomp(spark, sf_dir):
+    return fx.dna(spark, sf_dir).select("doc_id", dna.reverse_complement(dna.as_dna(F.col("codes"))).alias("rc"))
+
+
+@query(f"WITH {fx.SQL_DNA} SELECT doc_id, length(regexp_replace(codes, '[ACGTU]', '', 'g'))::INT AS n_ambiguous, substr(codes, 1, 1) NOT IN ('A', 'C', 'G', 'T', 'U') AND codes <> '' AS first_ambiguous FROM dna")
+def dna_ambiguity(spark, sf_dir):
+    first = F.coalesce(dna.is_ambiguous(F.substring("codes", 1, 1)), F.lit(False))
+    return fx.dna(spark, sf_dir).select("doc_id", dna.count_ambiguous(F.col("codes")).alias("n_ambiguous"), first.alias("first_ambiguous"))
+
+
+@query(f"WITH {fx.SQL_DNA} SELECT doc_id, regexp_matches(u, '^[{dna.SYMBOLS}]*$') AS letters_valid, regexp_matches(codes, '^[{dna.SYMBOLS}]*$') AS codes_valid FROM dna JOIN l USING (doc_id)")
+def dna_validate(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", fx.letters(F.col("text")).alias("u"))
+    return docs.select("doc_id", dna.is_valid(F.col("u")).alias("letters_valid"), dna.is_valid(F.translate("u", fx._UPPER, fx._CODES)).alias("codes_valid"))
+
+
+_MATCH = "MAP {'A':'A','C':'C','G':'G','T':'T','U':'-','R':'AG','Y':'CT','S':'G','W':'AT','K':'GT','M':'AC','B':'CGT','D':'AGT','H':'ACT','V':'ACG','N':'ACGT'}"
+
+
+@query(f"""WITH {fx.SQL_DNA} SELECT doc_id, coalesce(list_sum([CASE WHEN contains({_MATCH}[p[k]], s[k]) THEN 0 ELSE 1 END FOR k IN range(1, least(length(p), length(s)) + 1)]), 0)::INT AS mm
+FROM (SELECT doc_id, substr(codes, 1, 60) AS p, substr(dna, 61, 60) AS s FROM dna)""")
+def dna_mismatches(spark, sf_dir):
+    return fx.dna(spark, sf_dir).select("doc_id", dna.mismatches(F.substring("codes", 1, 60), F.substring("dna", 61, 60)).alias("mm"))
+
+
+@query(fx.sql_with(fx.SQL_DNA, "tpl AS (SELECT doc_id, replace(substr(codes, 1, 12), 'U', 'T') AS t FROM dna WHERE length(regexp_replace(substr(codes, 1, 12), '[ACGTU]', '', 'g')) <= 3)",
+    f"grow AS (SELECT doc_id, '' AS v, t AS rest FROM tpl UNION ALL SELECT doc_id, v || b, rest[2:] FROM (SELECT doc_id, v, rest, unnest(string_split({fx._EXPANSION}[rest[1]], '')) AS b FROM grow WHERE rest <> ''))") + " SELECT doc_id, v AS variant FROM grow WHERE rest = ''")
+def disambiguate(spark, sf_dir):
+    t = fx.dna(spark, sf_dir).select("doc_id", dna.as_dna(F.substring("codes", 1, 12)).alias("t"))
+    return t.where(dna.count_ambiguous(F.col("t")) <= 3).select("doc_id", F.explode(dna.disambiguate("t")).alias("variant"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(pow(0.005 / 3, l_linenumber) * pow(1 - 0.005, 320 - l_linenumber), 12) AS p, round(l_extendedprice / 7)::BIGINT AS rounded, greatest(0.0001 * l_extendedprice, 2.0) AS least FROM lineitem")
+def error_model(spark, sf_dir):
+    n, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    p = F.round(dna.error_probability(n, F.lit(320), 0.005), 12)
+    return fx.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"), dna.rounded_count(price / 7).alias("rounded"), dna.threshold(0.0001, price, 2).alias("least"))
+
+
+# Primers.
+
+
+@query(fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_HITS) + " SELECT seq_no, region, side, mm::INT AS mm, pos::INT AS pos FROM hits")
+def primer_best_hit(spark, sf_dir):
+    primers = primer_table(spark, fx.PRIMERS)
+    each = primers.select("region", F.lit("fwd").alias("side"), F.col("fwd").alias("p")).unionByName(primers.select("region", F.lit("bwd").alias("side"), dna.reverse_complement(F.col("bwd")).alias("p")))
+    return fx.references(spark, sf_dir).crossJoin(F.broadcast(each)).select("seq_no", "region", "side", best_hit("sequence", "p").alias("h")).select("seq_no", "region", "side", "h.mm", "h.pos")
+
+
+@query(fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_READS, fx.SQL_COUNTS) + " SELECT region, side, mm::INT AS mm, pos::INT AS pos, sum(n)::BIGINT AS n FROM edge GROUP BY ALL")
+def primer_edge_hit(spark, sf_dir):
+    primers = primer_table(spark, fx.PRIMERS)
+    each = primers.select("region", F.lit("fwd").alias("side"), F.col("fwd").alias("p")).unionByName(primers.select("region", F.lit("bwd").alias("side"), F.col("bwd").alias("p")))
+    hit = edge_hit()
+    read = F.when(F.col("side") == "fwd", F.col("fwd")).otherwise(F.col("bwd"))
+    found = fx.reads(spark, sf_dir).crossJoin(F.broadcast(each)).select("region", "side", hit(read, F.col("p")).alias("h"))
+    return found.select("region", "side", "h.mm", "h.pos").groupBy("region", "side", "mm", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The database.
+
+_BUILD = fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_SKETCHES)
+
+
+@query(f"{_BUILD} SELECT region, j, name, fwd_kmer, bwd_kmer, fwd_mm, bwd_mm FROM sketches")
+def build_sketches(spark, sf_dir):
+    return fx.database(spark, sf_dir).sketches
+
+
+@query(f"{_BUILD} SELECT region, side, kmer_id, kmer FROM kmers")
+def build_kmer_dict(spark, sf_dir):
+    return fx.database(spark, sf_dir).kmers.select("region", "side", "kmer_id", "kmer")
+
+
+@query(f"{_BUILD} SELECT region, h, fwd_id, bwd_id FROM pairs")
+def build_pair_dict(spark, sf_dir):
+    return fx.database(spark, sf_dir).pairs
+
+
+@query(f"{_BUILD} SELECT region, h, j, round(x, 12) AS x FROM m")
+def build_matrix_m(spark, sf_dir):
+    return fx.database(spark, sf_dir).m.withColumn("x", F.round("x", 12))
+
+
+@query(f"{_BUILD} SELECT j, name, original_name, amplified FROM amplified")
+def build_amplified(spark, sf_dir):
+    return fx.database(spark, sf_dir).refs.select("j", "name", "original_name", "amplified")
+
+
+@query(f"{_BUILD} SELECT r.region, a.j, coalesce(p, false) AS perfect FROM amplified a CROSS JOIN (SELECT DISTINCT region FROM variants) r LEFT JOIN (SELECT region, j, bool_or(fwd_mm = 0 AND bwd_mm = 0) AS p FROM sketches GROUP BY ALL) s ON s.region = r.region AND s.j = a.j")
+def build_perfect_match(spark, sf_dir):
+    return fx.database(spark, sf_dir).perfect
+
+
+# Reads.
+
+_COUNT = fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_READS, fx.SQL_COUNTS)
+
+
+@query(f"{_COUNT} SELECT region, fwd, bwd, n FROM counts")
+def read_counts(spark, sf_dir):
+    mapper = ReadMapper(None, primers=primer_table(spark, fx.PRIMERS), kmer_length=160)
+    return plain(mapper.read_counts(fx.reads(spark, sf_dir)))
+
+
+@query(f"{_COUNT} SELECT region, total AS n FROM assigned")
+def region_assigned(spark, sf_dir):
+    return plain(ReadMapper.assigned(fx.counts(spark, sf_dir)))
+
+
+@query(f"{_COUNT} SELECT region, fwd, bwd, n FROM frequent")
+def read_threshold(spark, sf_dir):
+    return plain(ReadMapper(fx.database(spark, sf_dir)).frequent(fx.counts(spark, sf_dir)))
+
+
+_E = fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_SKETCHES, fx.SQL_READS, fx.SQL_COUNTS, fx.SQL_PROBABILITIES)
+
+
+@query(f"{_E} SELECT region, fwd AS q, fwd_id AS kmer_id, mm::INT AS mm FROM mf")
+def hamming_join_seed(spark, sf_dir):
+    return _hamming(spark, sf_dir, "seed")
+
+
+@query(f"{_E} SELECT region, fwd AS q, fwd_id AS kmer_id, mm::INT AS mm FROM mf")
+def hamming_join_scan(spark, sf_dir):
+    return _hamming(spark, sf_dir, "scan")
+
+
+def _hamming(spark, sf_dir, strategy):
+    db = fx.database(spark, sf_dir)
+    queries = ReadMapper(db).frequent(fx.counts(spark, sf_dir)).select("region", F.col("fwd").alias("q")).distinct()
+    return hamming_join(queries, db.kmers.where("side = 'fwd'").select("region", "kmer_id", "kmer"), 2, db.k, strategy)
+
+
+@query(f"{_E} SELECT region, fwd, bwd, n, h, ne, round(p, 12) AS p FROM e")
+def read_probabilities(spark, sf_dir):
+    mapper = ReadMapper(fx.database(spark, sf_dir))
+    return plain(mapper.probabilities(mapper.frequent(fx.counts(spark, sf_dir)))).withColumn("p", F.round("p", 12))
+
+
+_Q = fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_SKETCHES, fx.SQL_READS, fx.SQL_COUNTS, fx.SQL_PROBABILITIES, fx.SQL_Q)
+
+
+@query(f"{_Q} SELECT region, sum(n)::BIGINT AS n FROM ri GROUP BY region")
+def region_mapped(spark, sf_dir):
+    return plain(fx.mapping(spark, sf_dir).mapped)
+
+
+@query(f"{_Q} SELECT i, j, round(x, 10) AS x FROM q")
+def mapping_matrix_q(spark, sf_dir):
+    return plain(fx.mapping(spark, sf_dir).q).withColumn("x", F.round("x", 10))
+
+
+@query(f"{_Q} SELECT i, region, n, round(y, 12) AS y FROM y")
+def mapping_vector_y(spark, sf_dir):
+    return plain(fx.mapping(spark, sf_dir).y).withColumn("y", F.round("y", 12))
+
+
+@query(f"{_Q} SELECT j, g, rep_j FROM groups")
+def mapping_groups(spark, sf_dir):
+    return plain(fx.mapping(spark, sf_dir).groups)
+
+
+# Estimation.
+
+
+def _pi(steps: int) -> str:
+    return f"{_Q}{fx.sql_steps(steps)} SELECT g, round(pi, 10) AS pi FROM pi{steps}"
+
+
+@query(_pi(0))
+def initial_pi(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir).pi).withColumn("pi", F.round("pi", 10))
+
+
+@query(_pi(1))
+def refine_1(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir, 1).pi).withColumn("pi", F.round("pi", 10))
+
+
+@query(_pi(3))
+def refine_3(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir, 3).pi).withColumn("pi", F.round("pi", 10))
+
+
+@query(f"{_Q}{fx.sql_steps(3)} SELECT round(sum(change), 10) AS l1 FROM pi3")
+def refine_error(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir, 3).l1).withColumn("l1", F.round("l1", 10))
+
+
+@query()
+def refine_converged(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir).refine().pi)
+
+
+_READ_OUT = f"{_Q},{fx.sql_readouts(0)}"
+
+
+@query(f"{_READ_OUT} SELECT j, round(proportion, 10) AS proportion FROM prop")
+def proportions(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir).proportions()).withColumn("proportion", F.round("proportion", 10))
+
+
+@query(f"{_READ_OUT} SELECT j, round(proportion, 10) AS proportion, round(frequency, 10) AS frequency FROM freq")
+def frequencies(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir).frequencies()).withColumns({c: F.round(c, 10) for c in ("proportion", "frequency")})
+
+
+@query(f"{_READ_OUT} SELECT j, mapped FROM mp")
+def mapped_by_reference(spark, sf_dir):
+    return plain(fx.estimate(spark, sf_dir).mapped_by_reference())
+
+
+@query(f"{_READ_OUT} SELECT f.name AS id, 'lang;' || d.lang AS taxonomy, round(proportion, 10) AS proportion, round(frequency, 10) AS frequency, mapped FROM freq f JOIN mp USING (j) LEFT JOIN documents d ON 'ref' || d.doc_id = f.name WHERE frequency > 0")
+def taxonomy_report(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents").select(F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("lang;"), "lang").alias("lineage"))
+    return plain(fx.estimate(spark, sf_dir).report(docs)).drop("j").withColumns({c: F.round(c, 10) for c in ("proportion", "frequency")})
+
+
+# Sparse algebra over line items: rows are orders, columns suppliers.
+
+_A = "a AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL)"
+_B = "b AS (SELECT l_suppkey AS i, l_partkey % 50 AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL)"
+_T = "t AS (SELECT l_suppkey AS i, l_partkey % 40 AS j, sum(l_quantity) AS x FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 40 < 20 GROUP BY ALL), k AS (SELECT i, CASE WHEN j >= 10 THEN 10 + j % 3 ELSE j END AS j, 1.0::DOUBLE AS x FROM t)"
+
+
+def _triples(spark, sf_dir, i: str, j: str) -> DataFrame:
+    return fx.read(spark, sf_dir, "lineitem").groupBy(F.expr(i).alias("i"), F.expr(j).alias("j")).agg(F.sum("l_quantity").alias("x"))
+
+
+def _a(spark, sf_dir):
+    return _triples(spark, sf_dir, "l_orderkey", "l_suppkey")
+
+
+def _b(spark, sf_dir):
+    return _triples(spark, sf_dir, "l_suppkey", "l_partkey % 50")
+
+
+@query(f"WITH {_A}, {_B} SELECT a.i, b.j, sum(a.x * b.x) AS x FROM a JOIN b ON a.j = b.i GROUP BY ALL")
+def spgemm(spark, sf_dir):
+    return sparse.dot(_a(spark, sf_dir), _b(spark, sf_dir))
+
+
+@query(f"WITH {_A} SELECT a.i, sum(a.x * (s_suppkey % 7)) AS x FROM a JOIN supplier ON j = s_suppkey GROUP BY a.i")
+def spmv(spark, sf_dir):
+    v = fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") % 7).cast("double").alias("x"))
+    return sparse.matrix_vector(_a(spark, sf_dir), v)
+
+
+@query(f"WITH {_A} SELECT a.j, sum(a.x * (o_orderkey % 5)) AS x FROM a JOIN orders ON i = o_orderkey GROUP BY a.j")
+def vspm(spark, sf_dir):
+    v = fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 5).cast("double").alias("x"))
+    return sparse.vector_matrix(v, _a(spark, sf_dir))
+
+
+@query(f"WITH {_A} SELECT j, sum(x) AS x FROM a GROUP BY j")
+def axis_sum_rows(spark, sf_dir):
+    return sparse.axis_sum(_a(spark, sf_dir), "rows")
+
+
+@query(f"WITH {_A} SELECT i, sum(x) AS x FROM a GROUP BY i")
+def axis_sum_columns(spark, sf_dir):
+    return sparse.axis_sum(_a(spark, sf_dir), "columns")
+
+
+@query(f"WITH {_A}, {_B} SELECT i, j, x FROM a UNION ALL SELECT i + 10000000, j, x FROM b")
+def vstack(spark, sf_dir):
+    return sparse.vstack((_a(spark, sf_dir), 10_000_000), (_b(spark, sf_dir), 0))
+
+
+@query(f"WITH {_A}, {_B} SELECT i, j, sum(x) AS x FROM (SELECT * FROM a UNION ALL SELECT i, j, -x AS x FROM b) GROUP BY ALL HAVING sum(x) <> 0")
+def matrix_add(spark, sf_dir):
+    return sparse.add(_a(spark, sf_dir), _b(spark, sf_dir).withColumn("x", -F.col("x")))
+
+
+@query(f"WITH {_A} SELECT i, s_suppkey // 2 AS j, x FROM a JOIN supplier ON s_suppkey % 3 = j % 3 AND s_suppkey = j")
+def select_columns(spark, sf_dir):
+    mapping = fx.read(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 2").alias("new_j"), F.col("s_suppkey").alias("old_j"))
+    return sparse.select_columns(_a(spark, sf_dir), mapping)
+
+
+@query(f"WITH {_A} SELECT count(*) AS nnz FROM a WHERE x <> 0")
+def nnz(spark, sf_dir):
+    return sparse.nnz(_a(spark, sf_dir))
+
+
+@query(f"WITH {_A} SELECT i AS j, j AS i, x FROM a")
+def transpose(spark, sf_dir):
+    return sparse.transpose(_a(spark, sf_dir))
+
+
+@query("SELECT s_suppkey AS i, (s_suppkey % 11) / (SELECT sum(s_suppkey % 11) FROM supplier) AS x FROM supplier")
+def vector_normalize(spark, sf_dir):
+    return sparse.normalized(fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") % 11).cast("double").alias("x")))
+
+
+#: Columns that repeat others, by copying columns 0 to 19 to 20 to 39; columns 40 to 44 are empty.
+_DUPLICATED = f"WITH {_B}, d AS (SELECT i, j, x FROM b WHERE j < 20 UNION ALL SELECT i, j + 20, x FROM b WHERE j < 20), s AS (SELECT c.j, coalesce(list((i, x) ORDER BY i) FILTER (i IS NOT NULL), []) AS s FROM (SELECT unnest(range(0, 45)) AS j) c LEFT JOIN d USING (j) GROUP BY c.j), r AS (SELECT s, min(j) AS rep_j, row_number() OVER (ORDER BY len(s), min(j)) - 1 AS g FROM s GROUP BY s)"
+
+
+def _duplicated(spark, sf_dir) -> DataFrame:
+    b = _b(spark, sf_dir).where("j < 20")
+    d = b.unionByName(b.withColumn("j", F.col("j") + 20))
+    return sparse.column_groups(d, spark.range(45).select(F.col("id").alias("j")))
+
+
+@query(f"{_DUPLICATED} SELECT j, g, rep_j FROM s JOIN r USING (s)")
+def unique_columns(spark, sf_dir):
+    return _duplicated(spark, sf_dir)
+
+
+@query(f"{_DUPLICATED} SELECT j, j <> rep_j AS duplicate FROM s JOIN r USING (s)")
+def duplicate_columns(spark, sf_dir):
+    return sparse.duplicate_columns(_duplicated(spark, sf_dir)).select("j", "duplicate")
+
+
+@query("SELECT n_name, (row_number() OVER (ORDER BY n_name) - 1)::BIGINT AS idx FROM nation")
+def ordered_dictionary(spark, sf_dir):
+    return dense_index(fx.read(spark, sf_dir, "nation").select("n_name").distinct(), ["n_name"], "idx")
+
+
+@query("SELECT n_name, n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::BIGINT AS idx FROM nation")
+def ordered_dictionary_by(spark, sf_dir):
+    w = Window.partitionBy("n_regionkey").orderBy("n_name")
+    return fx.read(spark, sf_dir, "nation").select("n_name", "n_regionkey", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+
