@@ -26,12 +26,16 @@ def best_hit_of(sequence: str, primer: str, masks: np.ndarray, bits: np.ndarray)
 
 
 @F.pandas_udf(HIT)
-def best_hit(sequence: pd.Series, primer: pd.Series) -> pd.DataFrame:
+def _best_hit(sequence: pd.Series, primer: pd.Series) -> pd.DataFrame:
     masks, bits = match_masks(), base_bits()
     hits = [None if s is None or p is None else best_hit_of(s, p, masks, bits) for s, p in zip(sequence, primer)]
     return pd.DataFrame({"mm": pd.array([h and h[0] for h in hits] if hits else [], dtype="Int32"), "pos": pd.array([h and h[1] for h in hits] if hits else [], dtype="Int32")})
 
 
+#: Said to be not deterministic, so that a filter on a hit isn't pushed below and the kernel run twice.
+best_hit = _best_hit.asNondeterministic()
+
+
 def edge_hits(reads: list[str], primer: str, region: int, masks: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cost, offset) for reads that are as long as the primer or longer.
 
@@ -74,4 +78,4 @@ def edge_hit(region: int = 20):
         none = mm < 0
         return pd.DataFrame({"mm": pd.Series(mm, dtype="Int32").mask(none), "pos": pd.Series(pos, dtype="Int32").mask(none)})
 
-    return hit
+    return hit.asNondeterministic()

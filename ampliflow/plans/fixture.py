@@ -108,10 +108,12 @@ grown AS (SELECT region, side, primer, '' AS v, primer AS rest FROM given
   UNION ALL SELECT region, side, primer, v || b, rest[2:] FROM (SELECT region, side, primer, v, rest, unnest(string_split({_EXPANSION}[rest[1]], '')) AS b FROM grown WHERE rest <> '')),
 variants AS (SELECT region::INT AS region, side, v, CASE WHEN side = 'fwd' THEN v ELSE translate(reverse(v), 'ACGT', 'TGCA') END AS on_ref FROM grown WHERE rest = '')"""
 
+#: Places without a mismatch are found by text search; only where there is none are all places compared.
 SQL_HITS = """
-spots AS (SELECT seq_no, sequence, unnest(range(0, length(sequence) - 16)) AS pos FROM refs),
-costs AS (SELECT seq_no, region, side, pos, min(hamming(on_ref, sequence[pos + 1 : pos + length(on_ref)])) AS mm FROM spots JOIN variants ON pos + length(on_ref) <= length(sequence) GROUP BY ALL),
-hits AS (SELECT seq_no, region, side, arg_min(pos, (mm, pos)) AS pos, min(mm) AS mm FROM costs GROUP BY ALL)"""
+exact AS (SELECT seq_no, region, side, min(CASE WHEN contains(sequence, on_ref) THEN strpos(sequence, on_ref) - 1 END) AS pos FROM refs, variants GROUP BY ALL),
+best AS (SELECT seq_no, region, side, min(list_min([{'mm': hamming(on_ref, sequence[pos + 1 : pos + length(on_ref)]), 'pos': pos} FOR pos IN range(0, length(sequence) - length(on_ref) + 1)])) AS b
+  FROM (SELECT seq_no, region, side FROM exact WHERE pos IS NULL) JOIN refs USING (seq_no) JOIN variants USING (region, side) GROUP BY ALL),
+hits AS (SELECT seq_no, region, side, 0 AS mm, pos FROM exact WHERE pos IS NOT NULL UNION ALL SELECT seq_no, region, side, b.mm, b.pos FROM best)"""
 
 SQL_SKETCHES = f"""
 {SQL_HITS},
@@ -131,11 +133,10 @@ amplified AS (SELECT seq_no AS j, id AS original_name, coalesce(n, 0)::INT AS am
 
 SQL_COUNTS = """
 offers AS (SELECT fwd, bwd, count(*) AS n FROM reads GROUP BY ALL),
-steps AS (SELECT unnest(range(-20, 20)) AS i),
-tried AS (SELECT o.fwd, o.bwd, o.n, v.region, v.side, i, min(CASE WHEN i >= 0 THEN hamming(v.v, substr(CASE WHEN v.side = 'fwd' THEN o.fwd ELSE o.bwd END, (i + 1)::INT, length(v.v)))
-    ELSE hamming(v.v[1 - i:], substr(CASE WHEN v.side = 'fwd' THEN o.fwd ELSE o.bwd END, 1, (length(v.v) + i)::INT)) - i END) AS cost
-  FROM offers o, variants v, steps WHERE i > -length(v.v) AND i < least(20, length(CASE WHEN v.side = 'fwd' THEN o.fwd ELSE o.bwd END) - length(v.v)) GROUP BY ALL),
-edge AS (SELECT fwd, bwd, n, region, side, min(cost) AS mm, arg_min(i, (cost, i)) AS pos FROM tried GROUP BY ALL),
+ends AS (SELECT DISTINCT 'fwd' AS side, fwd AS r FROM offers UNION ALL SELECT DISTINCT 'bwd', bwd FROM offers),
+edges AS (SELECT r, region, v.side AS side, min(list_min([{'mm': CASE WHEN i >= 0 THEN hamming(v.v, r[i + 1 : i + length(v.v)]) ELSE hamming(v.v[1 - i :], r[: length(v.v) + i]) - i END, 'pos': i}
+    FOR i IN range(1 - length(v.v), least(20, length(r) - length(v.v)))])) AS b FROM ends JOIN variants v ON v.side = ends.side GROUP BY ALL),
+edge AS (SELECT fwd, bwd, n, region, e.side AS side, b.mm AS mm, b.pos AS pos FROM offers JOIN edges e ON r = CASE WHEN e.side = 'fwd' THEN fwd ELSE bwd END),
 placed AS (SELECT f.region, f.n, substr(f.fwd, (f.pos + 1 + (SELECT length(primer) FROM given g WHERE g.region = f.region AND g.side = 'fwd'))::INT, 160) AS fwd,
     substr(f.bwd, (b.pos + 1 + (SELECT length(primer) FROM given g WHERE g.region = f.region AND g.side = 'bwd'))::INT, 160) AS bwd
   FROM edge f JOIN edge b ON f.fwd = b.fwd AND f.bwd = b.bwd AND f.region = b.region AND f.side = 'fwd' AND b.side = 'bwd' WHERE f.mm <= 2 AND b.mm <= 2),
