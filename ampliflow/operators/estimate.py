@@ -102,7 +102,8 @@ class Estimate:
             return pd.DataFrame({"sample": pi["sample"].to_numpy(), "g": pi["g"].to_numpy(), "pi": share, "l1": l1})
 
         done = entries.groupBy("sample").cogroup(self.pi.groupBy("sample")).applyInPandas(run, "sample string, g long, pi double, l1 double")
-        done = stage(done, "refined")
+        nan = F.lit(float("nan"))  # pandas hands it back as null
+        done = stage(done.select("sample", "g", F.coalesce("pi", nan).alias("pi"), F.coalesce("l1", nan).alias("l1")), "refined")
         return replace(self, pi=done.select("sample", "g", "pi"), l1=done.groupBy("sample").agg(F.max("l1").alias("l1")))
 
     def proportions(self) -> DataFrame:

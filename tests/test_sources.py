@@ -44,3 +44,20 @@ def test_stream_equals_batch(spark, tmp_path):
     count_stream(mapper, stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     counted = totals(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted(map(tuple, counted)) == sorted(map(tuple, mapper.read_counts(reads).collect())) and counted[0]["n"] == 7
+
+
+def test_command_line(spark, tmp_path):
+    from ampliflow import cli
+    from tests.test_profile import READS, REFERENCES
+
+    (tmp_path / "refs.fa").write_text("".join(f">b{n + 1}\n{s}\n" for n, s in enumerate(REFERENCES)))
+    pairs = [(f, b) for n, f, b in READS for _ in range(n)]
+    for k, name in enumerate(("r1", "r2")):
+        (tmp_path / f"{name}.fq").write_text("".join(f"@{i}\n{p[k]}\n+\n{'I' * len(p[k])}\n" for i, p in enumerate(pairs)))
+    (tmp_path / "tax.tsv").write_text("".join(f"b{n}\tk;{n}\n" for n in range(1, 7)))
+    args = ["--references", f"{tmp_path}/refs.fa", "--database", f"{tmp_path}/db", "--primers", "ACCGTA,TTGACC", "CAGYTG,GGATTC", "--r1", f"{tmp_path}/r1.fq", "--r2", f"{tmp_path}/r2.fq", "--taxonomy", f"{tmp_path}/tax.tsv", "--k", "6", "--primer-mismatches", "0"]
+    for run in ("a", "b"):  # the second one loads the database
+        cli.main([*args, "--report", f"{tmp_path}/{run}"], spark)
+        lines = [r["value"] for r in spark.read.text(f"{tmp_path}/{run}").collect()]
+        assert lines[0].endswith("reads=19 mapped=14") and lines[2].split("\t")[:2] == ["b1", "k;1"]
+        assert float(lines[2].split("\t")[3]) == pytest.approx(0.33147145329794314, rel=1e-6)
