@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampliflow.llm.common import id_or_marker, id_or_null
+
 #: White space as Unicode has it, which str.split() knows as well, besides four control characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -188,6 +190,6 @@ def op4_query(docs: DataFrame, tokenizer: str) -> DataFrame:
             for doc_id, ids in zip(batch["doc_id"], bpe.encode(batch["text"].tolist())):
                 decimal = " ".join([numbers[i] for i in ids])
                 rows.append((doc_id, len(ids), sha256(decimal.encode()).hexdigest(), sha256(bpe.decode(ids).encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, DIGEST)
+    return docs.select(id_or_marker("doc_id").alias("doc_id"), "text").mapInPandas(run, DIGEST).withColumn("doc_id", id_or_null("doc_id"))

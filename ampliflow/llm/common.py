@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
+#: Stands for a null id where rows pass through pandas, which would make integers with nulls floats.
+NO_ID = -(1 << 63)
+
+
+def id_or_marker(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
+
+
+def id_or_null(col: str) -> Column:
+    return F.nullif(col, F.lit(NO_ID))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one is set only where the session names none."""
@@ -44,3 +55,14 @@ def words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def least_hashed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of ``key``; ties go by the key. A bounded sample that repeats.
+
+    Rows whose hash is far above what is needed leave before the sort, so tasks send few rows however many there are.
+    """
+    n = rows.count()
+    share = min(1.0, (4 * most + 1000) / max(n, 1))
+    top = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    return rows.where(F.xxhash64(key) <= F.lit(top)).orderBy(F.xxhash64(key), key).limit(most)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampliflow.llm.common import least_hashed
+
 #: Bound on the labelled documents that are learned from; they are those with the least hashes of their ids.
 MAX_LABELLED = 6000
 THRESHOLD = 0.7
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on at most ``max_labelled`` labelled documents that aren't held out; only these documents' bins reach the driver."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.min("_label").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    known = least_hashed(known, "_id", max_labelled)
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(known), "_id")
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import materialize
+from ampliflow.llm.common import id_or_marker, id_or_null, materialize
 
 SEQUENCE = 2048
 END_ID = 0
@@ -65,7 +65,7 @@ def tokenized(path: str, size: int, end_id: int):
                     ids = np.array([*encode(text or ""), end_id], "<u4")
                     same[text] = [(k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(pieces_of(ids, size))]
                 rows += [(doc_id, *x) for x in same[text]]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64", "piece": "int32"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32"})
 
     return run
 
@@ -126,7 +126,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_
     Only ``id_col`` and ``text_col`` are read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(id_or_marker(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = materialize(rows.mapInPandas(tokenized(tokenizer, size, end_id), PIECES), "op10-pieces")
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))
     grouped = pieces.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))  # at most size * RANK_GROUPS rows
@@ -142,4 +142,4 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_
     at = F.get(F.filter("places", lambda p: (p["from_rank"] <= F.col("rank")) & (F.col("rank") < p["to_rank"])), F.lit(0))
     found = ranked.join(F.broadcast(lists), "length").withColumn("at", at)
     sequence = F.col("at.first_sequence") + F.col("rank") - F.col("at.from_rank")
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), F.col("at.offset").alias("offset"))
+    return found.select(id_or_null("doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), F.col("at.offset").alias("offset"))
