@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import id_or_marker, id_or_null
+from ampliflow.llm.common import id_or_marker, id_or_null, small_batches
 
 #: White space as Unicode has it, which str.split() knows as well, besides four control characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -181,6 +181,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def op4_query(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each input row with digests of its ids and of their decoding; ids don't leave the worker."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = codec(tokenizer)

@@ -25,6 +25,14 @@ def id_or_null(col: str) -> Column:
     return F.nullif(col, F.lit(NO_ID))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 1000 texts at a time, and 8 MB, unless the session sets bounds of its own."""
+    for key, bound in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, bound)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one is set only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

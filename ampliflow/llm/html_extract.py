@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampliflow.llm.common import small_batches
+
 TRAIN_PAGES = 1200
 TREES, DEPTH, RATE = 60, 4, 0.25
 #: Private characters around the main text of composed pages.
@@ -500,6 +502,7 @@ def extract_texts(pages: list[str | None], forest: Forest) -> list[str]:
 
 def html_extract(pages: DataFrame, forest: Forest, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each page; null and empty pages, and pages without main text, have an empty one."""
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

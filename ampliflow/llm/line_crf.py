@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import least_hashed
+from ampliflow.llm.common import least_hashed, small_batches
 
 #: Bound on the labelled documents that are learned from; they are those with the least hashes of their ids.
 MAX_LABELLED = 6000
@@ -186,6 +186,7 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LineCrf:
     """Fit on at most ``max_labelled`` labelled documents that aren't held out; only these documents' bins reach the driver."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.min("_label").alias("_label"))
     known = least_hashed(known, "_id", max_labelled)
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def score(docs: DataFrame, crf: LineCrf, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the score of each text (0 to 1); an existing column of that name is replaced."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

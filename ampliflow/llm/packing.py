@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import id_or_marker, id_or_null, materialize
+from ampliflow.llm.common import id_or_marker, id_or_null, materialize, small_batches
 
 SEQUENCE = 2048
 END_ID = 0
@@ -126,6 +126,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_
     Only ``id_col`` and ``text_col`` are read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(id_or_marker(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = materialize(rows.mapInPandas(tokenized(tokenizer, size, end_id), PIECES), "op10-pieces")
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))

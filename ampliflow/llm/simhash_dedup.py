@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ampliflow.llm.common import materialize
+from ampliflow.llm.common import materialize, small_batches
 from ampliflow.llm.components import connected_components
 
 SHINGLE = 3
@@ -96,6 +96,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id keep it; they are reached
     through their fingerprint, but never name a component. Repeated rows give equal results; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = materialize(docs.select(id_col, fingerprint(F.col(text_col)).alias("fp")), "op8-rows")
     fps = rows.groupBy("fp").agg(F.min(id_col).cast("long").alias("node"))
     fps = materialize(fps, "op8-fps")
