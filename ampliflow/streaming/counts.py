@@ -29,12 +29,6 @@ def totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("sample", "region", "fwd", "bwd").agg(F.sum("n").alias("n"))
 
 
-def windowed_counts(mapper: ReadMapper, reads: DataFrame, time: str, window: str, delay: str) -> DataFrame:
-    """Reads with an event time: assigned reads of each region by tumbling window; later than ``delay`` they are left out."""
-    timed = reads.withWatermark(time, delay)
-    return timed.groupBy(F.window(time, window), "sample").agg(F.count(F.lit(1)).alias("reads"))
-
-
 def map_so_far(mapper: ReadMapper, counts: DataFrame, then: Callable[[Mapping], None]) -> None:
     """Finishes the mapping over what has been counted."""
     then(mapper.map_counts(totals(counts)))
