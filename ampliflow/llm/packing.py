@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 from pathlib import Path
 
 import numpy as np
@@ -22,8 +23,6 @@ from ampliflow.llm.common import id_or_marker, id_or_null, materialize, small_ba
 
 SEQUENCE = 2048
 END_ID = 0
-#: Ranks within a length are counted in so many groups, so that a length that many pieces share is not one task's work.
-RANK_GROUPS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -129,15 +128,18 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_
     small_batches(spark)
     rows = docs.select(id_or_marker(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = materialize(rows.mapInPandas(tokenized(tokenizer, size, end_id), PIECES), "op10-pieces")
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))
-    grouped = pieces.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))  # at most size * RANK_GROUPS rows
-    counts = {r["length"]: r["n"] for r in grouped.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     places = plan(counts, size)
     place = spark.createDataFrame(places or [(0, 0, 0, 0, 0)], "length long, from_rank long, to_rank long, first_sequence long, offset long")
+    # Ranks are counted in groups within a length. n pieces have about sqrt(n) groups of sqrt(n) pieces, so neither the ranks in
+    # a group nor the groups of a length are one large task, however many pieces share a length.
+    ways = spark.createDataFrame([(n, isqrt(c) + 1) for n, c in counts.items()] or [(0, 1)], "length long, ways long")
+    pieces = pieces.join(F.broadcast(ways), "length").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.col("ways"))).drop("ways")
+    grouped = pieces.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     starts = grouped.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("inner", inner).join(F.broadcast(starts), ["length", "group"]).withColumn("rank", F.col("before") + F.col("inner"))
+    ranked = pieces.withColumn("inner", inner).join(starts, ["length", "group"]).withColumn("rank", F.col("before") + F.col("inner"))
     # The places of a length as one sorted array of at most a few hundred entries: no range join over the pieces.
     lists = place.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("from_rank", "to_rank", "first_sequence", "offset"))).alias("places"))
     at = F.get(F.filter("places", lambda p: (p["from_rank"] <= F.col("rank")) & (F.col("rank") < p["to_rank"])), F.lit(0))

@@ -86,6 +86,14 @@ def test_packing(spark):
     assert packing.best_fit_packing(df.where("doc_id < 0"), path).collect() == []
 
 
+def test_packing_of_a_common_length(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(k % 300, "red " * 700) for k in range(900)] + [(1000 + k, "red " * k) for k in range(90)], "doc_id long, text string")
+    rows = packing.best_fit_packing(df, path).collect()
+    assert len(rows) == 990 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 990
+    assert check(rows) == 450
+
+
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 5000])
 def test_pieces(n):
     got = packing.pieces_of(np.zeros(n))
