@@ -63,6 +63,19 @@ def test_language_model(spark):
     assert maxent_lm.op3_query(df.where("doc_id < 0")).collect() == []
 
 
+def test_changes_are_averaged_in_levels(spark):
+    r = np.random.default_rng(2)
+    rows = [(t, s, int(r.integers(1, 9)), r.normal(size=(2, maxent_lm.CLASSES)).astype(np.float16)) for t in range(20) for s in range(3) if s < 2 or t % 7 == 0]
+    df = spark.createDataFrame([(t, s, n, x.tobytes()) for t, s, n, x in rows], f"trainer int, {maxent_lm.CHANGES}")
+    for fan in (3, 256):
+        got = {x["shard"]: x for x in maxent_lm.mean_changes(df, 20, fan).collect()}
+        for s in range(3):
+            own = [(n, x.astype(float)) for _, k, n, x in rows if k == s]
+            assert got[s]["positions"] == sum(n for n, _ in own)
+            want = np.average([x for _, x in own], axis=0, weights=[n for n, _ in own])
+            assert np.frombuffer(got[s]["change"], np.float32).reshape(2, -1) == pytest.approx(want, abs=1e-4)
+
+
 def test_class_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     w, b = r.normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32), r.normal(size=maxent_lm.CLASSES).astype(np.float32)
