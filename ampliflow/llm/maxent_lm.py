@@ -4,8 +4,8 @@ P(word | history) = P(class | history) * P(word | class). The classes are the mo
 word endings; the ending groups and frequent words come from a bounded sample of training documents. P(class | history) is
 a softmax over hashed n-gram and skip features, trained by gradient updates: each trainer runs over its share of the
 training documents from the current weights, and the mean of the changes is the next state. P(word | class) has no history
-and its exact solution is the relative frequency, which is counted over all training documents. All documents train, at
-every ``STRIDE``-th position.
+and its exact solution is the relative frequency, which is counted over all training documents. All positions of all
+documents train, once each.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ CLASSES = FREQUENT + ENDINGS
 SKIPS = 6
 HASHED = 1 << 13
 ROWS = SKIPS * (CLASSES + 1) + 3 * HASHED
-STRIDE = 4
 ROUNDS = 3
 #: A round has a trainer for each so many characters of its texts, and this many at least; changes are averaged by groups of at most FAN trainers.
 TRAINER_CHARS, TRAINERS = 32_000_000, 8
@@ -187,34 +186,51 @@ def _flat(docs: list[list[bytes]], lookup: Lookup) -> tuple[np.ndarray, np.ndarr
     return ids, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
 
-def _trainer(classes: Classes, weights, bias, stride: int):
+def row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sum of g over the places that name each); ``rows`` has a line of as many places as ``g`` for each feature.
+
+    Places of a row are added in pairs, level by level.
+    """
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    count = np.diff(np.r_[head, len(flat)])
+    total, which, x, at = np.zeros((len(head), g.shape[1]), g.dtype), np.arange(len(head)), g, order % len(g)
+    while len(which):
+        end = np.cumsum(count)
+        odd = count % 2 == 1
+        total[which[odd]] += x[at[end[odd] - 1]]
+        half = count // 2
+        first = np.repeat(end - count - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(half.sum())
+        y = x[at[first]]
+        y += x[at[first + 1]]
+        more = half > 0
+        which, count, x, at = which[more], half[more], y, np.arange(len(y))
+    return ordered[head], total
+
+
+def _trainer(classes: Classes, weights, bias):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start, b = weights.value, bias
         w = start.astype(np.float32)
         slope = np.full(ROWS, 1e-3, np.float32)
-        lookup, turn, worked = Lookup(classes), 0, 0
+        lookup, worked = Lookup(classes), 0
         for frame in frames:
             for _, docs in _chunks(frame["text"]):
                 if len(lookup.number) > 400_000:
                     lookup = Lookup(classes)
                 ids, place, _ = _flat(docs, lookup)
                 rows = feature_rows(ids, place, lookup)
-                picked = np.arange(turn % stride, len(ids), stride)
-                turn += 1
-                for a in range(0, len(picked), BATCH):
-                    at = picked[a : a + BATCH]
-                    r = rows[:, at]
+                own = lookup.cls[ids]
+                for a in range(0, len(ids), BATCH):
+                    r, c = rows[:, a : a + BATCH], own[a : a + BATCH]
                     g = -np.exp(_log_softmax(w, b, r))
-                    g[np.arange(len(at)), lookup.cls[ids[at]]] += 1
-                    flat = r.ravel()
-                    order = np.argsort(flat, kind="stable")
-                    ordered = flat[order]
-                    head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                    total = np.add.reduceat(g[order % len(at)], head, axis=0)
-                    used = ordered[head]
+                    g[np.arange(len(c)), c] += 1
+                    used, total = row_sums(g, r)
                     slope[used] += (total**2).sum(axis=1)
                     w[used] += (RATE / np.sqrt(slope[used]))[:, None] * total
-                worked += len(picked)
+                worked += len(ids)
         if worked:
             change = w - start
             for s in range(0, ROWS, SHARD):
@@ -263,7 +279,7 @@ class MaxentLm:
     bias: np.ndarray
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, trainer_chars: int = TRAINER_CHARS) -> MaxentLm:
+def train(docs: DataFrame, rounds: int = ROUNDS, trainer_chars: int = TRAINER_CHARS) -> MaxentLm:
     """Fit on all rows of ``docs`` (doc_id, text); a third of the rows in each of three rounds."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -280,7 +296,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, trainer_c
     trainers = max(TRAINERS, chars // rounds // trainer_chars + 1)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
-        changes = docs.where(turn == k).select("text").coalesce(trainers).mapInPandas(_trainer(classes, sent, bias, stride), CHANGES)
+        changes = docs.where(turn == k).select("text").coalesce(trainers).mapInPandas(_trainer(classes, sent, bias), CHANGES)
         got = mean_changes(changes.withColumn("trainer", F.spark_partition_id()), trainers).collect()  # the weights, whose size is fixed
         weights = weights.copy()
         for r in got:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ampliflow.llm import html_extract, line_crf, maxent_lm
@@ -63,6 +64,28 @@ def test_language_model(spark):
     assert maxent_lm.op3_query(df.where("doc_id < 0")).collect() == []
 
 
+def test_every_position_trains():
+    texts = ["one two", "", None, "three four five " * 700, "six"]
+    classes = maxent_lm.Classes({w: k for k, w in enumerate([b"", b"one", b"two", b"three", b"four", b"five", b"six"])}, {})
+    sent = type("Sent", (), {"value": np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES), np.float32)})()
+    got = list(maxent_lm._trainer(classes, sent, np.zeros(maxent_lm.CLASSES, np.float32))(iter([pd.DataFrame({"text": texts[:2]}), pd.DataFrame({"text": texts[2:]})])))
+    assert {n for x in got for n in x["positions"]} == {sum(len(maxent_lm.tokens(t)) for t in texts)}
+    change = {s: np.frombuffer(c, np.float16).reshape(-1, maxent_lm.CLASSES) for x in got for s, c in zip(x["shard"], x["change"])}
+    for before, after in ((b"one", b"two"), (b"two", b""), (b"six", b"")):  # each pair of a short text leaves its mark
+        row = maxent_lm.SKIPS * (maxent_lm.CLASSES + 1) + ((maxent_lm.word_hash(before) % (1 << 64)) >> 51)
+        assert change[row // maxent_lm.SHARD][row % maxent_lm.SHARD].argmax() == classes.frequent[after]
+
+
+def test_row_sums():
+    r = np.random.default_rng(4)
+    g, rows = r.normal(size=(500, 3)), np.stack([r.integers(0, 4, 500), r.integers(4, 900, 500), np.full(500, 901)])
+    used, total = maxent_lm.row_sums(g, rows)
+    want = np.zeros((902, 3))
+    for line in rows:
+        np.add.at(want, line, g)
+    assert sorted(used) == sorted(set(rows.ravel())) and total == pytest.approx(want[used])
+
+
 def test_changes_are_averaged_in_levels(spark):
     r = np.random.default_rng(2)
     rows = [(t, s, int(r.integers(1, 9)), r.normal(size=(2, maxent_lm.CLASSES)).astype(np.float16)) for t in range(20) for s in range(3) if s < 2 or t % 7 == 0]
