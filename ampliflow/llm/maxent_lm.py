@@ -1,7 +1,7 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class). The classes are the most frequent words, one each, and groups of
-word endings; the ending groups and frequent words come from a bounded sample of training documents. P(class | history) is
+word endings, which come from counts over all training documents, as do the class frequencies. P(class | history) is
 a softmax over hashed n-gram and skip features, trained by gradient updates: each trainer runs over its share of the
 training documents from the current weights, and the mean of the changes is the next state. P(word | class) has no history
 and its exact solution is the relative frequency, which is counted over all training documents. All positions of all
@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import id_or_marker, id_or_null, least_hashed, materialize, small_batches
+from ampliflow.llm.common import id_or_marker, id_or_null, materialize, small_batches
 
-#: Documents of the sample that the classes come from (those with the least hashes of their ids).
-SAMPLE_DOCS = 2000
+#: Endings (of three bytes or fewer) that are grouped, those with the most text; where there are more, the rest goes by a hash.
+MOST_ENDINGS = 1 << 16
+#: Profiles are summed as integers in this unit, so that no order of adding changes the classes.
+UNIT = 1 << 20
 FREQUENT, ENDINGS = 63, 33
 CLASSES = FREQUENT + ENDINGS
 #: Classes of the words this far back are features of their own; so are hashes of the last word, the one before, and both classes.
@@ -67,44 +69,15 @@ class Classes:
 
     def of(self, word: bytes) -> int:
         k = self.frequent.get(word)
-        if k is None:
-            e = ending(word)
-            k = self.endings.get(e)
-            if k is None:
-                k = FREQUENT + xxhash.xxh32_intdigest(e) % ENDINGS
-        return k
-
-
-def find_classes(texts: list[str]) -> Classes:
-    """Frequent words by count; endings grouped by k-means over the frequent words of the documents they occur in."""
-    docs = [tokens(t) for t in texts]
-    counts = Counter(w for d in docs for w in d)
-    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]
-    frequent = {w: k for k, w in enumerate(top)}
-    seen: dict[bytes, int] = {}
-    size: Counter[bytes] = Counter()
-    pairs: list[tuple[int, np.ndarray]] = []
-    for d in docs:
-        profile = np.zeros(FREQUENT)
-        mine: Counter[bytes] = Counter()
-        for w in d:
-            k = frequent.get(w)
-            if k is None:
-                mine[ending(w)] += 1
-            else:
-                profile[k] += 1
-        if profile.any():
-            profile = np.sqrt(profile / profile.sum())
-            for e, n in mine.items():
-                pairs.append((seen.setdefault(e, len(seen)), profile * n))
-                size[e] += n
-    if not seen:
-        return Classes(frequent, {})
-    points = np.zeros((len(seen), FREQUENT))
-    np.add.at(points, np.array([i for i, _ in pairs]), np.array([p for _, p in pairs]))
-    names = list(seen)
-    weight = np.array([size[e] for e in names], float)
-    points /= weight[:, None]
+        return self.of_ending(ending(word)) if k is None else k
+
+    def of_ending(self, e: bytes) -> int:
+        k = self.endings.get(e)
+        return FREQUENT + xxhash.xxh32_intdigest(e) % ENDINGS if k is None else k
+
+
+def group_endings(points: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Groups of the endings by k-means over their profiles, with ``weight`` words each."""
     centres = points[np.argsort(-weight, kind="stable")[:ENDINGS]]
     for _ in range(12):
         far = (centres**2).sum(1)[None, :] - 2 * points @ centres.T
@@ -116,7 +89,119 @@ def find_classes(texts: list[str]) -> Classes:
             own = near == k
             if own.any():
                 centres[k] = np.average(points[own], axis=0, weights=weight[own])
-    return Classes(frequent, {e: FREQUENT + int(k) for e, k in zip(names, near)})
+    return near
+
+
+def _count_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words and, with ``is_ending``, endings, with how often they occur in a part of the texts."""
+    words: Counter[bytes] = Counter()
+
+    def counted() -> pd.DataFrame:
+        endings: Counter[bytes] = Counter()
+        for w, n in words.items():
+            endings[ending(w)] += n
+        size = len(words), len(endings)
+        return pd.DataFrame({"is_ending": np.repeat([False, True], size), "key": [*words, *endings], "n": [*words.values(), *endings.values()]})
+
+    for frame in frames:
+        for t in frame["text"]:
+            words.update(tokens(t))
+        if len(words) > 400_000:
+            yield counted()
+            words.clear()
+    if words:
+        yield counted()
+
+
+def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All endings and the most frequent words of a partition that has whole counts."""
+    best = None
+    for frame in frames:
+        yield frame[frame["is_ending"]]
+        words = frame[~frame["is_ending"]]
+        words = words if best is None else pd.concat([best, words], ignore_index=True)
+        best = words.sort_values(["n", "key"], ascending=[False, True]).head(FREQUENT)
+    if best is not None:
+        yield best
+
+
+def _profiles(frequent: dict[bytes, int], names: dict[bytes, int]):
+    """Sums of the profiles, and numbers of words, of the endings ``names`` over the documents they occur in; in units of ``UNIT``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(names), FREQUENT + 1), np.int64)
+        code: dict[bytes, int] = {}
+        for frame in frames:
+            for _, docs in _chunks(frame["text"]):
+                if len(code) > 400_000:
+                    code = {}
+                words = [w for d in docs for w in d]
+                for w in set(words) - code.keys():
+                    k = frequent.get(w)
+                    code[w] = FREQUENT + names.get(ending(w), -1 - FREQUENT) if k is None else k
+                of = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+                doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+                known = (of >= 0) & (of < FREQUENT)
+                profile = np.bincount(doc[known] * FREQUENT + of[known], minlength=len(docs) * FREQUENT).reshape(-1, FREQUENT)
+                total = profile.sum(axis=1, keepdims=True)
+                unit = np.rint(np.sqrt(np.c_[profile, total] / np.maximum(total, 1)) * UNIT).astype(np.int64)
+                mine = of >= FREQUENT
+                if not mine.any():
+                    continue
+                pair, n = np.unique((of[mine] - FREQUENT) * len(docs) + doc[mine], return_counts=True)
+                row = pair // len(docs)
+                head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                sums[row[head]] += np.add.reduceat(unit[pair % len(docs)] * n[:, None], head, axis=0)
+        for a in range(0, len(names), SHARD):
+            part = sums[a : a + SHARD]
+            if part.any():
+                yield pd.DataFrame({"shard": [a // SHARD], "sums": [part.tobytes()]})
+
+    return run
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.int64) for x in frame["sums"])
+    return pd.DataFrame({"part": [frame["part"].iloc[0]], "shard": [frame["shard"].iloc[0]], "sums": [total.tobytes()]})
+
+
+def find_classes(docs: DataFrame, tasks: int, fan: int = FAN) -> tuple[Classes, np.ndarray]:
+    """Classes and how many words of the texts each has, counted over all rows of ``docs``.
+
+    Frequent words by count; endings grouped by k-means over the frequent words of the documents they occur in. ``tasks``
+    tasks sum the profiles, and at most about ``fan`` of these sums meet in a task.
+    """
+    keys = docs.select("text").mapInPandas(_count_keys, "is_ending boolean, key binary, n long").groupBy("is_ending", "key").agg(F.sum("n").alias("n"))
+    keys = materialize(keys.mapInPandas(_candidates, "is_ending boolean, key binary, n long"), "op3-keys")
+    order = F.desc("n"), "key"
+    top = [(bytes(r["key"]), r["n"]) for r in keys.where("NOT is_ending").orderBy(*order).limit(FREQUENT).collect()]
+    frequent = {w: k for k, (w, _) in enumerate(top)}
+    names = [bytes(r["key"]) for r in keys.where("is_ending").orderBy(*order).limit(MOST_ENDINGS).collect()]
+    sums = docs.select("text").coalesce(tasks).mapInPandas(_profiles(frequent, {e: k for k, e in enumerate(names)}), "shard int, sums binary").withColumn("part", F.spark_partition_id())
+    while True:
+        tasks = -(-tasks // fan)
+        sums = sums.withColumn("part", F.col("part") % tasks).groupBy("shard", "part").applyInPandas(_added, "part int, shard int, sums binary")
+        if tasks == 1:
+            break
+    table = np.zeros((len(names), FREQUENT + 1))
+    for r in sums.collect():  # of fixed size at most
+        table[r["shard"] * SHARD : (r["shard"] + 1) * SHARD] = np.frombuffer(r["sums"], np.int64).reshape(-1, FREQUENT + 1)
+    seen = np.flatnonzero(table[:, FREQUENT])
+    weight = table[seen, FREQUENT] / UNIT
+    near = group_endings(table[seen, :FREQUENT] / UNIT / weight[:, None], weight) if len(seen) else []
+    classes = Classes(frequent, {names[i]: FREQUENT + int(k) for i, k in zip(seen, near)})
+
+    def of_endings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"cls": [classes.of_ending(bytes(e)) for e in frame["key"]], "n": frame["n"].to_numpy()})
+
+    share = np.zeros(CLASSES, np.int64)
+    for r in keys.where("is_ending").mapInPandas(of_endings, "cls int, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        share[r["cls"]] = r["n"]
+    for w, n in top:  # these are among the endings too
+        share[classes.of_ending(ending(w))] -= n
+        share[frequent[w]] += n
+    return classes, share
 
 
 class Lookup:
@@ -284,16 +369,12 @@ def train(docs: DataFrame, rounds: int = ROUNDS, trainer_chars: int = TRAINER_CH
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Ids first, so that only the sample's texts travel; one row of each id.
-    chosen = least_hashed(docs.select("doc_id").distinct(), "doc_id", SAMPLE_DOCS)
-    sample = sorted(r["text"] for r in docs.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text").collect())
-    classes = find_classes(sample)
-    share = Counter(classes.of(w) for t in sample for w in tokens(t))
-    bias = np.log((np.array([share[k] for k in range(CLASSES)]) + 1.0) / (share.total() + CLASSES)).astype(np.float32)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    turn = F.pmod(F.xxhash64(F.lit("round"), F.col("doc_id")), F.lit(rounds))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     trainers = max(TRAINERS, chars // rounds // trainer_chars + 1)
+    classes, share = find_classes(docs, trainers)
+    bias = np.log((share + 1.0) / (share.sum() + CLASSES)).astype(np.float32)
+    weights = np.zeros((ROWS, CLASSES), np.float32)
+    turn = F.pmod(F.xxhash64(F.lit("round"), F.col("doc_id")), F.lit(rounds))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
         changes = docs.where(turn == k).select("text").coalesce(trainers).mapInPandas(_trainer(classes, sent, bias), CHANGES)

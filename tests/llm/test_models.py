@@ -76,6 +76,22 @@ def test_every_position_trains():
         assert change[row // maxent_lm.SHARD][row % maxent_lm.SHARD].argmax() == classes.frequent[after]
 
 
+def test_classes_come_from_all_documents(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    own = [a + b + c for a in letters for b in letters for c in letters][:4100]  # an ending of its own for each document
+    texts = [f"The sea {'was' if k % 3 else 'IS'} x{own[k]}, blue" for k in range(4100)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    classes, share = maxent_lm.find_classes(df, 7, fan=2)
+    count = Counter(w for t in texts for w in maxent_lm.tokens(t))
+    assert list(classes.frequent) == [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: maxent_lm.FREQUENT]]
+    assert {maxent_lm.ending(w) for w in count if w not in classes.frequent} <= set(classes.endings)
+    want = Counter()
+    for w, n in count.items():
+        want[classes.of(w)] += n
+    assert {k: n for k, n in enumerate(share) if n} == dict(want)
+    assert maxent_lm.find_classes(df.repartition(3), 3)[0] == classes
+
+
 def test_row_sums():
     r = np.random.default_rng(4)
     g, rows = r.normal(size=(500, 3)), np.stack([r.integers(0, 4, 500), r.integers(4, 900, 500), np.full(500, 901)])
