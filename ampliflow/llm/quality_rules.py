@@ -31,6 +31,8 @@ class LineRules:
     min_distinct_share: float = 0.25
     min_distinct_words: int = 12
     max_boilerplate_words: int = 12
+    #: Phrases count between word boundaries only ("log in" isn't in "catalog in"); the SQL of op7 takes any substring.
+    whole_phrases: bool = False
     min_unended_words: int = 2
     min_kept_share: float = 0.5
     window: int = 5
@@ -97,8 +99,11 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
         bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
         lower = F.lower(line)
         phrase = F.lit(False)
-        for p in BOILERPLATE:
-            phrase = phrase | lower.contains(p)
+        if rules.whole_phrases:
+            phrase = lower.rlike(r"(?<![\p{L}\p{N}_])(" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}_])")
+        else:
+            for p in BOILERPLATE:
+                phrase = phrase | lower.contains(p)
         return (
             (_symbols(line) > rules.max_symbols_per_word * n)
             | (bars > rules.max_bars_per_word * n)

@@ -107,6 +107,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(labels, "fp", "left").select(id_col, "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each group of near copies (of doc_id, text and others): that with the least id, nulls last, then the least hash of its text.
+
+    Groups are of fingerprints, so rows without an id and different texts that share one are judged like all others.
+    """
+    small_batches(docs.sparkSession)
+    order = {"_none": F.col("doc_id").isNull(), "_tie": F.xxhash64("text"), "_rest": F.xxhash64(*columns)}
+    rows = materialize(docs.select("doc_id", *[v.alias(k) for k, v in order.items()], fingerprint(F.col("text")).alias("fp")), "near-rows")
+    pairs = near_pairs(materialize(rows.select("fp").distinct(), "near-fps"))
+    found = connected_components(pairs.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")), "near-components")
+    first = rows.groupBy("fp").agg(F.min(F.struct("_none", "doc_id", "_tie", "_rest")).alias("m"))
+    first = first.join(found, first["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("_group")).agg(F.min("m").alias("m"))
+    first = first.select("_group", F.col("m.doc_id").alias("_id"), F.col("m._tie").alias("_t"), F.col("m._rest").alias("_r"))
+    chosen = docs.select(*columns).withColumns({k: order[k] for k in ("_tie", "_rest")})
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")) & (F.col("_rest") == F.col("_r"))
+    return chosen.join(first, on).dropDuplicates(["_group"]).select(*columns)  # rows that are still several are equal
+
+
 def op8_query(docs: DataFrame) -> DataFrame:
     found = simhash_groups(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

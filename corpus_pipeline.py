@@ -23,7 +23,7 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject; the others keep the lines that pass."""
-    judged = quality_rules.quality_rules(docs.select(*COLUMNS))
+    judged = quality_rules.quality_rules(docs.select(*COLUMNS), rules=quality_rules.LineRules(whole_phrases=True))
     return _with_text(judged.where("qr_kept"), "qr_clean_text")
 
 
@@ -35,10 +35,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies; rows without an id go, and repeats of an id."""
-    groups = simhash_dedup.simhash_groups(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one document of each group of near copies: that with the least id, nulls last, then the least hash of its text."""
+    return simhash_dedup.one_of_each_group(docs, list(COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

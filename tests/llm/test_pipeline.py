@@ -30,3 +30,20 @@ def test_stages(spark, tmp_path):
     assert frame["doc_id"].nunique() == 123
     run = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(run["ids_crc32"]) == sorted(packed["ids_crc32"])
+
+
+def test_rows_without_id_and_repeated_ids_stay(spark):
+    words = ["".join(chr(97 + (k * 7 + j * 5 + k * j) % 26) for j in range(6)) for k in range(300)]
+    text = [" ".join(words[(k * 13 + j * j + j * k) % 300] for j in range(80)) for k in range(8)]
+    rows = [(None, text[0], "en", "s", 1), (None, text[1], "en", "s", 1), (7, text[2], "en", "s", 1), (7, text[3], "en", "s", 1), (9, text[4], "en", "s", 1)]
+    rows += [(None, text[4], "en", "s", 1), (8, text[4], "en", "t", 1), (8, text[4], "en", "t", 1), (None, text[0], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4])], key=str)
+
+
+def test_phrases_at_word_boundaries(spark):
+    lines = ["You find it in our catalog in the hall.", "She wrote on her blog in the spring.", "Please log in to see more of this."]
+    docs = spark.createDataFrame([(1, "\n".join([*lines, "The lake was calm this morning and we walked along it for an hour."]), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.clean_lines(spark, docs, "").first()["text"]
+    assert lines[0] in kept and lines[1] in kept and lines[2] not in kept
