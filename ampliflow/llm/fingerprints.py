@@ -1,8 +1,8 @@
 """Document fingerprints: SimHash by weighted votes of term hashes, searched through permuted block tables.
 
 Only DataFrame functions. A term is a word; its weight grows with the square of its length, so that function words of a
-language count for little. Votes are summed for two bits at a time in the 32-bit halves of a long, which holds for texts
-of up to 12 million words.
+language count for little. Votes are summed for two bits at a time in the 32-bit halves of a long; the sums of at most
+``LANE_TERMS`` terms are then added as longs of their own.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import materialize, words_of
+from ampliflow.llm.common import id_or_marker, id_or_null, materialize, words_of
 
 BITS = 128
 RADIUS = 3
 _PAIR = (1 << 32) | 1
+#: Terms of a key whose votes share a long; the weights of these stay below 1 << 31.
+LANE_TERMS = 1 << 23
 
 
 def term_weight(word: Column) -> Column:
@@ -27,20 +29,20 @@ def term_weight(word: Column) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys`` with ``fp_hi`` and ``fp_lo``: a 128-bit fingerprint of each key's text.
 
-    A bit is set if the terms that set it outweigh the others; null texts and texts without words get zero. Rows that
-    repeat key and text vote twice alike, which changes no bit.
+    A bit is set if the terms that set it outweigh the others; null texts and texts without words get zero. A key has one row.
     """
-    terms = rows.select(*keys, F.explode_outer(words_of(F.col(text_col))).alias("_t"))
-    terms = terms.select(*keys, F.coalesce(term_weight(F.col("_t")), F.lit(0)).alias("_w"), F.xxhash64("_t").alias("_h0"), F.xxhash64(F.lit(1), "_t").alias("_h1"))
-    votes = [F.sum(F.col("_w") * F.shiftright(f"_h{half}", k).bitwiseAND(F.lit(_PAIR))).alias(f"_v{half}_{k}") for half in (0, 1) for k in range(32)]
-    summed = terms.groupBy(*keys).agg(F.sum("_w").alias("_w"), *votes)
+    terms = rows.select(*keys, F.posexplode_outer(words_of(F.col(text_col))).alias("_at", "_t")).withColumn("_part", F.floor(F.coalesce("_at", F.lit(0)) / LANE_TERMS))
+    terms = terms.select(*keys, "_part", F.coalesce(term_weight(F.col("_t")), F.lit(0)).alias("_w"), F.xxhash64("_t").alias("_h0"), F.xxhash64(F.lit(1), "_t").alias("_h1"))
+    pairs = [(half, k) for half in (0, 1) for k in range(32)]
+    votes = [F.sum(F.col("_w") * F.shiftright(f"_h{half}", k).bitwiseAND(F.lit(_PAIR))).alias(f"_v{half}_{k}") for half, k in pairs]
+    parts = terms.groupBy(*keys, "_part").agg(F.sum("_w").alias("_w"), *votes)
+    lanes = [F.sum(x).alias(f"_l{half}_{at}") for half, k in pairs for at, x in ((k, F.col(f"_v{half}_{k}").bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(f"_v{half}_{k}", 32)))]
+    summed = parts.groupBy(*keys).agg(F.sum("_w").alias("_w"), *lanes)
 
     def bits(half: int) -> Column:
         out = F.lit(0).cast("long")
-        for k in range(32):
-            pair = F.col(f"_v{half}_{k}")
-            for at, lane in ((k, pair.bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(pair, 32))):
-                out = out.bitwiseOR(F.when(2 * lane > F.col("_w"), F.lit(1 << at if at < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        for at in range(64):
+            out = out.bitwiseOR(F.when(2 * F.col(f"_l{half}_{at}") > F.col("_w"), F.lit(1 << at if at < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
         return out
 
     return summed.select(*keys, bits(1).alias("fp_hi"), bits(0).alias("fp_lo"))
@@ -119,10 +121,12 @@ def op1_query(docs: DataFrame) -> DataFrame:
 
     ``n_within`` counts the rows within ``RADIUS`` bits for documents whose id is divisible by 50 (null for others).
     Null texts are empty. Rows that share a doc_id are ordered by a hash of their texts; rows that share both are equal.
+    Rows without an id come first and are rows like any other.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text"))
+    keyed = docs.select(id_or_marker("doc_id").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     links = _followers(keyed.select("doc_id", "tie", F.length("text").cast("long").alias("n_chars")))
+    keyed = keyed.dropDuplicates(["doc_id", "tie"])  # ``copies`` brings the others back
     wanted = links.select(F.col("next_id").alias("doc_id"), F.col("next_tie").alias("tie"), F.col("doc_id").alias("for_id"), F.col("tie").alias("for_tie"), (F.col("n_chars") / 4).cast("int").alias("take"))
     heads = keyed.join(wanted, ["doc_id", "tie"]).select(F.col("for_id").alias("doc_id"), F.col("for_tie").alias("tie"), F.substring("text", F.lit(1), F.col("take")).alias("head"))
     pairs = keyed.join(links.select("doc_id", "tie", "n_chars"), ["doc_id", "tie"]).join(heads, ["doc_id", "tie"])
@@ -143,6 +147,6 @@ def op1_query(docs: DataFrame) -> DataFrame:
 
     like = lambda hi, lo: likeness(distance((F.col("fp_hi"), F.col("fp_lo")), (F.col(hi), F.col(lo))))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", hex_of(F.col("fp_hi"), F.col("fp_lo")).alias("fingerprint"), hex_of(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"),
+        id_or_null("doc_id").alias("doc_id"), "n_chars", "edited_sha256", hex_of(F.col("fp_hi"), F.col("fp_lo")).alias("fingerprint"), hex_of(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"),
         like("e_hi", "e_lo").alias("near_edited"), like("n_hi", "n_lo").alias("near_next"), "n_within", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     ).drop("copy")

@@ -83,6 +83,17 @@ def test_fingerprints(spark):
     assert fingerprints.op1_query(df.where("doc_id < 0")).collect() == []
 
 
+def test_fingerprints_of_rows_without_id(spark, monkeypatch):
+    texts = [(None, "a document that has no id of its own"), (None, "another of these, with other words in it"), (None, None), (50, "alpha beta gamma delta"), (60, "the last one of the table")]
+    df = spark.createDataFrame([*texts, texts[0], texts[3], texts[3]], "doc_id long, text string").repartition(3)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"], r["fingerprint"])
+    got = sorted(fingerprints.op1_query(df).collect(), key=key)
+    assert [(r["doc_id"], r["n_chars"]) for r in got] == [(None, 0), (None, 36), (None, 36), (None, 40), (50, 22), (50, 22), (50, 22), (60, 25)]
+    assert [r["n_within"] for r in got] == [None] * 4 + [3] * 3 + [None]
+    monkeypatch.setattr(fingerprints, "LANE_TERMS", 2)  # votes in several parts add up to the same
+    assert sorted(fingerprints.op1_query(df).collect(), key=key) == got
+
+
 def test_block_tables_find_all(spark):
     base = spark.range(200).select(F.xxhash64("id").alias("fp_hi"), F.xxhash64("id", F.lit(1)).alias("fp_lo"))
     flips = base.select(F.col("fp_hi").bitwiseXOR(F.lit((1 << 5) | (1 << 40))).alias("fp_hi"), F.col("fp_lo").bitwiseXOR(F.lit(1 << 62)).alias("fp_lo"))
