@@ -85,6 +85,17 @@ def test_suffix_dedup_repeated_rows_and_empty(spark):
     assert suffix_dedup.op6_query(df.where("doc_id > 5")).collect() == []
 
 
+def test_suffix_dedup_repeated_rows_of_different_runs(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcde") for _ in range(6)) for _ in range(n))
+    passage = text(30)
+    rows = [(1, text(20) + passage + text(20)), (2, text(20) + passage + text(20)), (3, text(60))]
+    df = spark.createDataFrame([*rows, rows[0], rows[0], rows[1]], "doc_id long, text string").repartition(3)
+    got = [(x["doc_id"], (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"])) for x in suffix_dedup.op6_query(df).collect()]
+    want = brute_force(rows)
+    assert sorted(got) == sorted((k, want[k]) for k in (1, 1, 1, 2, 2, 3))
+
+
 def test_family_levels_are_few():
     family = suffix_dedup.SuffixFamily()
     r = np.random.default_rng(0)
