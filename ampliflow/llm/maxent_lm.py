@@ -1,49 +1,61 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The classes are the most frequent words, one each, and groups of
-word endings, which come from counts over all training documents, as do the class frequencies. P(class | history) is
-a softmax over hashed n-gram and skip features, trained by gradient updates: each trainer runs over its share of the
-training documents from the current weights, and the mean of the changes is the next state. P(word | class) has no history
-and its exact solution is the relative frequency, which is counted over all training documents. All positions of all
-documents train, once each.
+P(word | history) = P(class | h) * P(group | class, h) * P(member | group, h) * P(word | member).
+
+There are 32 classes of 32 groups of 32 members. A frequent word is a member of its own, other words share the members of
+their endings, so nearly all of a word's probability depends on the history. Each of the first three factors is a
+softmax over hashed n-gram and skip features: the words one and two back, their pairs with classes, and the classes up
+to six back. Its weights are trained by gradient updates: each trainer runs over its share of the training documents from
+the current weights, and the next state is the mean of their changes, row by row, weighed by the gradients that a row saw.
+P(word | member) is the relative frequency within the member. All positions of all training documents train, once each.
+
+Texts are tokenised once, into blocks of word numbers with a dictionary each. Counts of all words come from a shuffle of
+the dictionaries; blocks meet the counts of their words again when they are scored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliflow.llm.common import id_or_marker, id_or_null, materialize, small_batches
 
-#: Endings (of three bytes or fewer) that are grouped, those with the most text; where there are more, the rest goes by a hash.
-MOST_ENDINGS = 1 << 16
-#: Profiles are summed as integers in this unit, so that no order of adding changes the classes.
-UNIT = 1 << 20
-FREQUENT, ENDINGS = 63, 33
-CLASSES = FREQUENT + ENDINGS
-#: Classes of the words this far back are features of their own; so are hashes of the last word, the one before, and both classes.
-SKIPS = 6
-HASHED = 1 << 13
-ROWS = SKIPS * (CLASSES + 1) + 3 * HASHED
+WIDTH = 32
+MEMBERS = WIDTH**3
+#: Members for the most frequent words and for the most frequent endings of other words; the rest is for other endings by a hash.
+FREQUENT, ENDINGS = 24 * 1024, 7 * 1024
+#: Neighbours by which members are compared: so many frequent words and one for all others, on both sides.
+LANDMARKS = 31
+#: Hashed features of the class, the group and the member.
+FEATURES = (5, 4, 3)
+#: Classes this far back are seen.
+BACK = 6
+#: Rows of a feature: a row for each so many characters of training text, in powers of two between these bounds.
+ROW_CHARS, LEAST_BITS, MOST_BITS = 4096, 14, 15
 ROUNDS = 3
 #: A round has a trainer for each so many characters of its texts, and this many at least; changes are averaged by groups of at most FAN trainers.
-TRAINER_CHARS, TRAINERS = 32_000_000, 8
+TRAINER_CHARS, TRAINERS = 48_000_000, 8
 FAN = 256
-BATCH = 1024
-RATE = 0.35
-#: Characters of text in a block, whose documents are scored together with the counts of their words.
-BLOCK_CHARS = 16_000_000
+BATCH = 2048
+#: Steps are RATE over the root of a row's squared gradients, which start from FIRST.
+RATE, FIRST = 1.0, 1.0
+#: Characters of text in a block.
+BLOCK_CHARS = 4_000_000
 #: Weight rows that travel together.
-SHARD = 512
+SHARD = 4096
 END = b""
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_MIX = np.random.default_rng(2024).integers(0, 1 << 32, (16, WIDTH * WIDTH), np.uint32)
+_ONES = np.ones(WIDTH, np.float32)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,8 +65,9 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def ending(word: bytes) -> bytes:
-    return word.rstrip(b".,;:!?\"')|")[-3:]
+def ending(word: bytes) -> int:
+    """The last three bytes before punctuation, as a number."""
+    return int.from_bytes(word.rstrip(b".,;:!?\"')|")[-3:], "big")
 
 
 def word_hash(word: bytes) -> int:
@@ -62,390 +75,455 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-@dataclass
-class Classes:
-    frequent: dict[bytes, int]
-    endings: dict[bytes, int]
-
-    def of(self, word: bytes) -> int:
-        k = self.frequent.get(word)
-        return self.of_ending(ending(word)) if k is None else k
-
-    def of_ending(self, e: bytes) -> int:
-        k = self.endings.get(e)
-        return FREQUENT + xxhash.xxh32_intdigest(e) % ENDINGS if k is None else k
-
-
-def group_endings(points: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Groups of the endings by k-means over their profiles, with ``weight`` words each."""
-    centres = points[np.argsort(-weight, kind="stable")[:ENDINGS]]
-    for _ in range(12):
-        far = (centres**2).sum(1)[None, :] - 2 * points @ centres.T
-        # Groups that hold more text attract less, so that they stay of like size.
-        near = far.argmin(1)
-        load = np.bincount(near, weight, len(centres)) / weight.sum()
-        near = (far + 0.02 * load[None, :]).argmin(1)
-        for k in range(len(centres)):
-            own = near == k
-            if own.any():
-                centres[k] = np.average(points[own], axis=0, weights=weight[own])
-    return near
-
-
-def _count_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words and, with ``is_ending``, endings, with how often they occur in a part of the texts."""
-    words: Counter[bytes] = Counter()
-
-    def counted() -> pd.DataFrame:
-        endings: Counter[bytes] = Counter()
-        for w, n in words.items():
-            endings[ending(w)] += n
-        size = len(words), len(endings)
-        return pd.DataFrame({"is_ending": np.repeat([False, True], size), "key": [*words, *endings], "n": [*words.values(), *endings.values()]})
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
+
+
+# Blocks of tokenised texts.
+
+BLOCKS = "block long, chars long, doc binary, out binary, size binary, ids binary, word binary, ending binary, n binary"
+
+
+def _tokenised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each block: documents with their lengths, numbers of all words, and for each number the word's hash, ending and count in training texts."""
+    context = TaskContext.get()
+    base, made = (context.partitionId() if context else 0) << 32, 0
+    docs: list[tuple[int, bool, np.ndarray]] = []
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    chars = 0
+
+    def block() -> pd.DataFrame:
+        ids = np.concatenate([x for *_, x in docs])
+        out, size = np.array([o for _, o, _ in docs]), np.array([len(x) for *_, x in docs])
+        n = np.bincount(ids[np.repeat(~out, size)], minlength=len(number))
+        row = {"doc": np.array([d for d, *_ in docs], np.int64), "out": out, "size": size.astype(np.int64), "ids": ids}
+        row |= {"word": np.fromiter(map(word_hash, number), np.int64, len(number)), "ending": np.fromiter(map(ending, number), np.int32, len(number)), "n": n.astype(np.int32)}
+        return pd.DataFrame({"block": [base + made], "chars": [chars]} | {k: [v.tobytes()] for k, v in row.items()})
 
     for frame in frames:
-        for t in frame["text"]:
-            words.update(tokens(t))
-        if len(words) > 400_000:
-            yield counted()
-            words.clear()
-    if words:
-        yield counted()
-
-
-def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All endings and the most frequent words of a partition that has whole counts."""
-    best = None
+        for doc, out, text in zip(frame["doc"], frame["out"], frame["text"]):
+            words = tokens(text)
+            docs.append((doc, bool(out), np.fromiter(map(number.__getitem__, words), np.int32, len(words))))
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS:
+                yield block()
+                docs, number, chars, made = [], defaultdict(count().__next__), 0, made + 1
+    if docs:
+        yield block()
+
+
+def tokenise(docs: DataFrame) -> DataFrame:
+    """Blocks of all rows of ``docs`` (doc_id, text), written to the shared folder; null texts are empty."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(id_or_marker("doc_id").alias("doc"), held_out().alias("out"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(rows.mapInPandas(_tokenised, BLOCKS), "op3-blocks")
+
+
+def _numbers(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(blob, kind)
+
+
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield frame[frame["is_ending"]]
-        words = frame[~frame["is_ending"]]
-        words = words if best is None else pd.concat([best, words], ignore_index=True)
-        best = words.sort_values(["n", "key"], ascending=[False, True]).head(FREQUENT)
-    if best is not None:
-        yield best
+        for block, word, end, n in zip(frame["block"], frame["word"], frame["ending"], frame["n"]):
+            word = _numbers(word, np.int64)
+            yield pd.DataFrame({"block": block, "at": np.arange(len(word), dtype=np.int32), "word": word, "ending": _numbers(end, np.int32), "n": _numbers(n, np.int32)})
 
 
-def _profiles(frequent: dict[bytes, int], names: dict[bytes, int]):
-    """Sums of the profiles, and numbers of words, of the endings ``names`` over the documents they occur in; in units of ``UNIT``."""
+def count_words(blocks: DataFrame) -> DataFrame:
+    """(block, at, word, ending, c, first): for each word of each block its count in all training texts; ``first`` marks one row of each word."""
+    entries = blocks.select("block", "word", "ending", "n").mapInPandas(_entries, "block long, at int, word long, ending int, n int")
+    same = Window.partitionBy("word")
+    found = entries.withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1})
+    return materialize(found.select("block", "at", "word", "ending", "c", "first"), "op3-words")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(names), FREQUENT + 1), np.int64)
-        code: dict[bytes, int] = {}
+
+# Classes.
+
+
+@dataclass
+class Members:
+    """The member of a word by its hash, or else by its ending."""
+
+    words: np.ndarray
+    of_word: np.ndarray
+    endings: np.ndarray
+    of_ending: np.ndarray
+    spare: np.ndarray
+
+    def of(self, word: np.ndarray, end: np.ndarray) -> np.ndarray:
+        found = self.spare[end % len(self.spare)]
+        for keys, values, asked in ((self.endings, self.of_ending, end), (self.words, self.of_word, word)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                found = np.where(keys[at] == asked, values[at], found)
+        return found
+
+    def arranged(self, place: np.ndarray) -> Members:
+        return Members(self.words, place[self.of_word], self.endings, place[self.of_ending], place[self.spare])
+
+
+def frequent_members(counted: DataFrame) -> tuple[Members, np.ndarray]:
+    """Members in order of frequency, and the hashes of the most frequent words."""
+    known = counted.where("first AND c > 0").select("word", "ending", "c")
+    top = known.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    rest = known
+    if top:
+        last = top[-1]
+        rest = known.where((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > last["word"])))
+    ends = [r["ending"] for r in rest.groupBy("ending").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()]
+    words = np.array([r["word"] for r in top], np.int64)
+    ends = np.array(ends, np.int32)
+    by_word, by_end = np.argsort(words), np.argsort(ends)
+    members = Members(words[by_word], by_word, ends[by_end], FREQUENT + by_end, np.arange(FREQUENT + ENDINGS, MEMBERS))
+    return members, words[:LANDMARKS]
+
+
+def member_counts(counted: DataFrame, members: Members) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and distinct training words of each member."""
+
+    def of_members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, docs in _chunks(frame["text"]):
-                if len(code) > 400_000:
-                    code = {}
-                words = [w for d in docs for w in d]
-                for w in set(words) - code.keys():
-                    k = frequent.get(w)
-                    code[w] = FREQUENT + names.get(ending(w), -1 - FREQUENT) if k is None else k
-                of = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
-                doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-                known = (of >= 0) & (of < FREQUENT)
-                profile = np.bincount(doc[known] * FREQUENT + of[known], minlength=len(docs) * FREQUENT).reshape(-1, FREQUENT)
-                total = profile.sum(axis=1, keepdims=True)
-                unit = np.rint(np.sqrt(np.c_[profile, total] / np.maximum(total, 1)) * UNIT).astype(np.int64)
-                mine = of >= FREQUENT
-                if not mine.any():
-                    continue
-                pair, n = np.unique((of[mine] - FREQUENT) * len(docs) + doc[mine], return_counts=True)
-                row = pair // len(docs)
-                head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                sums[row[head]] += np.add.reduceat(unit[pair % len(docs)] * n[:, None], head, axis=0)
-        for a in range(0, len(names), SHARD):
-            part = sums[a : a + SHARD]
-            if part.any():
-                yield pd.DataFrame({"shard": [a // SHARD], "sums": [part.tobytes()]})
+            m = members.of(frame["word"].to_numpy(), frame["ending"].to_numpy())
+            yield pd.DataFrame({"m": m.astype(np.int32), "n": frame["c"].to_numpy()})
 
-    return run
+    n, v = np.zeros(MEMBERS, np.int64), np.zeros(MEMBERS, np.int64)
+    words = counted.where("first AND c > 0").select("word", "ending", "c").mapInPandas(of_members, "m int, n long")
+    for r in words.groupBy("m").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # at most MEMBERS rows
+        n[r["m"]], v[r["m"]] = r["n"], r["v"]
+    return n, v
 
 
-def _added(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in frame["sums"])
-    return pd.DataFrame({"part": [frame["part"].iloc[0]], "shard": [frame["shard"].iloc[0]], "sums": [total.tobytes()]})
+@dataclass
+class Text:
+    """Training or all documents of a block: word numbers with their places in the documents, and the dictionary."""
 
+    ids: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    word: np.ndarray
+    member: np.ndarray
 
-def find_classes(docs: DataFrame, tasks: int, fan: int = FAN) -> tuple[Classes, np.ndarray]:
-    """Classes and how many words of the texts each has, counted over all rows of ``docs``.
 
-    Frequent words by count; endings grouped by k-means over the frequent words of the documents they occur in. ``tasks``
-    tasks sum the profiles, and at most about ``fan`` of these sums meet in a task.
-    """
-    keys = docs.select("text").mapInPandas(_count_keys, "is_ending boolean, key binary, n long").groupBy("is_ending", "key").agg(F.sum("n").alias("n"))
-    keys = materialize(keys.mapInPandas(_candidates, "is_ending boolean, key binary, n long"), "op3-keys")
-    order = F.desc("n"), "key"
-    top = [(bytes(r["key"]), r["n"]) for r in keys.where("NOT is_ending").orderBy(*order).limit(FREQUENT).collect()]
-    frequent = {w: k for k, (w, _) in enumerate(top)}
-    names = [bytes(r["key"]) for r in keys.where("is_ending").orderBy(*order).limit(MOST_ENDINGS).collect()]
-    sums = docs.select("text").coalesce(tasks).mapInPandas(_profiles(frequent, {e: k for k, e in enumerate(names)}), "shard int, sums binary").withColumn("part", F.spark_partition_id())
-    while True:
-        tasks = -(-tasks // fan)
-        sums = sums.withColumn("part", F.col("part") % tasks).groupBy("shard", "part").applyInPandas(_added, "part int, shard int, sums binary")
-        if tasks == 1:
-            break
-    table = np.zeros((len(names), FREQUENT + 1))
-    for r in sums.collect():  # of fixed size at most
-        table[r["shard"] * SHARD : (r["shard"] + 1) * SHARD] = np.frombuffer(r["sums"], np.int64).reshape(-1, FREQUENT + 1)
-    seen = np.flatnonzero(table[:, FREQUENT])
-    weight = table[seen, FREQUENT] / UNIT
-    near = group_endings(table[seen, :FREQUENT] / UNIT / weight[:, None], weight) if len(seen) else []
-    classes = Classes(frequent, {names[i]: FREQUENT + int(k) for i, k in zip(seen, near)})
-
-    def of_endings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"cls": [classes.of_ending(bytes(e)) for e in frame["key"]], "n": frame["n"].to_numpy()})
-
-    share = np.zeros(CLASSES, np.int64)
-    for r in keys.where("is_ending").mapInPandas(of_endings, "cls int, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect():
-        share[r["cls"]] = r["n"]
-    for w, n in top:  # these are among the endings too
-        share[classes.of_ending(ending(w))] -= n
-        share[frequent[w]] += n
-    return classes, share
-
-
-class Lookup:
-    """Numbers for the words of a block, with each number's hash, class and feature row."""
-
-    def __init__(self, classes: Classes):
-        self.classes, self.number = classes, {}
-        self.hash, self.cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        number = self.number
-        new = [w for w in set(words) if w not in number]
-        if new:
-            for w in new:
-                number[w] = len(number)
-            self.hash = np.r_[self.hash, np.fromiter(map(word_hash, new), np.int64, len(new))]
-            self.cls = np.r_[self.cls, np.fromiter(map(self.classes.of, new), np.int64, len(new))]
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-
-
-def feature_rows(ids: np.ndarray, place: np.ndarray, lookup: Lookup) -> np.ndarray:
-    """Rows of the weights for each position, SKIPS + 3 of them; ``place`` counts from a document's first word."""
-    cls, n = lookup.cls[ids], len(ids)
-    out = np.empty((SKIPS + 3, n), np.int32)
-    back = []
-    for k in range(1, SKIPS + 1):
-        c = np.full(n, CLASSES)
-        c[k:] = np.where(place[k:] >= k, cls[:-k] if k < n else cls[:0], CLASSES)
-        back.append(c)
-        out[k - 1] = (k - 1) * (CLASSES + 1) + c
-    base = SKIPS * (CLASSES + 1)
-    h = lookup.hash[ids].view(np.uint64) >> np.uint64(64 - 13)
-    for j, k in ((0, 1), (1, 2)):
-        w = np.zeros(n, np.int64)
-        w[k:] = np.where(place[k:] >= k, h[:-k].astype(np.int64) if k < n else h[:0].astype(np.int64), 0)
-        out[SKIPS + j] = base + j * HASHED + w
-    out[SKIPS + 2] = base + 2 * HASHED + (back[0] * 131 + back[1] * 8191) % HASHED
-    return out
+def places(size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
 
+def _text(row, members: Members, chosen=None) -> Text:
+    """``chosen`` tells which documents by (doc, size, out)."""
+    ids, size = _numbers(row.ids, np.int32), _numbers(row.size_, np.int64)
+    word = _numbers(row.word, np.int64)
+    if chosen is not None:
+        mine = chosen(_numbers(row.doc, np.int64), size, _numbers(row.out, bool))
+        ids, size = ids[np.repeat(mine, size)], size[mine]
+    return Text(ids, places(size), size, word, members.of(word, _numbers(row.ending, np.int32)).astype(np.int32))
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[0]]
-    for r in rows[1:]:
-        x += weights[r]
-    x += bias
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
+def _rows(frames: Iterator[pd.DataFrame]):
+    for frame in frames:
+        yield from frame.rename(columns={"size": "size_"}).itertuples(index=False)
+
+
+def _training(doc, size, out):
+    return ~out
+
+
+def neighbours(blocks: DataFrame, members: Members, landmarks: np.ndarray) -> np.ndarray:
+    """How often each member has each landmark (or another word) among the two words before it and the two after it."""
+    side = len(landmarks) + 1
+    order = np.argsort(landmarks)
+    known = landmarks[order]
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(MEMBERS * 2 * side, np.int64)
+        for row in _rows(frames):
+            text = _text(row, members, _training)
+            at = np.minimum(np.searchsorted(known, text.word), len(known) - 1)
+            near = np.where(known[at] == text.word, order[at], side - 1)[text.ids]
+            m = text.member[text.ids].astype(np.int64)
+            for k in (1, 2):
+                ok = text.place[k:] >= k
+                for a, b, shift in ((m[k:], near[:-k], 0), (m[:-k], near[k:], side)):
+                    key, n = np.unique((a * (2 * side) + b + shift)[ok], return_counts=True)
+                    sums[key] += n
+        key = np.flatnonzero(sums)
+        if len(key):
+            yield pd.DataFrame({"key": key.astype(np.int32), "n": sums[key]})
+
+    table = np.zeros(MEMBERS * 2 * side)
+    if len(landmarks):
+        columns = blocks.select("doc", "out", "size", "ids", "word", "ending")
+        found = columns.mapInPandas(counted, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # two million rows at most
+        table[found["key"].to_numpy()] = found["n"].to_numpy()
+    return table.reshape(MEMBERS, 2 * side)
+
+
+def arrangement(profile: np.ndarray) -> np.ndarray:
+    """New numbers of the members, so that those of a class, and within it of a group, have like neighbours: halves along the direction of most variance, ten times."""
+    weight = profile.sum(axis=1)
+    points = np.sqrt(profile / np.maximum(weight, 1)[:, None])
+    cells = [np.arange(len(points))]
+    while len(cells) < WIDTH * WIDTH:
+        halves = []
+        for cell in cells:
+            w = weight[cell] + 1e-3
+            x = points[cell] - np.average(points[cell], axis=0, weights=w)
+            _, directions = np.linalg.eigh((x * w[:, None]).T @ x)
+            order = cell[np.argsort(x @ directions[:, -1], kind="stable")]
+            halves += [order[: len(order) // 2], order[len(order) // 2 :]]
+        cells = halves
+    place = np.empty(len(points), np.int64)
+    place[np.concatenate(cells)] = np.arange(len(points))
+    return place
+
+
+# Features and factors.
+
+
+def _back(x: np.ndarray, place: np.ndarray, k: int, nothing: int) -> np.ndarray:
+    out = np.full(len(x), nothing, x.dtype)
+    if k < len(x):
+        out[k:] = np.where(place[k:] >= k, x[:-k], x.dtype.type(nothing))
+    return out
 
-def _chunks(texts, limit: int = 1_000_000) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(number of the first text, tokens of some texts)."""
-    some, chars, first = [], 0, 0
-    for k, t in enumerate(texts):
-        some.append(tokens(t))
-        chars += len(t or "")
-        if chars >= limit:
-            yield first, some
-            some, chars, first = [], 0, k + 1
-    if some:
-        yield first, some
+
+def n_rows(bits: int) -> int:
+    return sum(FEATURES) << bits
+
+
+def feature_rows(ids: np.ndarray, place: np.ndarray, text: Text, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For class, group and member: rows of the weights by feature and position, the context of the bias, and the target."""
+    h = (text.word.view(np.uint64) >> np.uint64(32)).astype(np.uint32)[ids]
+    m = text.member[ids]
+    group, cls = m >> 5, m >> 10
+    h1, h2, h3 = (_back(h, place, k, 0) for k in (1, 2, 3))
+    c = [None, *(_back(cls, place, k, WIDTH - 1) for k in range(1, BACK + 1))]
+    mix = lambda k, x: _MIX[k][x]
+    features = (
+        (h1, h1 ^ mix(0, c[2]), h2, mix(1, c[3]) ^ mix(2, c[4]), mix(1, c[5]) ^ mix(2, c[6])),
+        (h1 ^ mix(3, cls), h2 ^ mix(4, cls), h3 ^ mix(5, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
+        (h1 ^ mix(9, group), h2 ^ mix(10, group), mix(11, c[1]) ^ mix(12, c[2]) ^ mix(13, group)),
+    )
+    rows, shift, base = [], np.uint32(32 - bits), 0
+    for some in features:
+        level = np.empty((len(some), len(ids)), np.int32)
+        for k, x in enumerate(some):
+            np.add((x >> shift).astype(np.int32), base, out=level[k])
+            base += 1 << bits
+        rows.append(level)
+    return rows, [np.zeros(len(ids), np.int32), cls, group], [cls, group & (WIDTH - 1), m & (WIDTH - 1)]
+
+
+def biases(n: np.ndarray) -> list[np.ndarray]:
+    """Log shares of the classes, of the groups in each class and of the members in each group."""
+    out = []
+    for x in (n.reshape(1, WIDTH, -1).sum(axis=2), n.reshape(WIDTH, WIDTH, -1).sum(axis=2), n.reshape(-1, WIDTH)):
+        x = x + 1 / WIDTH
+        out.append(np.log(x / x.sum(axis=1, keepdims=True)).astype(np.float32))
+    return out
 
 
-def _flat(docs: list[list[bytes]], lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word numbers, places in the document, lengths)."""
-    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    ids = lookup.ids([w for d in docs for w in d])
-    return ids, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Probabilities by position; the exponents are kept below 60, so that no sum overflows."""
+    x = np.take(bias, context, axis=0)
+    one = np.empty_like(x)
+    for r in rows:
+        x += np.take(weights, r, axis=0, out=one, mode="clip")
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x *= (1 / (x @ _ONES))[:, None]
+    return x
 
 
 def row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sum of g over the places that name each); ``rows`` has a line of as many places as ``g`` for each feature.
+    """(distinct rows, sums of ``g`` over the positions that name each).
 
-    Places of a row are added in pairs, level by level.
+    ``rows`` has a line for each feature, with no row in two lines. Rows of many positions are summed by a product with 0 and 1.
     """
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    count = np.diff(np.r_[head, len(flat)])
-    total, which, x, at = np.zeros((len(head), g.shape[1]), g.dtype), np.arange(len(head)), g, order % len(g)
-    while len(which):
-        end = np.cumsum(count)
-        odd = count % 2 == 1
-        total[which[odd]] += x[at[end[odd] - 1]]
-        half = count // 2
-        first = np.repeat(end - count - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(half.sum())
-        y = x[at[first]]
-        y += x[at[first + 1]]
-        more = half > 0
-        which, count, x, at = which[more], half[more], y, np.arange(len(y))
-    return ordered[head], total
-
-
-def _trainer(classes: Classes, weights, bias):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, b = weights.value, bias
-        w = start.astype(np.float32)
-        slope = np.full(ROWS, 1e-3, np.float32)
-        lookup, worked = Lookup(classes), 0
-        for frame in frames:
-            for _, docs in _chunks(frame["text"]):
-                if len(lookup.number) > 400_000:
-                    lookup = Lookup(classes)
-                ids, place, _ = _flat(docs, lookup)
-                rows = feature_rows(ids, place, lookup)
-                own = lookup.cls[ids]
-                for a in range(0, len(ids), BATCH):
-                    r, c = rows[:, a : a + BATCH], own[a : a + BATCH]
-                    g = -np.exp(_log_softmax(w, b, r))
-                    g[np.arange(len(c)), c] += 1
-                    used, total = row_sums(g, r)
-                    slope[used] += (total**2).sum(axis=1)
-                    w[used] += (RATE / np.sqrt(slope[used]))[:, None] * total
-                worked += len(ids)
-        if worked:
-            change = w - start
-            for s in range(0, ROWS, SHARD):
-                part = change[s : s + SHARD]
-                if part.any():
-                    yield pd.DataFrame({"shard": [s // SHARD], "positions": [worked], "change": [part.astype(np.float16).tobytes()]})
+    n = len(g)
+    key = (rows.astype(np.int64) << 32) | np.arange(n)
+    key = np.sort(key.ravel())
+    row, at = key >> 32, key & 0xFFFFFFFF
+    head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    times = np.diff(np.r_[head, len(key)])
+    total, each = np.empty((len(head), g.shape[1]), g.dtype), np.repeat(times, times)
+    single = times == 1
+    total[single] = g[at[head[single]]]
+    some = (times > 1) & (times < 8)
+    if some.any():
+        t = times[some]
+        total[some] = np.add.reduceat(g[at[(each > 1) & (each < 8)]], np.cumsum(t) - t, axis=0)
+    many = np.flatnonzero(times >= 8)
+    for a in range(0, len(many), 256):
+        part = many[a : a + 256]
+        table = np.zeros((len(part), n), g.dtype)
+        for k, i in enumerate(part):
+            table[k, at[head[i] : head[i] + times[i]]] = 1
+        total[part] = table @ g
+    return row[head], total
+
+
+def update(weights: np.ndarray, seen: np.ndarray, text: Text, bias: list[np.ndarray], bits: int) -> None:
+    """Gradient updates at every position, in place; ``seen`` sums the squared gradients of each row and sets its step."""
+    for a in range(0, len(text.ids), 128 * 1024):
+        from_ = max(0, a - BACK)
+        rows, context, target = feature_rows(text.ids[from_ : a + 128 * 1024], text.place[from_ : a + 128 * 1024], text, bits)
+        for b in range(a - from_, len(context[0]), BATCH):
+            for r, c, t, own in zip(rows, context, target, bias):
+                r, t = r[:, b : b + BATCH], t[b : b + BATCH]
+                g = softmax(weights, r, own, c[b : b + BATCH])
+                np.negative(g, out=g)
+                g[np.arange(len(t)), t] += 1
+                used, total = row_sums(g, r)
+                slope = seen[used] + np.einsum("ij,ij->i", total, total)
+                seen[used] = slope
+                total *= (RATE / np.sqrt(slope))[:, None]
+                weights[used] += total
+
+
+# Training.
+
+CHANGES = "shard int, positions long, row binary, energy binary, change binary"
 
-    return run
 
+@dataclass
+class MaxentLm:
+    members: Members
+    n: np.ndarray
+    v: np.ndarray
+    bias: list[np.ndarray]
+    bits: int
+    weights: np.ndarray
+    seen: np.ndarray
+
+
+def turn_of(doc: np.ndarray, size: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which a document trains; documents of one id (or none) are told apart by their lengths."""
+    x = (doc.view(np.uint64) + size.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((x >> np.uint64(40)) % np.uint64(rounds)).astype(np.int64)
+
+
+def _trainer(members: Members, bias: list[np.ndarray], bits: int, state, turn: int, rounds: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, before = state.value
+        w, seen, worked = start.copy(), before.copy(), 0
+        for row in _rows(frames):
+            text = _text(row, members, lambda doc, size, out: ~out & (turn_of(doc, size, rounds) == turn))
+            if len(text.ids):
+                update(w, seen, text, bias, bits)
+                worked += len(text.ids)
+        for s in range(0, len(w), SHARD) if worked else ():
+            energy = seen[s : s + SHARD] - before[s : s + SHARD]
+            row = np.flatnonzero(energy > 0)
+            if len(row):
+                change = (w[s + row] - start[s + row]).astype(np.float16)
+                yield pd.DataFrame({"shard": [s // SHARD], "positions": [worked], "row": [row.astype(np.int16).tobytes()], "energy": [energy[row].tobytes()], "change": [change.tobytes()]})
 
-CHANGES = "shard int, positions long, change binary"
+    return run
 
 
 def mean_changes(changes: DataFrame, trainers: int, fan: int = FAN) -> DataFrame:
-    """Mean of the trainers' changes of each shard, by the positions they trained on, as float32.
+    """Of each shard: the mean change of each row over the trainers that saw it, by the energy of their gradients, and the sum of these.
 
-    Rows have ``trainer`` (from 0), shard, positions and change (float16). At most about ``fan`` of them meet in a task: means
-    of groups are averaged again until one group is left.
+    Rows have ``trainer`` (from 0), shard, positions, row (int16), energy (float32) and change (float16). At most about ``fan``
+    of them meet in a task: means of groups are averaged again until one group is left.
     """
 
-    def mean(kind: type):
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            share = frame["positions"].to_numpy(float)
-            total = sum(np.frombuffer(c, kind).astype(np.float32) * s for c, s in zip(frame["change"], share))
-            return pd.DataFrame({"trainer": [frame["trainer"].iloc[0]], "shard": [frame["shard"].iloc[0]], "positions": [int(share.sum())], "change": [(total / share.sum()).astype(np.float32).tobytes()]})
-
-        return run
+    def mean(frame: pd.DataFrame) -> pd.DataFrame:
+        total, share = np.zeros((SHARD, WIDTH), np.float32), np.zeros(SHARD, np.float32)
+        for row, energy, change in zip(frame["row"], frame["energy"], frame["change"]):
+            row, energy = _numbers(row, np.int16), _numbers(energy, np.float32)
+            total[row] += energy[:, None] * _numbers(change, np.float16).reshape(-1, WIDTH)
+            share[row] += energy
+        row = np.flatnonzero(share)
+        change = (total[row] / share[row, None]).astype(np.float16)
+        return pd.DataFrame({"trainer": [frame["trainer"].iloc[0]], "shard": [frame["shard"].iloc[0]], "positions": [frame["positions"].sum()], "row": [row.astype(np.int16).tobytes()], "energy": [share[row].tobytes()], "change": [change.tobytes()]})
 
-    kind = np.float16
     while True:
         trainers = -(-trainers // fan)
-        changes = changes.withColumn("trainer", F.col("trainer") % trainers).groupBy("shard", "trainer").applyInPandas(mean(kind), f"trainer int, {CHANGES}")
-        kind = np.float32
+        changes = changes.withColumn("trainer", F.col("trainer") % trainers).groupBy("shard", "trainer").applyInPandas(mean, f"trainer int, {CHANGES}")
         if trainers == 1:
             return changes.drop("trainer")
 
 
-def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
-
-
-@dataclass
-class MaxentLm:
-    classes: Classes
-    weights: np.ndarray
-    bias: np.ndarray
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS, trainer_chars: int = TRAINER_CHARS) -> MaxentLm:
-    """Fit on all rows of ``docs`` (doc_id, text); a third of the rows in each of three rounds."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+def train(blocks: DataFrame, counted: DataFrame, rounds: int = ROUNDS, trainer_chars: int = TRAINER_CHARS) -> MaxentLm:
+    """Fit on all training documents of the blocks; about a third of them in each of three rounds."""
+    context = blocks.sparkSession.sparkContext
+    chars = blocks.agg(F.sum("chars")).first()[0] or 0
+    members, landmarks = frequent_members(counted)
+    members = members.arranged(arrangement(neighbours(blocks, members, landmarks)))
+    n, v = member_counts(counted, members)
+    bias = biases(n)
+    bits = min(MOST_BITS, max(LEAST_BITS, (chars // ROW_CHARS).bit_length() - 1))
     trainers = max(TRAINERS, chars // rounds // trainer_chars + 1)
-    classes, share = find_classes(docs, trainers)
-    bias = np.log((share + 1.0) / (share.sum() + CLASSES)).astype(np.float32)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    turn = F.pmod(F.xxhash64(F.lit("round"), F.col("doc_id")), F.lit(rounds))
+    weights, seen = np.zeros((n_rows(bits), WIDTH), np.float32), np.full(n_rows(bits), FIRST, np.float32)
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast(weights)
-        changes = docs.where(turn == k).select("text").coalesce(trainers).mapInPandas(_trainer(classes, sent, bias), CHANGES)
-        got = mean_changes(changes.withColumn("trainer", F.spark_partition_id()), trainers).collect()  # the weights, whose size is fixed
-        weights = weights.copy()
+        state = context.broadcast((weights, seen))  # at most n_rows(MOST_BITS) rows
+        columns = blocks.select("doc", "out", "size", "ids", "word", "ending").coalesce(trainers)
+        changes = columns.mapInPandas(_trainer(members, bias, bits, state, k, rounds), CHANGES)
+        got = mean_changes(changes.withColumn("trainer", F.spark_partition_id()), trainers).collect()  # the weights, whose size is bounded
+        weights, seen = weights.copy(), seen.copy()
         for r in got:
-            weights[r["shard"] * SHARD : (r["shard"] + 1) * SHARD] += np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
-        sent.destroy()
-    return MaxentLm(classes, weights, bias)
-
-
-def score(docs: DataFrame, model: MaxentLm) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; held-out rows don't count."""
-    spark = docs.sparkSession
-    classes = model.classes
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    blocks = int(chars // BLOCK_CHARS) + 1
-    block = F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(blocks)).cast("int")
-    rows = docs.select(block.alias("block"), id_or_marker("doc_id").alias("doc"), held_out().alias("held_out"), text.alias("text"))
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: Counter[bytes] = Counter()
-        other: set[bytes] = set()
-        for t, out in zip(frame["text"], frame["held_out"]):
-            if out:
-                other.update(tokens(t))
-            else:
-                seen.update(tokens(t))
-        words = [*seen, *(other - seen.keys())]
-        return pd.DataFrame({"block": np.int32(frame["block"].iloc[0]), "word": np.fromiter(map(word_hash, words), np.int64, len(words)), "cls": np.fromiter(map(classes.of, words), np.int32, len(words)), "n": np.fromiter((seen[w] for w in words), np.int64, len(words))})
-
-    words = rows.groupBy("block").applyInPandas(count, "block int, word long, cls int, n long")
-    same = Window.partitionBy("word")
-    counted = words.withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1}).select("block", "word", "cls", "c", "first")
-    counted = materialize(counted, "op3-words")
-    known = counted.where("first AND c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in known:
-        n[r["cls"]], v[r["cls"]] = r["n"], r["v"]
-    train_tokens = int(n.sum())
-    base_norm = float(np.log10(n.sum() + 0.5 * (v.sum() + 1)))
-    class_norm = np.log10(n + 0.5 * (v + 1))
-    weights, bias = spark.sparkContext.broadcast(model.weights), model.bias
-
-    def scored(key, docs_of: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(counts["word"].to_numpy())
-        word, c = counts["word"].to_numpy()[order], counts["c"].to_numpy()[order]
-        lookup, w, out = Lookup(classes), weights.value, []
-        for _, some in _chunks(docs_of["text"]):
-            ids, place, sizes = _flat(some, lookup)
-            count_of = c[np.searchsorted(word, lookup.hash)] if len(word) else np.zeros(len(lookup.hash), np.int64)
-            mine, cls = count_of[ids], lookup.cls[ids]
-            own = np.log10(mine + 0.5)
-            rows_of, chosen = feature_rows(ids, place, lookup), np.empty(len(ids))
-            for a in range(0, len(ids), 8192):
-                part = _log_softmax(w, bias, rows_of[:, a : a + 8192])
-                chosen[a : a + 8192] = part[np.arange(len(part)), cls[a : a + 8192]]
-            begin = np.cumsum(sizes) - sizes
+            row = r["shard"] * SHARD + _numbers(r["row"], np.int16).astype(np.int64)
+            weights[row] += _numbers(r["change"], np.float16).reshape(-1, WIDTH)
+            seen[row] += _numbers(r["energy"], np.float32)
+        state.destroy()
+    return MaxentLm(members, n, v, bias, bits, weights, seen)
+
+
+# Scores.
+
+
+def log_factors(text: Text, weights: np.ndarray, bias: list[np.ndarray], bits: int) -> np.ndarray:
+    """Log10 of the three factors that depend on the history, at each position."""
+    total = np.zeros(len(text.ids))
+    for a in range(0, len(text.ids), 128 * 1024):
+        from_ = max(0, a - BACK)
+        rows, context, target = feature_rows(text.ids[from_ : a + 128 * 1024], text.place[from_ : a + 128 * 1024], text, bits)
+        for b in range(a - from_, len(context[0]), 8192):
+            for r, c, t, own in zip(rows, context, target, bias):
+                t = t[b : b + 8192]
+                p = softmax(weights, r[:, b : b + 8192], own, c[b : b + 8192])
+                total[from_ + b : from_ + b + len(t)] += np.log10(p[np.arange(len(t)), t])
+    return total
+
+
+def score(blocks: DataFrame, counted: DataFrame, model: MaxentLm) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    members, bias, bits = model.members, model.bias, model.bits
+    train_tokens = int(model.n.sum())
+    base_norm = float(np.log10(model.n.sum() + 0.5 * (model.v.sum() + 1)))
+    member_norm = np.log10(model.n + 0.5 * (model.v + 1))
+    state = blocks.sparkSession.sparkContext.broadcast((model.weights, member_norm))
+
+    def scored(key, own: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        weights, norm = state.value
+        c = np.zeros(len(counts), np.int64)
+        c[counts["at"].to_numpy()] = counts["c"].to_numpy()
+        out = []
+        for row in _rows(iter([own])):
+            text = _text(row, members)
+            log_c = np.log10(c + 0.5)
+            begin = np.cumsum(text.size) - text.size
             total = lambda x, begin=begin: np.add.reduceat(x, begin)
-            out.append(pd.DataFrame({"n_tokens": sizes, "n_known": total((mine > 0).astype(np.int64)), "base_score": total(own - base_norm), "score": total(chosen / np.log(10) + own - class_norm[cls])}))
-            if len(lookup.number) > 400_000:
-                lookup = Lookup(classes)
-        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: [] for k in ("n_tokens", "n_known", "base_score", "score")})
-        return pd.DataFrame({"doc": docs_of["doc"].to_numpy(), "held_out": docs_of["held_out"].to_numpy()}).join(found)
-
-    done = rows.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInPandas(scored, "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            values = log_factors(text, weights, bias, bits) + (log_c - norm[text.member])[text.ids]
+            out.append(pd.DataFrame({
+                "doc": _numbers(row.doc, np.int64), "held_out": _numbers(row.out, bool), "n_tokens": text.size, "n_known": total((c > 0).astype(np.int64)[text.ids]),
+                "base_score": total((log_c - base_norm)[text.ids]), "score": total(values),
+            }))
+        return pd.concat(out, ignore_index=True)
+
+    columns = blocks.select("block", "doc", "out", "size", "ids", "word", "ending")
+    done = columns.groupBy("block").cogroup(counted.select("block", "at", "c").groupBy("block")).applyInPandas(scored, "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(id_or_null("doc").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_query(docs: DataFrame) -> DataFrame:
-    """A row for each input row; null texts are empty and have the end only. Rows without an id train."""
-    docs = docs.select("doc_id", "text")
-    return score(docs, train(docs.where(~held_out())))
+    """A row for each input row, repeated rows included; other columns than doc_id and text are not read.
+
+    Null and empty texts have the end only. Rows without an id train. Where nothing trains, all words are unknown. Texts are
+    never cut; a very long one makes a block of its own.
+    """
+    blocks = tokenise(docs.select("doc_id", "text"))
+    counted = count_words(blocks)
+    return score(blocks, counted, train(blocks, counted))

@@ -64,32 +64,66 @@ def test_language_model(spark):
     assert maxent_lm.op3_query(df.where("doc_id < 0")).collect() == []
 
 
+def blocks_of(texts, out=None):
+    frame = pd.DataFrame({"doc": range(len(texts)), "out": out or [False] * len(texts), "text": texts})
+    return pd.concat(list(maxent_lm._tokenised(iter([frame.iloc[:2], frame.iloc[2:]]))))
+
+
+def plain_members(words):
+    h = np.array([maxent_lm.word_hash(w) for w in words])
+    return maxent_lm.Members(np.sort(h), np.argsort(h) * 33, np.zeros(0, np.int32), np.zeros(0, np.int64), np.arange(maxent_lm.MEMBERS - 8, maxent_lm.MEMBERS))
+
+
 def test_every_position_trains():
     texts = ["one two", "", None, "three four five " * 700, "six"]
-    classes = maxent_lm.Classes({w: k for k, w in enumerate([b"", b"one", b"two", b"three", b"four", b"five", b"six"])}, {})
-    sent = type("Sent", (), {"value": np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES), np.float32)})()
-    got = list(maxent_lm._trainer(classes, sent, np.zeros(maxent_lm.CLASSES, np.float32))(iter([pd.DataFrame({"text": texts[:2]}), pd.DataFrame({"text": texts[2:]})])))
-    assert {n for x in got for n in x["positions"]} == {sum(len(maxent_lm.tokens(t)) for t in texts)}
-    change = {s: np.frombuffer(c, np.float16).reshape(-1, maxent_lm.CLASSES) for x in got for s, c in zip(x["shard"], x["change"])}
+    words = [b"", b"one", b"two", b"three", b"four", b"five", b"six"]
+    members, bits = plain_members(words), 14
+    start = np.zeros((maxent_lm.n_rows(bits), maxent_lm.WIDTH), np.float32), np.full(maxent_lm.n_rows(bits), maxent_lm.FIRST, np.float32)
+    sent = type("Sent", (), {"value": start})()
+    bias, blocks, positions, moved = maxent_lm.biases(np.zeros(maxent_lm.MEMBERS)), blocks_of(texts), set(), np.zeros_like(start[0])
+    for turn in range(3):
+        for x in maxent_lm._trainer(members, bias, bits, sent, turn, 3)(iter([blocks])):
+            positions |= {(turn, n) for n in x["positions"]}
+            for s, row, change in zip(x["shard"], x["row"], x["change"]):
+                moved[s * maxent_lm.SHARD + np.frombuffer(row, np.int16).astype(np.int64)] += np.frombuffer(change, np.float16).reshape(-1, maxent_lm.WIDTH)
+    assert sum(n for _, n in positions) == sum(len(maxent_lm.tokens(t)) for t in texts)
     for before, after in ((b"one", b"two"), (b"two", b""), (b"six", b"")):  # each pair of a short text leaves its mark
-        row = maxent_lm.SKIPS * (maxent_lm.CLASSES + 1) + ((maxent_lm.word_hash(before) % (1 << 64)) >> 51)
-        assert change[row // maxent_lm.SHARD][row % maxent_lm.SHARD].argmax() == classes.frequent[after]
-
-
-def test_classes_come_from_all_documents(spark):
+        row = (maxent_lm.word_hash(before) % (1 << 64)) >> (64 - bits)
+        assert moved[row].argmax() == words.index(after) * 33 >> 10 and start[0].max() == 0
+
+
+def test_blocks_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "BLOCK_CHARS", 40)
+    texts = ["The sea, the SEA", None, "blue", "", "the end of the long and winding road to the north", "x"]
+    got = blocks_of(texts, [False, False, True, False, False, True])
+    assert len(got) > 1
+    seen = []
+    for row in maxent_lm._rows(iter([got])):
+        ids, size = np.frombuffer(row.ids, np.int32), np.frombuffer(row.size_, np.int64)
+        word, n, out = np.frombuffer(row.word, np.int64), np.frombuffer(row.n, np.int32), np.frombuffer(row.out, bool)
+        assert np.array_equal(n, np.bincount(ids[np.repeat(~out, size)], minlength=len(word)))
+        seen += [list(word[x]) for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert seen == [[maxent_lm.word_hash(w) for w in maxent_lm.tokens(t)] for t in texts]
+
+
+def test_members_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "BLOCK_CHARS", 3000)
     letters = "bcdfghjklmnpqrstvwxz"
-    own = [a + b + c for a in letters for b in letters for c in letters][:4100]  # an ending of its own for each document
-    texts = [f"The sea {'was' if k % 3 else 'IS'} x{own[k]}, blue" for k in range(4100)] + [None, ""]
+    own = [a + b + c for a in letters for b in letters for c in letters][:3000]  # an ending of its own for each document
+    texts = [f"The sea {'was' if k % 3 else 'IS'} x{own[k]}, blue" for k in range(3000)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-    classes, share = maxent_lm.find_classes(df, 7, fan=2)
-    count = Counter(w for t in texts for w in maxent_lm.tokens(t))
-    assert list(classes.frequent) == [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: maxent_lm.FREQUENT]]
-    assert {maxent_lm.ending(w) for w in count if w not in classes.frequent} <= set(classes.endings)
-    want = Counter()
-    for w, n in count.items():
-        want[classes.of(w)] += n
-    assert {k: n for k, n in enumerate(share) if n} == dict(want)
-    assert maxent_lm.find_classes(df.repartition(3), 3)[0] == classes
+    monkeypatch.setattr(maxent_lm, "FREQUENT", 8)
+    counted = maxent_lm.count_words(maxent_lm.tokenise(df))
+    members, landmarks = maxent_lm.frequent_members(counted)
+    count = Counter(w for k, t in enumerate(texts) for w in maxent_lm.tokens(t) if zlib.crc32(str(k).encode()) % 5 != 1)
+    top = sorted(count.items(), key=lambda x: (-x[1], maxent_lm.word_hash(x[0])))[:8]
+    assert list(landmarks) == [maxent_lm.word_hash(w) for w, _ in top]
+    assert set(members.endings) == {maxent_lm.ending(w) for w in count if w not in dict(top)}
+    n, v = maxent_lm.member_counts(counted, members)
+    assert n.sum() == count.total() and v.sum() == len(count)
+    word = np.array([maxent_lm.word_hash(w) for w in count])
+    mine = members.of(word, np.array([maxent_lm.ending(w) for w in count]))
+    assert np.array_equal(np.bincount(mine, list(count.values()), maxent_lm.MEMBERS), n)
 
 
 def test_row_sums():
@@ -99,27 +133,44 @@ def test_row_sums():
     want = np.zeros((902, 3))
     for line in rows:
         np.add.at(want, line, g)
-    assert sorted(used) == sorted(set(rows.ravel())) and total == pytest.approx(want[used])
+    assert list(used) == sorted(set(rows.ravel())) and total == pytest.approx(want[used])
 
 
 def test_changes_are_averaged_in_levels(spark):
     r = np.random.default_rng(2)
-    rows = [(t, s, int(r.integers(1, 9)), r.normal(size=(2, maxent_lm.CLASSES)).astype(np.float16)) for t in range(20) for s in range(3) if s < 2 or t % 7 == 0]
-    df = spark.createDataFrame([(t, s, n, x.tobytes()) for t, s, n, x in rows], f"trainer int, {maxent_lm.CHANGES}")
+    width, rows = maxent_lm.WIDTH, []
+    for t in range(20):
+        for s in range(3):
+            row = np.flatnonzero(r.random(50) < 0.3).astype(np.int16)
+            rows.append((t, s, 5, row, (r.random(len(row)) + 0.1).astype(np.float32), r.normal(size=(len(row), width)).astype(np.float16)))
+    df = spark.createDataFrame([(t, s, n, row.tobytes(), e.tobytes(), x.tobytes()) for t, s, n, row, e, x in rows], f"trainer int, {maxent_lm.CHANGES}")
     for fan in (3, 256):
         got = {x["shard"]: x for x in maxent_lm.mean_changes(df, 20, fan).collect()}
         for s in range(3):
-            own = [(n, x.astype(float)) for _, k, n, x in rows if k == s]
-            assert got[s]["positions"] == sum(n for n, _ in own)
-            want = np.average([x for _, x in own], axis=0, weights=[n for n, _ in own])
-            assert np.frombuffer(got[s]["change"], np.float32).reshape(2, -1) == pytest.approx(want, abs=1e-4)
-
-
-def test_class_probabilities_sum_to_one():
+            share, total = np.zeros(50), np.zeros((50, width))
+            for _, k, _, row, e, x in rows:
+                if k == s:
+                    share[row] += e
+                    total[row] += e[:, None] * x.astype(float)
+            row = np.frombuffer(got[s]["row"], np.int16)
+            assert list(row) == list(np.flatnonzero(share)) and got[s]["positions"] == 100
+            assert np.frombuffer(got[s]["energy"], np.float32) == pytest.approx(share[row], rel=1e-4)
+            assert np.frombuffer(got[s]["change"], np.float16).reshape(-1, width) == pytest.approx(total[row] / share[row, None], abs=5e-3)
+
+
+def test_factors_sum_to_one():
+    """Over all members, the three factors of one history add up to one."""
     r = np.random.default_rng(1)
-    w, b = r.normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32), r.normal(size=maxent_lm.CLASSES).astype(np.float32)
-    rows = r.integers(0, maxent_lm.ROWS, (maxent_lm.SKIPS + 3, 50))
-    assert np.exp(maxent_lm._log_softmax(w, b, rows)).sum(1) == pytest.approx(np.ones(50), rel=1e-4)
+    bits, width = 4, maxent_lm.WIDTH
+    weights = r.normal(size=(maxent_lm.n_rows(bits), width)).astype(np.float32)
+    bias = maxent_lm.biases(r.integers(0, 50, maxent_lm.MEMBERS))
+    m = np.arange(maxent_lm.MEMBERS)
+    word = r.integers(-(1 << 62), 1 << 62, maxent_lm.MEMBERS)
+    history = np.tile([5, 900, 31000], len(m))
+    ids = np.empty(4 * len(m), np.int64)
+    ids.reshape(-1, 4)[:, :3], ids.reshape(-1, 4)[:, 3] = history.reshape(-1, 3), m
+    text = maxent_lm.Text(ids, np.tile(np.arange(4), len(m)), np.full(len(m), 4), word, m.astype(np.int32))
+    assert (10 ** maxent_lm.log_factors(text, weights, bias, bits)).reshape(-1, 4)[:, 3].sum() == pytest.approx(1, rel=1e-3)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><nav class="menu"><a href=x>Home</a></nav>
