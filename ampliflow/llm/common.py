@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,20 +36,20 @@ FREQUENT, ENDINGS = 24 * 1024, 7 * 1024
 #: Neighbours by which members are compared: so many frequent words and one for all others, on both sides.
 LANDMARKS = 31
 #: Hashed features of the class, the group and the member.
-FEATURES = (5, 4, 3)
+FEATURES = (5, 3, 3)
 #: Classes this far back are seen.
 BACK = 6
 #: Rows of a feature: a row for each so many characters of training text, in powers of two between these bounds.
-ROW_CHARS, LEAST_BITS, MOST_BITS = 4096, 14, 15
-ROUNDS = 3
+ROW_CHARS, LEAST_BITS, MOST_BITS = 8192, 14, 15
+ROUNDS = 2
 #: A round has a trainer for each so many characters of its texts, and this many at least; changes are averaged by groups of at most FAN trainers.
 TRAINER_CHARS, TRAINERS = 48_000_000, 8
 FAN = 256
-BATCH = 2048
+BATCH = 1024
 #: Steps are RATE over the root of a row's squared gradients, which start from FIRST.
 RATE, FIRST = 1.0, 1.0
 #: Characters of text in a block.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 #: Weight rows that travel together.
 SHARD = 4096
 END = b""
@@ -131,11 +131,11 @@ def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def count_words(blocks: DataFrame) -> DataFrame:
-    """(block, at, word, ending, c, first): for each word of each block its count in all training texts; ``first`` marks one row of each word."""
+    """(block, at, c, first, word, ending): for each word of each block its count in all training texts; ``first`` marks one row of each word, which has its hash and ending."""
     entries = blocks.select("block", "word", "ending", "n").mapInPandas(_entries, "block long, at int, word long, ending int, n int")
     same = Window.partitionBy("word")
     found = entries.withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1})
-    return materialize(found.select("block", "at", "word", "ending", "c", "first"), "op3-words")
+    return materialize(found.select("block", "at", "c", "first", *[F.when(F.col("first"), F.col(k)).alias(k) for k in ("word", "ending")]), "op3-words")
 
 
 # Classes.
@@ -296,12 +296,12 @@ def feature_rows(ids: np.ndarray, place: np.ndarray, text: Text, bits: int) -> t
     h = (text.word.view(np.uint64) >> np.uint64(32)).astype(np.uint32)[ids]
     m = text.member[ids]
     group, cls = m >> 5, m >> 10
-    h1, h2, h3 = (_back(h, place, k, 0) for k in (1, 2, 3))
+    h1, h2 = (_back(h, place, k, 0) for k in (1, 2))
     c = [None, *(_back(cls, place, k, WIDTH - 1) for k in range(1, BACK + 1))]
     mix = lambda k, x: _MIX[k][x]
     features = (
         (h1, h1 ^ mix(0, c[2]), h2, mix(1, c[3]) ^ mix(2, c[4]), mix(1, c[5]) ^ mix(2, c[6])),
-        (h1 ^ mix(3, cls), h2 ^ mix(4, cls), h3 ^ mix(5, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
+        (h1 ^ mix(3, cls), h2 ^ mix(4, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
         (h1 ^ mix(9, group), h2 ^ mix(10, group), mix(11, c[1]) ^ mix(12, c[2]) ^ mix(13, group)),
     )
     rows, shift, base = [], np.uint32(32 - bits), 0
@@ -338,33 +338,41 @@ def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, context: np
 def row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, sums of ``g`` over the positions that name each).
 
-    ``rows`` has a line for each feature, with no row in two lines. Rows of many positions are summed by a product with 0 and 1.
+    ``rows`` has a line for each feature, with no row in two lines. Most rows have one position; rows of many positions are
+    summed by a product with 0 and 1.
     """
     n = len(g)
-    key = (rows.astype(np.int64) << 32) | np.arange(n)
+    key = rows.astype(np.int64) << 32
+    key |= np.arange(n)
     key = np.sort(key.ravel())
     row, at = key >> 32, key & 0xFFFFFFFF
-    head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    times = np.diff(np.r_[head, len(key)])
-    total, each = np.empty((len(head), g.shape[1]), g.dtype), np.repeat(times, times)
-    single = times == 1
-    total[single] = g[at[head[single]]]
-    some = (times > 1) & (times < 8)
-    if some.any():
-        t = times[some]
-        total[some] = np.add.reduceat(g[at[(each > 1) & (each < 8)]], np.cumsum(t) - t, axis=0)
-    many = np.flatnonzero(times >= 8)
-    for a in range(0, len(many), 256):
-        part = many[a : a + 256]
+    head = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1]
+    times = np.diff(head, append=len(key))
+    single, more = head[times == 1], np.flatnonzero(times > 1)
+    more = more[np.argsort(-times[more], kind="stable")]
+    first, times = head[more], times[more]
+    total = np.empty((len(head), g.shape[1]), g.dtype)
+    np.take(g, at[single], axis=0, out=total[: len(single)], mode="clip")
+    sums = total[len(single) :]
+    many = int((times >= 8).sum())
+    np.take(g, at[first[many:]], axis=0, out=sums[many:], mode="clip")
+    for k in range(1, 7):
+        to = int((times > k).sum())
+        if to == many:
+            break
+        sums[many:to] += np.take(g, at[first[many:to] + k], axis=0, mode="clip")
+    for a in range(0, many, 256):
+        part = range(a, min(a + 256, many))
         table = np.zeros((len(part), n), g.dtype)
-        for k, i in enumerate(part):
-            table[k, at[head[i] : head[i] + times[i]]] = 1
-        total[part] = table @ g
-    return row[head], total
+        for k in part:
+            table[k - a, at[first[k] : first[k] + times[k]]] = 1
+        sums[a : a + len(part)] = table @ g
+    return row[np.r_[single, first]], total
 
 
 def update(weights: np.ndarray, seen: np.ndarray, text: Text, bias: list[np.ndarray], bits: int) -> None:
     """Gradient updates at every position, in place; ``seen`` sums the squared gradients of each row and sets its step."""
+    whole = weights.view(f"V{weights.itemsize * WIDTH}").ravel()  # rows are written as single values
     for a in range(0, len(text.ids), 128 * 1024):
         from_ = max(0, a - BACK)
         rows, context, target = feature_rows(text.ids[from_ : a + 128 * 1024], text.place[from_ : a + 128 * 1024], text, bits)
@@ -378,12 +386,24 @@ def update(weights: np.ndarray, seen: np.ndarray, text: Text, bias: list[np.ndar
                 slope = seen[used] + np.einsum("ij,ij->i", total, total)
                 seen[used] = slope
                 total *= (RATE / np.sqrt(slope))[:, None]
-                weights[used] += total
+                total += np.take(weights, used, axis=0, mode="clip")
+                whole[used] = total.view(whole.dtype).ravel()
 
 
 # Training.
 
-CHANGES = "shard int, positions long, row binary, energy binary, change binary"
+CHANGES = "shard int, positions long, row binary, energy binary, scale binary, change binary"
+
+
+def _packed(row: np.ndarray, energy: np.ndarray, change: np.ndarray) -> dict[str, list[bytes]]:
+    """Changes of some rows, in 127 steps up to the largest of a row."""
+    scale = (np.abs(change).max(axis=1) / 127).astype(np.float32)
+    steps = np.rint(change / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
+    return {"row": [row.astype(np.int16).tobytes()], "energy": [energy.astype(np.float32).tobytes()], "scale": [scale.tobytes()], "change": [steps.tobytes()]}
+
+
+def _unpacked(row: bytes, energy: bytes, scale: bytes, change: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _numbers(row, np.int16).astype(np.int64), _numbers(energy, np.float32), _numbers(change, np.int8).reshape(-1, WIDTH) * _numbers(scale, np.float32)[:, None]
 
 
 @dataclass
@@ -416,8 +436,7 @@ def _trainer(members: Members, bias: list[np.ndarray], bits: int, state, turn: i
             energy = seen[s : s + SHARD] - before[s : s + SHARD]
             row = np.flatnonzero(energy > 0)
             if len(row):
-                change = (w[s + row] - start[s + row]).astype(np.float16)
-                yield pd.DataFrame({"shard": [s // SHARD], "positions": [worked], "row": [row.astype(np.int16).tobytes()], "energy": [energy[row].tobytes()], "change": [change.tobytes()]})
+                yield pd.DataFrame({"shard": [s // SHARD], "positions": [worked]} | _packed(row, energy[row], w[s + row] - start[s + row]))
 
     return run
 
@@ -425,19 +444,19 @@ def _trainer(members: Members, bias: list[np.ndarray], bits: int, state, turn: i
 def mean_changes(changes: DataFrame, trainers: int, fan: int = FAN) -> DataFrame:
     """Of each shard: the mean change of each row over the trainers that saw it, by the energy of their gradients, and the sum of these.
 
-    Rows have ``trainer`` (from 0), shard, positions, row (int16), energy (float32) and change (float16). At most about ``fan``
-    of them meet in a task: means of groups are averaged again until one group is left.
+    Rows have ``trainer`` (from 0) and what ``CHANGES`` says. At most about ``fan`` of them meet in a task: means of groups are
+    averaged again until one group is left.
     """
 
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         total, share = np.zeros((SHARD, WIDTH), np.float32), np.zeros(SHARD, np.float32)
-        for row, energy, change in zip(frame["row"], frame["energy"], frame["change"]):
-            row, energy = _numbers(row, np.int16), _numbers(energy, np.float32)
-            total[row] += energy[:, None] * _numbers(change, np.float16).reshape(-1, WIDTH)
+        for packed in zip(frame["row"], frame["energy"], frame["scale"], frame["change"]):
+            row, energy, change = _unpacked(*packed)
+            total[row] += energy[:, None] * change
             share[row] += energy
         row = np.flatnonzero(share)
-        change = (total[row] / share[row, None]).astype(np.float16)
-        return pd.DataFrame({"trainer": [frame["trainer"].iloc[0]], "shard": [frame["shard"].iloc[0]], "positions": [frame["positions"].sum()], "row": [row.astype(np.int16).tobytes()], "energy": [share[row].tobytes()], "change": [change.tobytes()]})
+        found = {"trainer": [frame["trainer"].iloc[0]], "shard": [frame["shard"].iloc[0]], "positions": [frame["positions"].sum()]}
+        return pd.DataFrame(found | _packed(row, share[row], total[row] / share[row, None]))
 
     while True:
         trainers = -(-trainers // fan)
@@ -464,9 +483,9 @@ def train(blocks: DataFrame, counted: DataFrame, rounds: int = ROUNDS, trainer_c
         got = mean_changes(changes.withColumn("trainer", F.spark_partition_id()), trainers).collect()  # the weights, whose size is bounded
         weights, seen = weights.copy(), seen.copy()
         for r in got:
-            row = r["shard"] * SHARD + _numbers(r["row"], np.int16).astype(np.int64)
-            weights[row] += _numbers(r["change"], np.float16).reshape(-1, WIDTH)
-            seen[row] += _numbers(r["energy"], np.float32)
+            row, energy, change = _unpacked(r["row"], r["energy"], r["scale"], r["change"])
+            weights[r["shard"] * SHARD + row] += change
+            seen[r["shard"] * SHARD + row] += energy
         state.destroy()
     return MaxentLm(members, n, v, bias, bits, weights, seen)
 
@@ -489,32 +508,37 @@ def log_factors(text: Text, weights: np.ndarray, bias: list[np.ndarray], bits: i
 
 
 def score(blocks: DataFrame, counted: DataFrame, model: MaxentLm) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document.
+
+    The factors that depend on the history are scored where the blocks are; then blocks meet the counts of their words.
+    """
     members, bias, bits = model.members, model.bias, model.bits
     train_tokens = int(model.n.sum())
     base_norm = float(np.log10(model.n.sum() + 0.5 * (model.v.sum() + 1)))
     member_norm = np.log10(model.n + 0.5 * (model.v + 1))
-    state = blocks.sparkSession.sparkContext.broadcast((model.weights, member_norm))
+    state = blocks.sparkSession.sparkContext.broadcast(model.weights)  # at most n_rows(MOST_BITS) rows
+
+    def factors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(frames):
+            text = _text(row, members)
+            own = np.add.reduceat(log_factors(text, state.value, bias, bits), np.cumsum(text.size) - text.size)
+            yield pd.DataFrame({"block": [row.block], "doc": [row.doc], "out": [row.out], "size": [row.size_], "ids": [row.ids], "member": [text.member.astype(np.uint16).tobytes()], "factor": [own.tobytes()]})
 
     def scored(key, own: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        weights, norm = state.value
         c = np.zeros(len(counts), np.int64)
         c[counts["at"].to_numpy()] = counts["c"].to_numpy()
-        out = []
-        for row in _rows(iter([own])):
-            text = _text(row, members)
-            log_c = np.log10(c + 0.5)
-            begin = np.cumsum(text.size) - text.size
-            total = lambda x, begin=begin: np.add.reduceat(x, begin)
-            values = log_factors(text, weights, bias, bits) + (log_c - norm[text.member])[text.ids]
-            out.append(pd.DataFrame({
-                "doc": _numbers(row.doc, np.int64), "held_out": _numbers(row.out, bool), "n_tokens": text.size, "n_known": total((c > 0).astype(np.int64)[text.ids]),
-                "base_score": total((log_c - base_norm)[text.ids]), "score": total(values),
-            }))
-        return pd.concat(out, ignore_index=True)
+        log_c = np.log10(c + 0.5)
+        row = own.iloc[0]
+        ids, size = _numbers(row["ids"], np.int32), _numbers(row["size"], np.int64)
+        total = lambda x: np.add.reduceat(x[ids], np.cumsum(size) - size)
+        return pd.DataFrame({
+            "doc": _numbers(row["doc"], np.int64), "held_out": _numbers(row["out"], bool), "n_tokens": size, "n_known": total((c > 0).astype(np.int64)),
+            "base_score": total(log_c - base_norm), "score": total(log_c - member_norm[_numbers(row["member"], np.uint16)]) + _numbers(row["factor"], np.float64),
+        })
 
     columns = blocks.select("block", "doc", "out", "size", "ids", "word", "ending")
-    done = columns.groupBy("block").cogroup(counted.select("block", "at", "c").groupBy("block")).applyInPandas(scored, "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = columns.mapInPandas(factors, "block long, doc binary, out binary, size binary, ids binary, member binary, factor binary")
+    done = done.groupBy("block").cogroup(counted.select("block", "at", "c").groupBy("block")).applyInPandas(scored, "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(id_or_null("doc").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
