@@ -44,6 +44,12 @@ def count_ambiguous(s: Column) -> Column:
     return F.when(is_valid(s), F.length(F.regexp_replace(s, f"[{PLAIN}]", "")))
 
 
+def few_ambiguous(s: Column, most: int) -> Column:
+    """Whether there are at most ``most`` ambiguity codes; the query fails on a symbol outside the alphabet."""
+    few = F.length(F.translate(s, PLAIN, "")) <= most if most else s.rlike(f"^[{PLAIN}]*$")
+    return F.when(is_valid(s), few).when(s.isNotNull(), F.raise_error(F.concat(F.lit("invalid DNA: "), F.left(s, F.lit(60)))))
+
+
 def as_dna(s: Column) -> Column:
     """U written as T."""
     return F.translate(s, "U", "T")
@@ -54,6 +60,10 @@ def reverse_complement(s: Column) -> Column:
     return F.when(s.rlike(f"^[{COMPLEMENT[0]}]*$"), F.translate(F.reverse(s), *COMPLEMENT))
 
 
+def reverse_complement_of(s: str) -> str:
+    return s[::-1].translate(str.maketrans(*COMPLEMENT))
+
+
 def slice_of(s: Column, start: Column | int, length: Column | int) -> Column:
     """``length`` symbols from the 0-based ``start``."""
     return F.substring(s, (F.lit(start) if isinstance(start, int) else start) + 1, F.lit(length) if isinstance(length, int) else length)
@@ -103,15 +113,13 @@ def mismatch_count(pattern: str, literal: str, compat: bool = True) -> int:
 @F.pandas_udf(IntegerType())
 def mismatches(pattern: pd.Series, literal: pd.Series) -> pd.Series:
     """Positions, over the shorter length, where the pattern doesn't match the literal; not symmetric."""
-    masks, bits = match_masks(), base_bits()
-    out = []
-    for p, s in zip(pattern, literal):
-        if p is None or s is None:
-            out.append(None)
-            continue
-        n = min(len(p), len(s))
-        out.append(int(((masks[bytes_of(p)[:n]] & bits[bytes_of(s)[:n]]) == 0).sum()))
-    return pd.Series(out, dtype="Int32")
+    none = (pattern.isna() | literal.isna()).to_numpy()
+    pairs = [(p[: len(s)], s[: len(p)]) for p, s in zip(pattern.where(~none, ""), literal.where(~none, ""))]
+    size = np.fromiter((len(p) for p, _ in pairs), np.int64, len(pairs))
+    apart = (match_masks()[bytes_of("".join(p for p, _ in pairs))] & base_bits()[bytes_of("".join(s for _, s in pairs))]) == 0
+    total = np.r_[0, np.cumsum(apart)]
+    end = np.cumsum(size)
+    return pd.Series(total[end] - total[end - size], dtype="Int32").mask(none)
 
 
 def expansions(s: str) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
-from ampliflow.operators.primers import best_hit
+from ampliflow.operators.primers import best_hits
 from ampliflow.operators.staging import dense_index, stage
 
 MAX_REGIONS = 254
@@ -58,19 +58,21 @@ class ReferenceBuilder:
 
     def __init__(self, spark: SparkSession, primers: list[tuple[str, str]], k: int = 160, primer_mismatches: int = 2, max_ambiguous: int = 3):
         self.spark, self.k, self.primer_mismatches, self.max_ambiguous = spark, k, primer_mismatches, max_ambiguous
-        self.primers = primer_table(spark, primers)
+        self.primers, self.pairs = primer_table(spark, primers), [tuple(p) for p in primers]
 
     def numbered(self, references: DataFrame) -> DataFrame:
         """(j, name, sequence) of references (seq_no, id, sequence) with few ambiguity codes, numbered by seq_no; U becomes T."""
-        rows = references.select("seq_no", F.col("id").alias("name"), dna.validated(dna.as_dna(F.col("sequence"))).alias("sequence"))
-        return dense_index(rows.where(dna.count_ambiguous(F.col("sequence")) <= self.max_ambiguous), ["seq_no", "name"], "j").drop("seq_no")
+        rows = references.select("seq_no", F.col("id").alias("name"), dna.as_dna(F.col("sequence")).alias("sequence"))
+        return dense_index(rows.where(dna.few_ambiguous(F.col("sequence"), self.max_ambiguous)), ["seq_no", "name"], "j").drop("seq_no")
 
     def hits(self, numbered: DataFrame) -> DataFrame:
         """Every expansion of every reference in every region, with the best place of both primers."""
-        primers = F.broadcast(self.primers.withColumn("bwd_rc", dna.reverse_complement(F.col("bwd"))))
         variants = numbered.select("j", "name", F.explode(dna.disambiguate("sequence")).alias("sequence"))
-        found = variants.crossJoin(primers).withColumns({"f": best_hit("sequence", "fwd"), "b": best_hit("sequence", "bwd_rc")})
-        return found.select("region", "j", "name", "sequence", F.length("fwd").alias("fwd_length"), F.col("f.mm").alias("fwd_mm"), F.col("f.pos").alias("fwd_pos"), F.col("b.mm").alias("bwd_mm"), F.col("b.pos").alias("bwd_pos"))
+        asked = [p for fwd, bwd in self.pairs for p in (fwd, dna.reverse_complement_of(bwd))]
+        found = variants.withColumn("h", best_hits(asked)("sequence"))
+        each = [F.struct(F.lit(k).alias("region"), F.lit(len(p[0])).alias("fwd_length"), F.get("h", F.lit(2 * k)).alias("f"), F.get("h", F.lit(2 * k + 1)).alias("b")) for k, p in enumerate(self.pairs)]
+        found = found.select("j", "name", "sequence", F.explode(F.array(*each)).alias("r"))
+        return found.select("r.region", "j", "name", "sequence", "r.fwd_length", F.col("r.f.mm").alias("fwd_mm"), F.col("r.f.pos").alias("fwd_pos"), F.col("r.b.mm").alias("bwd_mm"), F.col("r.b.pos").alias("bwd_pos"))
 
     def sketches(self, hits: DataFrame) -> DataFrame:
         k, most = self.k, self.primer_mismatches

@@ -44,28 +44,28 @@ class ReadMapper:
         self.primer_mismatches, self.kmer_mismatches, self.error_probability, self.partial_hits = primer_mismatches, kmer_mismatches, error_probability, partial_hits
         self.primer_region, self.min_read_frequency, self.min_read_count, self.max_ambiguous, self.strategy = primer_region, min_read_frequency, min_read_count, max_ambiguous, strategy
 
-    def usable(self, reads: DataFrame) -> DataFrame:
-        """Reads whose mates have few ambiguity codes; ``sample`` is "" where there is none."""
+    def distinct(self, reads: DataFrame) -> DataFrame:
+        """(sample, fwd, bwd, n): distinct read pairs whose mates have few ambiguity codes; ``sample`` is "" where there is none."""
         reads = reads if "sample" in reads.columns else reads.withColumn("sample", F.lit(""))
-        rows = reads.select("sample", *[dna.validated(dna.as_dna(F.col(c))).alias(c) for c in ("fwd", "bwd")])
-        return rows.where((dna.count_ambiguous(F.col("fwd")) <= self.max_ambiguous) & (dna.count_ambiguous(F.col("bwd")) <= self.max_ambiguous))
+        rows = reads.select("sample", *[dna.as_dna(F.col(c)).alias(c) for c in ("fwd", "bwd")]).groupBy("sample", "fwd", "bwd").agg(F.count(F.lit(1)).alias("n"))
+        return rows.where(dna.few_ambiguous(F.col("fwd"), self.max_ambiguous) & dna.few_ambiguous(F.col("bwd"), self.max_ambiguous))
 
     def assigned_kmers(self, reads: DataFrame) -> DataFrame:
-        """(sample, region, fwd, bwd): trimmed k-mers of every read in every region whose primers both fit. Also for streams."""
+        """(sample, region, fwd, bwd, n): trimmed k-mers of every distinct read pair in every region whose primers both fit."""
         primers = F.broadcast(self.primers.select("region", F.col("fwd").alias("fp"), F.col("bwd").alias("bp")))
         hit = edge_hit(self.primer_region)
-        found = self.usable(reads).crossJoin(primers).withColumns({"f": hit("fwd", "fp"), "b": hit("bwd", "bp")})
+        found = self.distinct(reads).crossJoin(primers).withColumns({"f": hit("fwd", "fp"), "b": hit("bwd", "bp")})
         found = found.where((F.col("f.mm") <= self.primer_mismatches) & (F.col("b.mm") <= self.primer_mismatches))
 
         def trimmed(side: str, hit: str, primer: str):
             start = F.col(f"{hit}.pos") + F.length(primer)
             return F.substring(side, start + 1, F.lit(self.kmer_length)).alias(side)
 
-        kmers = found.select("sample", "region", trimmed("fwd", "f", "fp"), trimmed("bwd", "b", "bp"))
+        kmers = found.select("sample", "region", trimmed("fwd", "f", "fp"), trimmed("bwd", "b", "bp"), "n")
         return kmers if self.partial_hits else kmers.where((F.length("fwd") == self.kmer_length) & (F.length("bwd") == self.kmer_length))
 
     def read_counts(self, reads: DataFrame) -> DataFrame:
-        return self.assigned_kmers(reads).groupBy("sample", "region", "fwd", "bwd").agg(F.count(F.lit(1)).alias("n"))
+        return self.assigned_kmers(reads).groupBy("sample", "region", "fwd", "bwd").agg(F.sum("n").alias("n"))
 
     @staticmethod
     def assigned(counts: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ class ReadMapper:
         q = parts.select("sample", "i", "j", x.alias("x")).join(db.refs.select("j", "amplified"), "j").select("sample", "i", "j", (F.col("x") / F.col("amplified")).alias("x"))
         q = stage(q, "q")
         samples = y.select("sample").distinct()
-        groups = stage(column_groups(q, db.refs.select("j").crossJoin(F.broadcast(samples)), ["sample"]), "groups")
+        groups = stage(column_groups(q, db.refs.select("j").crossJoin(F.broadcast(samples)), "sample"), "groups")
         return Mapping(db, q, stage(y, "y"), groups, self.assigned(counts), mapped)
 
     def map(self, reads: DataFrame) -> Mapping:

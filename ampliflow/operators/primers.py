@@ -4,40 +4,70 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ampliflow.functions.dna import base_bits, bytes_of, match_masks
 
 HIT = StructType([StructField("mm", IntegerType()), StructField("pos", IntegerType())])
 
 
-def best_hit_of(sequence: str, primer: str, masks: np.ndarray, bits: np.ndarray) -> tuple[int, int] | None:
-    """(mismatches, position) of the leftmost best place; None if the sequence is shorter than the primer."""
-    n = len(sequence) - len(primer) + 1
-    if n <= 0:
-        return None
-    literal, pattern = bits[bytes_of(sequence)], masks[bytes_of(primer)]
-    cost = np.zeros(n, np.int32)
+#: Symbols of sequences that are scanned at a time.
+_BLOCK = 1 << 20
+
+
+def _scan(literal: np.ndarray, begin: np.ndarray, size: np.ndarray, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mismatches, position) of the leftmost best place of the pattern in each part of ``literal``; -1 where a part is shorter."""
+    n, plen = len(literal), len(pattern)
+    mm, pos = np.full(len(size), -1, np.int32), np.full(len(size), -1, np.int32)
+    fits = np.flatnonzero(size >= plen)
+    if not plen or not len(fits):
+        return mm, pos
+    cost = np.zeros(n - plen + 1, np.uint8)
     for k, mask in enumerate(pattern):
-        cost += (literal[k : k + n] & mask) == 0
-    at = int(cost.argmin())
-    return int(cost[at]), at
+        cost += (literal[k : n - plen + 1 + k] & mask) == 0
+    place = np.arange(len(cost), dtype=np.int64)
+    key = (cost.astype(np.int64) << 40) | place
+    edges = np.stack([begin[fits], begin[fits] + size[fits] - plen + 1], axis=1).ravel()
+    least = np.minimum.reduceat(np.append(key, np.int64(1) << 62), edges)[::2]
+    mm[fits], pos[fits] = least >> 40, (least & ((1 << 40) - 1)) - begin[fits]
+    return mm, pos
 
 
-@F.pandas_udf(HIT)
-def _best_hit(sequence: pd.Series, primer: pd.Series) -> pd.DataFrame:
+def best_hits_of(sequences: list[str], primers: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mismatches, position) by sequence and primer, for primers shorter than 256; -1 where the sequence is shorter than the primer."""
     masks, bits = match_masks(), base_bits()
-    hits = [None if s is None or p is None else best_hit_of(s, p, masks, bits) for s, p in zip(sequence, primer)]
-    return pd.DataFrame({"mm": pd.array([h and h[0] for h in hits] if hits else [], dtype="Int32"), "pos": pd.array([h and h[1] for h in hits] if hits else [], dtype="Int32")})
+    patterns = [masks[bytes_of(p)] for p in primers]
+    size = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    mm, pos = np.empty((len(sequences), len(primers)), np.int32), np.empty((len(sequences), len(primers)), np.int32)
+    part = np.cumsum(size) // _BLOCK
+    for edge in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1):
+        if not len(edge):
+            continue
+        literal = bits[bytes_of("".join(sequences[edge[0] : edge[-1] + 1]))]
+        own = size[edge]
+        for k, pattern in enumerate(patterns):
+            mm[edge, k], pos[edge, k] = _scan(literal, np.cumsum(own) - own, own, pattern)
+    return mm, pos
+
+
+def best_hits(primers: list[str]):
+    """A function of a sequence column: an array with the hit (mm, pos) of each primer, null where the sequence is shorter.
+
+    Said to be not deterministic, so that a filter on a hit isn't pushed below and the kernel run twice.
+    """
 
+    @F.pandas_udf(ArrayType(HIT))
+    def hits(sequence: pd.Series) -> pd.Series:
+        mm, pos = best_hits_of(sequence.fillna("").tolist(), primers)
+        return pd.Series([[None if m < 0 else {"mm": m, "pos": p} for m, p in zip(x, y)] for x, y in zip(mm.tolist(), pos.tolist())], dtype=object)
 
-#: Said to be not deterministic, so that a filter on a hit isn't pushed below and the kernel run twice.
-best_hit = _best_hit.asNondeterministic()
+    return hits.asNondeterministic()
 
 
-def edge_hits(reads: list[str], primer: str, region: int, masks: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cost, offset) for reads that are as long as the primer or longer.
+def edge_hits(heads: list[str], sizes: np.ndarray, primer: str, region: int, masks: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, offset) for reads of ``sizes`` symbols, as long as the primer or longer, of which ``heads`` are the first region + primer.
 
     Offsets run from one less than the primer's length before the read up to, but not including, the lesser of ``region``
     and what the read has beyond the primer. Each symbol before the read costs one. The leftmost of the cheapest wins.
@@ -45,12 +75,9 @@ def edge_hits(reads: list[str], primer: str, region: int, masks: np.ndarray, bit
     plen = len(primer)
     pattern = masks[bytes_of(primer)]
     width = region + plen
-    block = np.zeros((len(reads), width), np.uint8)
-    for k, r in enumerate(reads):
-        head = bytes_of(r[:width])
-        block[k, : len(head)] = bits[head]
-    room = np.array([len(r) for r in reads]) - plen
-    cost, at = np.full(len(reads), 1 << 20), np.zeros(len(reads), np.int64)
+    block = bits[bytes_of("".join([h[:width].ljust(width) for h in heads]))].reshape(len(heads), width)
+    room = sizes - plen
+    cost, at = np.full(len(heads), 1 << 20), np.zeros(len(heads), np.int64)
     for i in range(-(plen - 1), region):
         if i < 0:
             now = ((block[:, : plen + i] & pattern[-i:]) == 0).sum(1) - i
@@ -62,20 +89,30 @@ def edge_hits(reads: list[str], primer: str, region: int, masks: np.ndarray, bit
 
 
 def edge_hit(region: int = 20):
-    """A function of (read, primer) columns; reads without an offset to try, and reads shorter than the primer, have no hit."""
+    """A function of (read, primer) columns; reads without an offset to try, and reads shorter than the primer, have no hit.
+
+    Only the heads of the reads go to Python.
+    """
 
     @F.pandas_udf(HIT)
-    def hit(read: pd.Series, primer: pd.Series) -> pd.DataFrame:
+    def hit(head: pd.Series, size: pd.Series, primer: pd.Series) -> pd.DataFrame:
         masks, bits = match_masks(), base_bits()
-        mm, pos = np.full(len(read), -1), np.zeros(len(read), np.int64)
-        has = read.notna().to_numpy() & primer.notna().to_numpy()
+        mm, pos = np.full(len(head), -1), np.zeros(len(head), np.int64)
+        has = head.notna().to_numpy() & primer.notna().to_numpy()
+        length = size.fillna(0).to_numpy(np.int64)
         for p in primer[has].unique():
-            at = np.flatnonzero(has & (primer == p).to_numpy() & (read.str.len() >= len(p)).fillna(False).to_numpy(bool))
+            at = np.flatnonzero(has & (primer == p).to_numpy() & (length >= len(p)))
             if len(at):
-                cost, offset = edge_hits(read.iloc[at].tolist(), p, region, masks, bits)
+                cost, offset = edge_hits(head.iloc[at].tolist(), length[at], p, region, masks, bits)
                 found = cost < 1 << 20
                 mm[at[found]], pos[at[found]] = cost[found], offset[found]
         none = mm < 0
         return pd.DataFrame({"mm": pd.Series(mm, dtype="Int32").mask(none), "pos": pd.Series(pos, dtype="Int32").mask(none)})
 
-    return hit.asNondeterministic()
+    kernel = hit.asNondeterministic()
+
+    def of(read: str | Column, primer: str | Column) -> Column:
+        read, primer = (F.col(c) if isinstance(c, str) else c for c in (read, primer))
+        return kernel(F.left(read, F.length(primer) + region), F.length(read), primer)
+
+    return of

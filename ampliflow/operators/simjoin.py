@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A k-mer block of at most so many bytes may be sent to every executor.
-SCAN_BYTES = 256 << 20
+SCAN_BYTES = 64 << 20
+#: Least length of a segment that seeds a join.
+SEED_BASES = 12
 #: Bases in one long, two bits each.
 _BASES = 31
 _ODD = int("01" * _BASES, 2)
@@ -51,50 +53,83 @@ def seed_join(queries: DataFrame, kmers: DataFrame, d: int, k: int) -> DataFrame
     return q.join(t, on & first & (distance <= d)).select("region", "q", "kmer_id", distance.cast("int").alias("mm"))
 
 
+def _scan_block(regions: np.ndarray, ids: np.ndarray, letters: np.ndarray, queries: pd.DataFrame, d: int) -> pd.DataFrame:
+    """Every query against the k-mers of its region; ``letters`` has a row for each k-mer."""
+    region_of, q_of, ids_of, mm_of = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    order = np.argsort(regions, kind="stable")
+    known, edge = np.unique(regions[order], return_index=True)
+    own = {int(r): order[a:b] for r, a, b in zip(known, edge, np.append(edge[1:], len(order)))}
+    blocks = {r: (ids[at], letters[at]) for r, at in own.items()}
+    for region, q in zip(queries["region"], queries["q"]):
+        if region in blocks:
+            some, table = blocks[region]
+            mine = np.frombuffer(q.encode(), np.uint8)
+            n = min(len(mine), table.shape[1])
+            mm = ((table[:, :n] != mine[:n]) & (mine[:n] != ord("N"))).sum(axis=1)
+            hit = np.flatnonzero(mm <= d)
+            region_of += [region] * len(hit)
+            q_of += [q] * len(hit)
+            ids_of.append(some[hit])
+            mm_of.append(mm[hit].astype(np.int32))
+    return pd.DataFrame({"region": np.array(region_of, np.int32), "q": pd.Series(q_of, dtype=object), "kmer_id": np.concatenate(ids_of), "mm": np.concatenate(mm_of)})
+
+
+_FOUND = "region int, q string, kmer_id long, mm int"
+
+
+def _matrix(kmers) -> np.ndarray:
+    return np.frombuffer("".join(kmers).encode(), np.uint8).reshape(len(kmers), -1)
+
+
 def scan_join(queries: DataFrame, kmers: DataFrame, d: int, limit: int = SCAN_BYTES) -> DataFrame:
-    """Every query against the whole k-mer block of its region, which is sent to the executors.
+    """Every query against the whole k-mer block of its region.
 
-    N in a query matches anything, other ambiguity codes nothing; shorter queries compare with prefixes. The block's size is
-    checked; larger ones raise ValueError.
+    N in a query matches anything, other ambiguity codes nothing; shorter queries compare with prefixes. K-mers have one
+    length. A block of at most ``limit`` bytes goes to the executors as a whole. Beyond it, k-mers and queries are dealt by
+    hashes into parts below a quarter of the limit, and each part of the one meets each part of the other in a task of its own.
     """
-    size = kmers.agg(F.sum(F.length("kmer")), F.max(F.length("kmer")), F.min(F.length("kmer"))).first()
-    if (size[0] or 0) > limit:
-        raise ValueError(f"the k-mer block has {size[0]} bytes; use the seed join beyond {limit}")
-    block: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    rows = kmers.select("region", "kmer_id", "kmer").toPandas()
-    for region, part in rows.groupby("region"):
-        block[int(region)] = (part["kmer_id"].to_numpy(), np.frombuffer("".join(part["kmer"]).encode(), np.uint8).reshape(len(part), -1))
-    sent = queries.sparkSession.sparkContext.broadcast(block)
-
-    def scan(frames):
-        for frame in frames:
-            out = []
-            for region, q in zip(frame["region"], frame["q"]):
-                if region not in sent.value:
-                    continue
-                ids, letters = sent.value[region]
-                own = np.frombuffer(q.encode(), np.uint8)
-                n = min(len(own), letters.shape[1])
-                mm = ((letters[:, :n] != own[:n]) & (own[:n] != ord("N"))).sum(axis=1)
-                hit = np.flatnonzero(mm <= d)
-                out += zip([region] * len(hit), [q] * len(hit), ids[hit].tolist(), mm[hit].tolist())
-            yield pd.DataFrame(out, columns=["region", "q", "kmer_id", "mm"])
-
-    return queries.select("region", "q").mapInPandas(scan, "region int, q string, kmer_id long, mm int")
+    size = kmers.agg(F.sum(F.length("kmer") + 12)).first()[0] or 0
+    if size <= limit:
+        table = kmers.select(F.col("region").cast("int").alias("region"), "kmer_id", "kmer").toArrow()
+        block = table["region"].to_numpy(), table["kmer_id"].to_numpy(), _matrix(table["kmer"].to_pylist()) if len(table) else np.zeros((0, 0), np.uint8)
+        sent = queries.sparkSession.sparkContext.broadcast(block)
+
+        def scan(frames):
+            for frame in frames:
+                yield _scan_block(*sent.value, frame, d)
+
+        return queries.select("region", "q").mapInPandas(scan, _FOUND)
+    most = max(limit // 4, 1)
+    parts = int(size // most) + 1
+    shares = int((queries.agg(F.sum(F.length("q") + 12)).first()[0] or 0) // most) + 1
+
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        mine = df.withColumn(own, F.pmod(F.xxhash64("region", key), F.lit(n_own)).cast("int"))
+        return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("_part", "_share")
+
+    def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        letters = _matrix(known["kmer"].tolist()) if len(known) else np.zeros((0, 0), np.uint8)
+        return _scan_block(known["region"].to_numpy(), known["kmer_id"].to_numpy(), letters, asked, d)
+
+    right = dealt(kmers.select("region", "kmer_id", "kmer"), "kmer", "_part", parts, "_share", shares)
+    return dealt(queries.select("region", "q"), "q", "_share", shares, "_part", parts).cogroup(right).applyInPandas(meet, _FOUND)
 
 
 def hamming_join(queries: DataFrame, kmers: DataFrame, d: int, k: int, strategy: str = "auto") -> DataFrame:
     """(region, q, kmer_id, mm) of all pairs of distinct queries (region, q) and k-mers (region, kmer_id, kmer) within ``d``.
 
     ``k`` is the length of the queries and at most that of the k-mers, which compare by their prefix. "seed" needs plain
-    bases; "auto" takes it for those and scans for queries with ambiguity codes or of other lengths.
+    bases; "auto" takes it for those, and scans for queries with ambiguity codes or of other lengths, and for all where
+    segments are shorter than ``SEED_BASES``, as these would join nearly everything.
     """
     if strategy == "scan":
         return scan_join(queries, kmers, d)
     prefix = kmers.select("region", "kmer_id", F.left("kmer", F.lit(k)).alias("kmer"))
     if strategy == "seed":
         return seed_join(queries, prefix, d, k)
+    if k // (d + 1) < SEED_BASES:
+        return scan_join(queries, prefix, d)
     plain = F.col("q").rlike("^[ACGT]+$") & (F.length("q") == k)
     out = seed_join(queries.where(plain), prefix, d, k)
     other = queries.where(~plain)
-    return out if other.isEmpty() else out.unionByName(scan_join(other, kmers, d))
+    return out if other.isEmpty() else out.unionByName(scan_join(other, prefix, d))

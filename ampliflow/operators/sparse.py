@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampliflow.operators.staging import dense_index, stage
+
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:
     """The product ``a @ b``."""
@@ -68,21 +70,31 @@ def normalized(v: DataFrame, column: str = "x", by: list[str] | None = None) ->
     return joined.withColumn(column, F.coalesce(F.try_divide(column, "_total"), F.lit(float("nan")))).drop("_total")
 
 
-def column_groups(m: DataFrame, columns: DataFrame, by: list[str] | None = None) -> DataFrame:
+def column_groups(m: DataFrame, columns: DataFrame, by: str | None = None) -> DataFrame:
     """``columns`` (j, and ``by``) with g and rep_j: columns with equal entries share a group.
 
-    Groups are numbered by (entries, least j); columns without entries are one group. Entries are compared exactly, by a
-    hash of the sorted list for the shuffle and by the list itself for the answer.
+    Groups are numbered by (number of entries, least j); columns without entries are one group. Columns meet by a 128-bit
+    digest of their entries, and each is compared with its group's first column entry by entry; no column is held as a whole.
+    Should digests of different columns ever be equal, the query fails. ``columns`` has each column once.
     """
-    by = by or []
-    lists = m.where("x <> 0").groupBy(*by, "j").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("entries"))
-    kind = "array<struct<i:bigint,x:double>>"
-    full = columns.select(*by, "j").join(lists, [*by, "j"], "left").withColumn("entries", F.coalesce("entries", F.array().cast(kind)))
-    groups = full.groupBy(*by, F.xxhash64("entries").alias("_h"), "entries").agg(F.min("j").alias("rep_j"), F.collect_list("j").alias("members"))
-    number = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.size("entries"), "rep_j")) - 1
-    # The groups of a sample are numbered in one task, without their entries and members, which join again by rep_j.
-    numbered = groups.select(*by, "rep_j", number.cast("long").alias("g"))
-    return groups.select(*by, "rep_j", F.explode("members").alias("j")).join(numbered, [*by, "rep_j"]).select(*by, "j", "g", "rep_j")
+    own = [by] if by else []
+    m = m.where("x <> 0").select(*own, "i", "j", (F.col("x") + 0.0).alias("x"))
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "i", "x")).alias(f"_d{k}") for k in (0, 1)]
+    found = m.groupBy(*own, "j").agg(F.count(F.lit(1)).alias("_n"), *digests)
+    full = columns.select(*own, "j").join(found, [*own, "j"], "left").fillna(0, ["_n", "_d0", "_d1"])
+    key = [*own, "_n", "_d0", "_d1"]
+    full = stage(full.join(full.groupBy(*key).agg(F.min("j").alias("rep_j")), key), "columns")
+    reps = dense_index(full.where("j = rep_j").select(*own, "rep_j", "_n"), ["_n", "rep_j"], "g", by=by).drop("_n")
+    groups = full.select(*own, "j", "rep_j", "_n").join(reps, [*own, "rep_j"])
+
+    followers = full.where("j <> rep_j AND _n > 0").select(*own, "j", "rep_j")
+    mine = m.join(followers, [*own, "j"]).select(*own, F.col("rep_j").alias("_r"), "i", "j", "x")
+    first = m.join(followers.select(*own, F.col("rep_j").alias("j")).distinct(), [*own, "j"]).select(*own, F.col("j").alias("_r"), "i", F.col("x").alias("_x"))
+    equal = mine.join(first, [*own, "_r", "i"]).where("x = _x").groupBy(*own, "j").agg(F.count(F.lit(1)).alias("_same"))
+    checked = groups.join(equal, [*own, "j"], "left")
+    unlike = (F.col("j") != F.col("rep_j")) & (F.coalesce("_same", F.lit(0)) != F.col("_n"))
+    g = F.when(unlike, F.raise_error(F.lit("different columns have the same digest")).cast("long")).otherwise(F.col("g"))
+    return checked.select(*own, "j", g.alias("g"), "rep_j")
 
 
 def duplicate_columns(groups: DataFrame) -> DataFrame:

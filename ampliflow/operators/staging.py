@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again: cuts lineage, and survives lost executors. The session names the folder; tests may leave it unset."""
+    """Write and read again: cuts lineage, and survives lost executors. The session names the folder; in local mode it may be unset."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="ampliflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -31,10 +31,22 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.translate(letters(F.col("text")), _UPPER, _BASES).alias("dna"), F.translate(letters(F.col("text")), _UPPER, _CODES).alias("codes"))
 
 
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, w, lang, dna): every document cut into consecutive windows of 800 bases, the last one filled up."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(letters(F.col("text")), _UPPER, _BASES).alias("dna"))
+    n = F.greatest(F.ceil(F.length("dna") / 800), F.lit(1)).cast("int")
+    each = docs.select("doc_id", "lang", "dna", F.explode(F.sequence(F.lit(0), n - 1)).alias("w"))
+    return each.select("doc_id", "w", "lang", F.rpad(F.substring("dna", F.col("w") * 800 + 1, F.lit(800)), 800, "ACGT").alias("dna"))
+
+
+def reference_id():
+    return F.concat(F.lit("ref"), F.col("doc_id").cast("string"), F.lit("_"), F.col("w").cast("string"))
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dense_index(dna(spark, sf_dir).where("length(dna) >= 800").select("doc_id", F.left("dna", F.lit(800)).alias("dna")), ["doc_id"], "seq_no")
+    rows = dense_index(windows(spark, sf_dir), ["doc_id", "w"], "seq_no")
     parts = [F.lit("AAAAAAAAAA"), F.lit("CCTACGGGAGGCAGCAG"), F.substring("dna", 1, 400), F.lit("GGATTAGATACCCTTGTAGTC"), F.lit("GTGCCAGCAGCCGCGGTAA"), F.substring("dna", 401, 400), F.lit("AAACTTAAATGAATTGGCGG"), F.lit("AAAAAAAAAA")]
-    return rows.select("seq_no", F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("id"), F.concat(*parts).alias("sequence"), "dna")
+    return rows.select("seq_no", reference_id().alias("id"), F.concat(*parts).alias("sequence"), "dna")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +66,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str, str], object] = {}
 
 
+def forget() -> None:
+    """The next query builds all it needs anew."""
+    _BUILT.clear()
+
+
 def _once(spark: SparkSession, sf_dir: str, what: str, make):
     """What several queries of one application start from is built once; its tables are in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
@@ -88,9 +105,11 @@ l AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', '
 dna AS (SELECT doc_id, translate(u, '{_UPPER}', '{_BASES}') AS dna, translate(u, '{_UPPER}', '{_CODES}') AS codes FROM l)"""
 
 SQL_REFS = f"""{SQL_DNA},
-refs AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq_no, 'ref' || doc_id AS id, dna,
+cuts AS (SELECT dna.doc_id, lang, dna, unnest(range(0, greatest(ceil(length(dna) / 800), 1)::INT)) AS w FROM dna JOIN documents USING (doc_id)),
+windows AS (SELECT doc_id, lang, w, rpad(substr(dna, (w * 800 + 1)::INT, 800), 800, 'ACGT') AS dna FROM cuts),
+refs AS (SELECT (row_number() OVER (ORDER BY doc_id, w) - 1)::BIGINT AS seq_no, 'ref' || doc_id || '_' || w AS id, lang, dna,
   'AAAAAAAAAA' || 'CCTACGGGAGGCAGCAG' || dna[1:400] || 'GGATTAGATACCCTTGTAGTC' || 'GTGCCAGCAGCCGCGGTAA' || dna[401:800] || 'AAACTTAAATGAATTGGCGG' || 'AAAAAAAAAA' AS sequence
-  FROM dna WHERE length(dna) >= 800)"""
+  FROM windows)"""
 
 SQL_READS = """
 reads AS (SELECT repeat('A', (l_suppkey % 3)::INT) || CASE WHEN region = 0 THEN 'CCTACGGGAGGCAGCAG' ELSE 'GTGCCAGCAGCCGCGGTAA' END ||

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
 from ampliflow.operators import sparse
 from ampliflow.operators.database import primer_table
 from ampliflow.operators.mapper import ReadMapper
-from ampliflow.operators.primers import best_hit, edge_hit
+from ampliflow.operators.primers import best_hits, edge_hit
 from ampliflow.operators.simjoin import hamming_join
 from ampliflow.operators.staging import dense_index
 from ampliflow.plans import fixture as fx
@@ -63,16 +63,21 @@ _MATCH = "MAP {'A':'A','C':'C','G':'G','T':'T','U':'-','R':'AG','Y':'CT','S':'G'
 
 
 @query(f"""WITH {fx.SQL_DNA} SELECT doc_id, coalesce(list_sum([CASE WHEN contains({_MATCH}[p[k]], s[k]) THEN 0 ELSE 1 END FOR k IN range(1, least(length(p), length(s)) + 1)]), 0)::INT AS mm
-FROM (SELECT doc_id, substr(codes, 1, 60) AS p, substr(dna, 61, 60) AS s FROM dna)""")
+FROM (SELECT doc_id, substr(codes, 1, length(codes) // 2) AS p, substr(dna, length(dna) // 2 + 1) AS s FROM dna)""")
 def dna_mismatches(spark, sf_dir):
-    return fx.dna(spark, sf_dir).select("doc_id", dna.mismatches(F.substring("codes", 1, 60), F.substring("dna", 61, 60)).alias("mm"))
+    half = F.floor(F.length("codes") / 2).cast("int")  # the first half of each document against its second half
+    return fx.dna(spark, sf_dir).select("doc_id", dna.mismatches(F.left("codes", half), F.substring("dna", half + 1, F.length("dna"))).alias("mm"))
 
 
-@query(fx.sql_with(fx.SQL_DNA, "tpl AS (SELECT doc_id, replace(substr(codes, 1, 12), 'U', 'T') AS t FROM dna WHERE length(regexp_replace(substr(codes, 1, 12), '[ACGTU]', '', 'g')) <= 3)",
-    f"grow AS (SELECT doc_id, '' AS v, t AS rest FROM tpl UNION ALL SELECT doc_id, v || b, rest[2:] FROM (SELECT doc_id, v, rest, unnest(string_split({fx._EXPANSION}[rest[1]], '')) AS b FROM grow WHERE rest <> ''))") + " SELECT doc_id, v AS variant FROM grow WHERE rest = ''")
+@query(fx.sql_with(fx.SQL_DNA, "cuts AS (SELECT doc_id, codes, unnest(range(0, ((length(codes) + 11) // 12)::INT)) AS w FROM dna), "
+    "tpl AS (SELECT doc_id, w, replace(substr(codes, (w * 12 + 1)::INT, 12), 'U', 'T') AS t FROM cuts), few AS (SELECT doc_id, w, t FROM tpl WHERE length(regexp_replace(t, '[ACGT]', '', 'g')) <= 3)",
+    f"grow AS (SELECT doc_id, w, '' AS v, t AS rest FROM few UNION ALL SELECT doc_id, w, v || b, rest[2:] FROM (SELECT doc_id, w, v, rest, unnest(string_split({fx._EXPANSION}[rest[1]], '')) AS b FROM grow WHERE rest <> ''))") + " SELECT doc_id, w::INT AS w, v AS variant FROM grow WHERE rest = ''")
 def disambiguate(spark, sf_dir):
-    t = fx.dna(spark, sf_dir).select("doc_id", dna.as_dna(F.substring("codes", 1, 12)).alias("t"))
-    return t.where(dna.count_ambiguous(F.col("t")) <= 3).select("doc_id", F.explode(dna.disambiguate("t")).alias("variant"))
+    """All templates of 12 letters that have three codes or fewer, as references are treated."""
+    last = F.floor((F.length("codes") - 1) / 12).cast("int")
+    cuts = fx.dna(spark, sf_dir).where("codes <> ''").select("doc_id", "codes", F.explode(F.sequence(F.lit(0), last)).alias("w"))
+    t = cuts.select("doc_id", "w", dna.as_dna(F.substring("codes", F.col("w") * 12 + 1, F.lit(12))).alias("t"))
+    return t.where(dna.count_ambiguous(F.col("t")) <= 3).select("doc_id", "w", F.explode(dna.disambiguate("t")).alias("variant"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(pow(0.005 / 3, l_linenumber) * pow(1 - 0.005, 320 - l_linenumber), 12) AS p, round(l_extendedprice / 7)::BIGINT AS rounded, greatest(0.0001 * l_extendedprice, 2.0) AS least FROM lineitem")
@@ -87,9 +92,10 @@ def error_model(spark, sf_dir):
 
 @query(fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_HITS) + " SELECT seq_no, region, side, mm::INT AS mm, pos::INT AS pos FROM hits")
 def primer_best_hit(spark, sf_dir):
-    primers = primer_table(spark, fx.PRIMERS)
-    each = primers.select("region", F.lit("fwd").alias("side"), F.col("fwd").alias("p")).unionByName(primers.select("region", F.lit("bwd").alias("side"), dna.reverse_complement(F.col("bwd")).alias("p")))
-    return fx.references(spark, sf_dir).crossJoin(F.broadcast(each)).select("seq_no", "region", "side", best_hit("sequence", "p").alias("h")).select("seq_no", "region", "side", "h.mm", "h.pos")
+    asked = [(k, side, p) for k, (fwd, bwd) in enumerate(fx.PRIMERS) for side, p in (("fwd", fwd), ("bwd", dna.reverse_complement_of(bwd)))]
+    found = fx.references(spark, sf_dir).select("seq_no", best_hits([p for *_, p in asked])("sequence").alias("h"))
+    each = [F.struct(F.lit(k).alias("region"), F.lit(side).alias("side"), F.get("h", F.lit(n)).alias("h")) for n, (k, side, _) in enumerate(asked)]
+    return found.select("seq_no", F.explode(F.array(*each)).alias("r")).select("seq_no", "r.region", "r.side", "r.h.mm", "r.h.pos")
 
 
 @query(fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_READS, fx.SQL_COUNTS) + " SELECT region, side, mm::INT AS mm, pos::INT AS pos, sum(n)::BIGINT AS n FROM edge GROUP BY ALL")
@@ -98,8 +104,9 @@ def primer_edge_hit(spark, sf_dir):
     each = primers.select("region", F.lit("fwd").alias("side"), F.col("fwd").alias("p")).unionByName(primers.select("region", F.lit("bwd").alias("side"), F.col("bwd").alias("p")))
     hit = edge_hit()
     read = F.when(F.col("side") == "fwd", F.col("fwd")).otherwise(F.col("bwd"))
-    found = fx.reads(spark, sf_dir).crossJoin(F.broadcast(each)).select("region", "side", hit(read, F.col("p")).alias("h"))
-    return found.select("region", "side", "h.mm", "h.pos").groupBy("region", "side", "mm", "pos").agg(F.count(F.lit(1)).alias("n"))
+    distinct = fx.reads(spark, sf_dir).groupBy("fwd", "bwd").agg(F.count(F.lit(1)).alias("n"))
+    found = distinct.crossJoin(F.broadcast(each)).select("region", "side", "n", hit(read, F.col("p")).alias("h"))
+    return found.select("region", "side", "h.mm", "h.pos", "n").groupBy("region", "side", "mm", "pos").agg(F.sum("n").alias("n"))
 
 
 # The database.
@@ -256,17 +263,16 @@ def mapped_by_reference(spark, sf_dir):
     return plain(fx.estimate(spark, sf_dir).mapped_by_reference())
 
 
-@query(f"{_READ_OUT} SELECT f.name AS id, 'lang;' || d.lang AS taxonomy, round(proportion, 10) AS proportion, round(frequency, 10) AS frequency, mapped FROM freq f JOIN mp USING (j) LEFT JOIN documents d ON 'ref' || d.doc_id = f.name WHERE frequency > 0")
+@query(f"{_READ_OUT} SELECT f.name AS id, 'lang;' || d.lang AS taxonomy, round(proportion, 10) AS proportion, round(frequency, 10) AS frequency, mapped FROM freq f JOIN mp USING (j) LEFT JOIN refs d ON d.id = f.name WHERE frequency > 0")
 def taxonomy_report(spark, sf_dir):
-    docs = fx.read(spark, sf_dir, "documents").select(F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("lang;"), "lang").alias("lineage"))
-    return plain(fx.estimate(spark, sf_dir).report(docs)).drop("j").withColumns({c: F.round(c, 10) for c in ("proportion", "frequency")})
+    lineages = fx.windows(spark, sf_dir).select(fx.reference_id().alias("id"), F.concat(F.lit("lang;"), "lang").alias("lineage"))
+    return plain(fx.estimate(spark, sf_dir).report(lineages)).drop("j").withColumns({c: F.round(c, 10) for c in ("proportion", "frequency")})
 
 
 # Sparse algebra over line items: rows are orders, columns suppliers.
 
 _A = "a AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL)"
 _B = "b AS (SELECT l_suppkey AS i, l_partkey % 50 AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL)"
-_T = "t AS (SELECT l_suppkey AS i, l_partkey % 40 AS j, sum(l_quantity) AS x FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 40 < 20 GROUP BY ALL), k AS (SELECT i, CASE WHEN j >= 10 THEN 10 + j % 3 ELSE j END AS j, 1.0::DOUBLE AS x FROM t)"
 
 
 def _triples(spark, sf_dir, i: str, j: str) -> DataFrame:
@@ -339,14 +345,14 @@ def vector_normalize(spark, sf_dir):
     return sparse.normalized(fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") % 11).cast("double").alias("x")))
 
 
-#: Columns that repeat others, by copying columns 0 to 19 to 20 to 39; columns 40 to 44 are empty.
-_DUPLICATED = f"WITH {_B}, d AS (SELECT i, j, x FROM b WHERE j < 20 UNION ALL SELECT i, j + 20, x FROM b WHERE j < 20), s AS (SELECT c.j, coalesce(list((i, x) ORDER BY i) FILTER (i IS NOT NULL), []) AS s FROM (SELECT unnest(range(0, 45)) AS j) c LEFT JOIN d USING (j) GROUP BY c.j), r AS (SELECT s, min(j) AS rep_j, row_number() OVER (ORDER BY len(s), min(j)) - 1 AS g FROM s GROUP BY s)"
+#: Columns that repeat others, by copying columns 0 to 49 to 50 to 99; columns 100 to 104 are empty.
+_DUPLICATED = f"WITH {_B}, d AS (SELECT i, j, x FROM b UNION ALL SELECT i, j + 50, x FROM b), s AS (SELECT c.j, coalesce(list((i, x) ORDER BY i) FILTER (i IS NOT NULL), []) AS s FROM (SELECT unnest(range(0, 105)) AS j) c LEFT JOIN d USING (j) GROUP BY c.j), r AS (SELECT s, min(j) AS rep_j, row_number() OVER (ORDER BY len(s), min(j)) - 1 AS g FROM s GROUP BY s)"
 
 
 def _duplicated(spark, sf_dir) -> DataFrame:
-    b = _b(spark, sf_dir).where("j < 20")
-    d = b.unionByName(b.withColumn("j", F.col("j") + 20))
-    return sparse.column_groups(d, spark.range(45).select(F.col("id").alias("j")))
+    b = _b(spark, sf_dir)
+    d = b.unionByName(b.withColumn("j", F.col("j") + 50))
+    return sparse.column_groups(d, spark.range(105).select(F.col("id").alias("j")))
 
 
 @query(f"{_DUPLICATED} SELECT j, g, rep_j FROM s JOIN r USING (s)")
@@ -366,6 +372,5 @@ def ordered_dictionary(spark, sf_dir):
 
 @query("SELECT n_name, n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::BIGINT AS idx FROM nation")
 def ordered_dictionary_by(spark, sf_dir):
-    w = Window.partitionBy("n_regionkey").orderBy("n_name")
-    return fx.read(spark, sf_dir, "nation").select("n_name", "n_regionkey", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    return dense_index(fx.read(spark, sf_dir, "nation").select("n_name", "n_regionkey"), ["n_name"], "idx", by="n_regionkey")
 

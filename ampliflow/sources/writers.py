@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliflow.operators.database import Database
@@ -35,7 +35,11 @@ def database_json(db: Database) -> DataFrame:
     regions = regions.join(cells, "region", "left").join(listed(db.perfect, "j", F.col("perfect").cast("int"), "perfect_match"), "region", "left")
     cols = db.refs.agg(F.count(F.lit(1)).alias("n_refs"))
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
-    rows = F.expr("transform(sequence(0, size(coalesce(unique_pairs, array()))), r -> cast(size(filter(coalesce(c, array()), e -> e.h < r)) as bigint))")
+    # Entries before each row, and all of them at the end: a running sum over the rows of a region.
+    sized = db.pairs.select("region", "h").join(db.m.groupBy("region", "h").agg(F.count(F.lit(1)).alias("n")), ["region", "h"], "left")
+    ends = sized.withColumn("end", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("region").orderBy("h")))
+    regions = regions.join(listed(ends, "h", F.col("end"), "row_ends"), "region", "left")
+    rows = F.concat(F.array(F.lit(0).cast("long")), none("row_ends", "bigint"))
     regions = regions.crossJoin(F.broadcast(cols)).select(
         "region",
         F.struct(

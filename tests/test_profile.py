@@ -8,7 +8,9 @@ import pytest
 from ampliflow.operators.database import ReferenceBuilder
 from ampliflow.operators.estimate import Estimate
 from ampliflow.operators.mapper import ReadMapper
-from ampliflow.operators.simjoin import hamming_join
+from ampliflow.functions.dna import mismatch_count
+from ampliflow.operators.primers import best_hits_of
+from ampliflow.operators.simjoin import hamming_join, scan_join
 from ampliflow.operators.staging import dense_index
 from ampliflow.sources.readers import load_database
 from ampliflow.sources.writers import report_lines, save_database, write_report
@@ -135,6 +137,30 @@ def test_hamming_join_is_brute_force(spark, strategy):
     assert found == want
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 700])
+def test_scan_of_partial_reads_and_many_mismatches(spark, limit):
+    """Also where the k-mers exceed the limit and are dealt into parts: nothing is lost and nothing comes twice."""
+    r = random.Random(9)
+    base = ["".join(r.choice("ACGT") for _ in range(30)) for _ in range(50)]
+    queries = sorted({b[: r.randrange(5, 31)] for b in base} | {"N" * 30, "ACGTN"})
+    kmers = spark.createDataFrame([(n % 2, n, b) for n, b in enumerate(base)], "region int, kmer_id long, kmer string")
+    q = spark.createDataFrame([(g, s) for s in queries for g in (0, 1, 5)], "region int, q string")
+    got = sorted((x["region"], x["q"], x["kmer_id"], x["mm"]) for x in scan_join(q, kmers, 12, limit).collect())
+    assert got == sorted((n % 2, s, n, d) for s in queries for n, b in enumerate(base) if (d := sum(x != y and x != "N" for x, y in zip(s, b))) <= 12)
+    assert scan_join(q, kmers.where("kmer_id < 0"), 12, limit).collect() == []
+
+
+def test_best_hits_are_brute_force():
+    r = random.Random(3)
+    sequences = ["".join(r.choice("ACGTRN") for _ in range(r.choice([0, 3, 17, 60, 900]))) for _ in range(80)]
+    primers = ["ACG", "GTGYCAGCMGCC", "A" * 40]
+    mm, pos = best_hits_of(sequences, primers)
+    for n, s in enumerate(sequences):
+        for k, p in enumerate(primers):
+            want = min(((mismatch_count(p, s[a : a + len(p)]), a) for a in range(len(s) - len(p) + 1)), default=(-1, -1))
+            assert (mm[n, k], pos[n, k]) == want
+
+
 def test_dense_index(spark):
     df = spark.createDataFrame([(k % 3, f"v{(k * 7) % 50:02d}") for k in range(50)], "g int, v string")
     got = [(r["v"], r["n"]) for r in dense_index(df, ["v"], "n").collect()]
