@@ -5,7 +5,7 @@ P(word | history) = P(class | h) * P(group | class, h) * P(member | group, h) *
 There are 32 classes of 32 groups of 32 members. A frequent word is a member of its own, other words share the members of
 their endings, so nearly all of a word's probability depends on the history. Each of the first three factors is a
 softmax over hashed n-gram and skip features: the words one and two back, their pairs with classes, and the classes up
-to six back. Its weights are trained by gradient updates: each trainer runs over its share of the training documents from
+to four back. Its weights are trained by gradient updates: each trainer runs over its share of the training documents from
 the current weights, and the next state is the mean of their changes, row by row, weighed by the gradients that a row saw.
 P(word | member) is the relative frequency within the member. All positions of all training documents train, once each.
 
@@ -36,9 +36,9 @@ FREQUENT, ENDINGS = 24 * 1024, 7 * 1024
 #: Neighbours by which members are compared: so many frequent words and one for all others, on both sides.
 LANDMARKS = 31
 #: Hashed features of the class, the group and the member.
-FEATURES = (5, 3, 3)
+FEATURES = (4, 3, 2)
 #: Classes this far back are seen.
-BACK = 6
+BACK = 4
 #: Rows of a feature: a row for each so many characters of training text, in powers of two between these bounds.
 ROW_CHARS, LEAST_BITS, MOST_BITS = 8192, 14, 15
 ROUNDS = 2
@@ -47,7 +47,7 @@ TRAINER_CHARS, TRAINERS = 48_000_000, 8
 FAN = 256
 BATCH = 1024
 #: Steps are RATE over the root of a row's squared gradients, which start from FIRST.
-RATE, FIRST = 1.0, 1.0
+RATE, FIRST = 0.8, 0.5
 #: Characters of text in a block.
 BLOCK_CHARS = 8_000_000
 #: Weight rows that travel together.
@@ -300,9 +300,9 @@ def feature_rows(ids: np.ndarray, place: np.ndarray, text: Text, bits: int) -> t
     c = [None, *(_back(cls, place, k, WIDTH - 1) for k in range(1, BACK + 1))]
     mix = lambda k, x: _MIX[k][x]
     features = (
-        (h1, h1 ^ mix(0, c[2]), h2, mix(1, c[3]) ^ mix(2, c[4]), mix(1, c[5]) ^ mix(2, c[6])),
+        (h1, h1 ^ mix(0, c[2]), h2, mix(1, c[3]) ^ mix(2, c[4])),
         (h1 ^ mix(3, cls), h2 ^ mix(4, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
-        (h1 ^ mix(9, group), h2 ^ mix(10, group), mix(11, c[1]) ^ mix(12, c[2]) ^ mix(13, group)),
+        (h1 ^ mix(9, group), mix(11, c[1]) ^ mix(12, c[2]) ^ mix(13, group)),
     )
     rows, shift, base = [], np.uint32(32 - bits), 0
     for some in features:
