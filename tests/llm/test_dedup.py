@@ -63,9 +63,13 @@ def brute_force(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [20_000, 2, 0])
 def test_suffix_dedup(spark, monkeypatch, hot):
+    """Also where all frequent anchors are hot, and where their strings are dealt out one by one."""
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1024 if hot > 2 else 100)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 30)
+    monkeypatch.setattr(suffix_dedup, "PARTS", 3)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdé") for _ in range(r.randrange(2, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -96,14 +100,32 @@ def test_suffix_dedup_repeated_rows_of_different_runs(spark):
     assert sorted(got) == sorted((k, want[k]) for k in (1, 1, 1, 2, 2, 3))
 
 
-def test_family_levels_are_few():
-    family = suffix_dedup.SuffixFamily()
+def test_family_levels_are_few(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    family, starts = suffix_dedup.SuffixFamily(), np.arange(50) * 100
     r = np.random.default_rng(0)
+    every = []
     for _ in range(64):
-        strings = r.integers(97, 123, (50, 100), np.uint8).view("S100").ravel()
-        assert not family.add(strings).any()
-        assert family.add(strings).all()
+        data = r.integers(0, 3, 5000, np.uint8)
+        assert not family.add(data, starts).any()
+        assert family.add(data, starts).all()
+        every += [data[k : k + 100].tobytes() for k in starts]
     assert len(family.levels) <= 8 and sum(map(len, family.levels)) == 64 * 50
+    for level in family.levels:
+        own = [level.data[k : k + 100].tobytes() for k in level.at]
+        assert own == sorted(own) and set(own) <= set(every)
+
+
+def test_family_is_brute_force():
+    r = np.random.default_rng(7)
+    family, seen = suffix_dedup.SuffixFamily(), set()
+    for _ in range(30):
+        data = np.tile(r.integers(0, 2, 130, np.uint8), 3)[: r.integers(100, 390)]
+        got = family.add(data, np.arange(len(data) - 99))
+        for k, old in enumerate(got):
+            x = data[k : k + 100].tobytes()
+            assert old == (x in seen)
+            seen.add(x)
 
 
 def test_long_text_in_parts(monkeypatch):
