@@ -34,9 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one is set only where the session names none."""
+    """The folder that the driver and all executors see; in local mode one is made where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="ampliflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

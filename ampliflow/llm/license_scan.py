@@ -104,24 +104,26 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every input row and column, with ``ls_sentences`` (identifiers in order) and ``ls_licenses`` (in the order of the rules).
 
     Sentences are looked for in the text as it stands and, for hard-wrapped texts, with single line ends taken as blanks;
-    the reading that finds more counts, the first if equal. Null and empty texts have no sentence and no licence.
+    the reading that finds more counts, the first if equal. Null and empty texts have no sentence and no licence; null ids
+    and repeated rows are rows like any other; an empty table gives an empty one. The prefix ``ls_`` is this operator's: a
+    column of that name is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<int>")
     by_line, wrapped = sentence_ids(text, _ENDS), sentence_ids(text, _WRAPPED_ENDS)
     best = let(by_line, lambda a: let(wrapped, lambda b: F.when(F.size(b) > F.size(a), b).otherwise(a)))
-    found = docs.withColumn("_ids", F.when(F.lower(text).rlike(HINT), best).otherwise(none))
-    marks = F.concat(F.lit(" "), F.array_join(F.transform("_ids", lambda k: k.cast("string")), "  "), F.lit(" "))
-    found = found.withColumn("_marks", marks)
+    found = docs.withColumn("ls_sentence_ids", F.when(F.lower(text).rlike(HINT), best).otherwise(none))
+    marks = F.concat(F.lit(" "), F.array_join(F.transform("ls_sentence_ids", lambda k: k.cast("string")), "  "), F.lit(" "))
+    found = found.withColumn("ls_marks", marks)
     number = {name: k + 1 for k, name in enumerate(_IDS)}
     hits, before = [], {}
     for name, family, sequence in RULES:
-        hit = F.col("_marks").like("%" + "%".join(f" {number[x]} " for x in sequence) + "%")
+        hit = F.col("ls_marks").like("%" + "%".join(f" {number[x]} " for x in sequence) + "%")
         fresh = hit & ~before.get(family, F.lit(False))
         before[family] = before.get(family, F.lit(False)) | hit
         hits.append(F.when(fresh, F.lit(name)))
     names = F.array(*[F.lit(x) for x in _IDS])
-    return found.withColumns({"ls_licenses": F.array_compact(F.array(*hits)), "ls_sentences": F.transform("_ids", lambda k: F.element_at(names, k))}).drop("_ids", "_marks")
+    return found.withColumns({"ls_licenses": F.array_compact(F.array(*hits)), "ls_sentences": F.transform("ls_sentence_ids", lambda k: F.element_at(names, k))}).drop("ls_sentence_ids", "ls_marks")
 
 
 def op9_query(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from ampliflow.llm.common import least_hashed, small_batches
 
 #: Bound on the labelled documents that are learned from; they are those with the least hashes of their ids.
 MAX_LABELLED = 6000
+#: Characters of a document that may teach; longer ones are scored like all others.
+MAX_CHARS = 200_000
 THRESHOLD = 0.7
 _SYMBOLS = "#*$%&<>"
 _ENDS = frozenset(".!?:;…\"'”»)")
@@ -185,12 +187,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LineCrf:
-    """Fit on at most ``max_labelled`` labelled documents that aren't held out; only these documents' bins reach the driver."""
+    """Fit on at most ``max_labelled`` labelled documents that aren't held out, of at most ``MAX_CHARS`` characters each; only these documents' bins reach the driver."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.min("_label").alias("_label"))
     known = least_hashed(known, "_id", max_labelled)
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(known), "_id")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
+    # Rows that share an id teach once, by their least text.
+    rows = rows.where(F.length("_text") <= MAX_CHARS).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,7 +228,11 @@ def score(docs: DataFrame, crf: LineCrf, text_col: str = "text", out_col: str =
 
 
 def op5_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row for each input row; null and empty texts have no good line."""
+    """A row for each input row; null and empty texts have no good line.
+
+    Rows without an id aren't held out and have no label. Repeated rows, and different texts of one id, are scored one by one.
+    Without labels all scores are 0.5. Other columns than doc_id and text are not read.
+    """
     crf = train(docs, labels)
     scored = score(docs.select("doc_id", "text"), crf)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -90,21 +90,24 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, on & once & bound & exact).select(F.col("a_fp").alias("fp_a"), F.col("fp").alias("fp_b"))
 
 
+def _groups(fps: DataFrame, name: str) -> DataFrame:
+    """(fp, group) of distinct fingerprints: those that links of ``RADIUS`` bits or fewer join share a group."""
+    found = connected_components(near_pairs(fps).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")), name)
+    return fps.join(found, fps["fp"] == found["node"], "left").select(fps["fp"], F.coalesce("component", fps["fp"]).alias("group"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, fp, component_id) for every row; the component is the least id that links of 3 bits or fewer reach.
 
-    Null and empty texts have fingerprint zero and link like any other. Rows with a null id keep it; they are reached
-    through their fingerprint, but never name a component. Repeated rows give equal results; other columns are not read.
+    Null and empty texts have fingerprint zero and link like any other. Rows with a null id keep it and link others, but never
+    name a component; where they are alone it is null. Repeated rows give equal results; other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = materialize(docs.select(id_col, fingerprint(F.col(text_col)).alias("fp")), "op8-rows")
-    fps = rows.groupBy("fp").agg(F.min(id_col).cast("long").alias("node"))
-    fps = materialize(fps, "op8-fps")
-    pairs = near_pairs(fps.where("node IS NOT NULL"))
-    ends = pairs.join(fps.select(F.col("fp").alias("fp_a"), F.col("node").alias("u")), "fp_a").join(fps.select(F.col("fp").alias("fp_b"), F.col("node").alias("v")), "fp_b")
-    found = connected_components(ends.select("u", "v"), "op8-components")
-    labels = fps.join(found, fps["node"] == found["node"], "left").select("fp", F.coalesce("component", fps["node"]).alias("component_id"))
-    return rows.join(labels, "fp", "left").select(id_col, "fp", "component_id")
+    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).cast("long").alias("least")), "op8-fps")
+    labels = materialize(_groups(fps.select("fp"), "op8-components").join(fps, "fp"), "op8-labels")
+    named = labels.join(labels.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id")
+    return rows.join(named, "fp", "left").select(id_col, "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,10 +118,9 @@ def one_of_each_group(docs: DataFrame, columns: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
     order = {"_none": F.col("doc_id").isNull(), "_tie": F.xxhash64("text"), "_rest": F.xxhash64(*columns)}
     rows = materialize(docs.select("doc_id", *[v.alias(k) for k, v in order.items()], fingerprint(F.col("text")).alias("fp")), "near-rows")
-    pairs = near_pairs(materialize(rows.select("fp").distinct(), "near-fps"))
-    found = connected_components(pairs.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")), "near-components")
+    groups = _groups(materialize(rows.select("fp").distinct(), "near-fps"), "near-components")
     first = rows.groupBy("fp").agg(F.min(F.struct("_none", "doc_id", "_tie", "_rest")).alias("m"))
-    first = first.join(found, first["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("_group")).agg(F.min("m").alias("m"))
+    first = first.join(groups, "fp").groupBy(F.col("group").alias("_group")).agg(F.min("m").alias("m"))
     first = first.select("_group", F.col("m.doc_id").alias("_id"), F.col("m._tie").alias("_t"), F.col("m._rest").alias("_r"))
     chosen = docs.select(*columns).withColumns({k: order[k] for k in ("_tie", "_rest")})
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")) & (F.col("_rest") == F.col("_r"))

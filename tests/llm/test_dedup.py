@@ -1,8 +1,10 @@
 import random
+import re
 from hashlib import sha256
 
 import numpy as np
 import pytest
+import xxhash
 
 from ampliflow.llm import components, simhash_dedup, suffix_dedup
 
@@ -49,6 +51,39 @@ def test_simhash_edges(spark):
     assert simhash_dedup.op8_query(df.where("doc_id < 0")).collect() == []
 
 
+def simhash(text):
+    """Bit by bit, as the contract words it."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def test_groups_are_brute_force(spark):
+    """Fingerprints and components, with near copies, repeated rows, null ids that link others, and null texts."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdeFG") for _ in range(4))
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(r.randrange(1, 400))]
+        rows.append((3 * k, " ".join(words)))
+        for n in range(r.randrange(4)):
+            words[r.randrange(len(words))] = word()
+            rows.append((None if n == 1 else 3 * k + 1 + n, " ".join(words)))
+    rows += [rows[0], (900, None), (None, ""), (901, "  \n "), (None, "alone " * 50), (2, rows[4][1])]
+    fps = [simhash(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    root = union_find(len(rows), links)
+    least = {}
+    for (k, _), g in zip(rows, root):
+        if k is not None:
+            least[g] = min(k, least.get(g, k))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, ((x["doc_id"], x["fingerprint"], x["component_id"]) for x in simhash_dedup.op8_query(df).collect())))
+    assert got == sorted(map(str, ((k, f"{f:016x}", least.get(g)) for (k, _), f, g in zip(rows, fps, root))))
+    assert any(k is None for i, j in links for k in (rows[i][0], rows[j][0]))
+
+
 def brute_force(rows, n=100):
     seen, out = set(), {}
     for doc, text in sorted(rows, key=lambda x: x[0]):
