@@ -32,7 +32,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     A bit is set if the terms that set it outweigh the others; null texts and texts without words get zero. A key has one row.
     """
     terms = rows.select(*keys, F.posexplode_outer(words_of(F.col(text_col))).alias("_at", "_t")).withColumn("_part", F.floor(F.coalesce("_at", F.lit(0)) / LANE_TERMS))
-    terms = terms.select(*keys, "_part", F.coalesce(term_weight(F.col("_t")), F.lit(0)).alias("_w"), F.xxhash64("_t").alias("_h0"), F.xxhash64(F.lit(1), "_t").alias("_h1"))
+    terms = terms.select(*keys, "_part", F.when(F.col("_t").isNotNull(), term_weight(F.col("_t"))).otherwise(F.lit(0)).alias("_w"), F.xxhash64("_t").alias("_h0"), F.xxhash64(F.lit(1), "_t").alias("_h1"))
     pairs = [(half, k) for half in (0, 1) for k in range(32)]
     votes = [F.sum(F.col("_w") * F.shiftright(f"_h{half}", k).bitwiseAND(F.lit(_PAIR))).alias(f"_v{half}_{k}") for half, k in pairs]
     parts = terms.groupBy(*keys, "_part").agg(F.sum("_w").alias("_w"), *votes)
