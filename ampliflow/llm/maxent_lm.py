@@ -36,16 +36,17 @@ FREQUENT, ENDINGS = 24 * 1024, 7 * 1024
 #: Neighbours by which members are compared: so many frequent words and one for all others, on both sides.
 LANDMARKS = 31
 #: Hashed features of the class, the group and the member.
-FEATURES = (4, 3, 2)
+FEATURES = (4, 3, 1)
 #: Classes this far back are seen.
 BACK = 4
 #: Rows of a feature: a row for each so many characters of training text, in powers of two between these bounds.
-ROW_CHARS, LEAST_BITS, MOST_BITS = 8192, 14, 15
+ROW_CHARS, LEAST_BITS, MOST_BITS = 16384, 14, 15
 ROUNDS = 2
 #: A round has a trainer for each so many characters of its texts, and this many at least; changes are averaged by groups of at most FAN trainers.
 TRAINER_CHARS, TRAINERS = 48_000_000, 8
 FAN = 256
-BATCH = 1024
+#: Positions of an update: a part of those already seen, between these bounds.
+LEAST_BATCH, MOST_BATCH, BATCH_PART = 512, 2048, 8
 #: Steps are RATE over the root of a row's squared gradients, which start from FIRST.
 RATE, FIRST = 0.8, 0.5
 #: Characters of text in a block.
@@ -134,7 +135,7 @@ def count_words(blocks: DataFrame) -> DataFrame:
     """(block, at, c, first, word, ending): for each word of each block its count in all training texts; ``first`` marks one row of each word, which has its hash and ending."""
     entries = blocks.select("block", "word", "ending", "n").mapInPandas(_entries, "block long, at int, word long, ending int, n int")
     same = Window.partitionBy("word")
-    found = entries.withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1})
+    found = entries.withColumns({"c": F.sum("n").over(same), "first": F.col("block") == F.min("block").over(same)})
     return materialize(found.select("block", "at", "c", "first", *[F.when(F.col("first"), F.col(k)).alias(k) for k in ("word", "ending")]), "op3-words")
 
 
@@ -244,8 +245,7 @@ def neighbours(blocks: DataFrame, members: Members, landmarks: np.ndarray) -> np
             for k in (1, 2):
                 ok = text.place[k:] >= k
                 for a, b, shift in ((m[k:], near[:-k], 0), (m[:-k], near[k:], side)):
-                    key, n = np.unique((a * (2 * side) + b + shift)[ok], return_counts=True)
-                    sums[key] += n
+                    sums += np.bincount((a * (2 * side) + b + shift)[ok], minlength=len(sums))
         key = np.flatnonzero(sums)
         if len(key):
             yield pd.DataFrame({"key": key.astype(np.int32), "n": sums[key]})
@@ -302,7 +302,7 @@ def feature_rows(ids: np.ndarray, place: np.ndarray, text: Text, bits: int) -> t
     features = (
         (h1, h1 ^ mix(0, c[2]), h2, mix(1, c[3]) ^ mix(2, c[4])),
         (h1 ^ mix(3, cls), h2 ^ mix(4, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
-        (h1 ^ mix(9, group), mix(11, c[1]) ^ mix(12, c[2]) ^ mix(13, group)),
+        (h1 ^ mix(9, group),),
     )
     rows, shift, base = [], np.uint32(32 - bits), 0
     for some in features:
@@ -370,16 +370,18 @@ def row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[np.r_[single, first]], total
 
 
-def update(weights: np.ndarray, seen: np.ndarray, text: Text, bias: list[np.ndarray], bits: int) -> None:
-    """Gradient updates at every position, in place; ``seen`` sums the squared gradients of each row and sets its step."""
+def update(weights: np.ndarray, seen: np.ndarray, text: Text, bias: list[np.ndarray], bits: int, done: int = 0) -> None:
+    """Gradient updates at every position, in place, after ``done`` positions; ``seen`` sums the squared gradients of each row and sets its step."""
     whole = weights.view(f"V{weights.itemsize * WIDTH}").ravel()  # rows are written as single values
     for a in range(0, len(text.ids), 128 * 1024):
         from_ = max(0, a - BACK)
         rows, context, target = feature_rows(text.ids[from_ : a + 128 * 1024], text.place[from_ : a + 128 * 1024], text, bits)
-        for b in range(a - from_, len(context[0]), BATCH):
+        b, end = a - from_, len(context[0])
+        while b < end:
+            now = slice(b, b + min(MOST_BATCH, max(LEAST_BATCH, done // BATCH_PART)))
             for r, c, t, own in zip(rows, context, target, bias):
-                r, t = r[:, b : b + BATCH], t[b : b + BATCH]
-                g = softmax(weights, r, own, c[b : b + BATCH])
+                r, t = r[:, now], t[now]
+                g = softmax(weights, r, own, c[now])
                 np.negative(g, out=g)
                 g[np.arange(len(t)), t] += 1
                 used, total = row_sums(g, r)
@@ -388,6 +390,8 @@ def update(weights: np.ndarray, seen: np.ndarray, text: Text, bias: list[np.ndar
                 total *= (RATE / np.sqrt(slope))[:, None]
                 total += np.take(weights, used, axis=0, mode="clip")
                 whole[used] = total.view(whole.dtype).ravel()
+            done += min(now.stop, end) - b
+            b = now.stop
 
 
 # Training.
@@ -430,7 +434,7 @@ def _trainer(members: Members, bias: list[np.ndarray], bits: int, state, turn: i
         for row in _rows(frames):
             text = _text(row, members, lambda doc, size, out: ~out & (turn_of(doc, size, rounds) == turn))
             if len(text.ids):
-                update(w, seen, text, bias, bits)
+                update(w, seen, text, bias, bits, worked)
                 worked += len(text.ids)
         for s in range(0, len(w), SHARD) if worked else ():
             energy = seen[s : s + SHARD] - before[s : s + SHARD]
