@@ -48,7 +48,9 @@ class ReadMapper:
         """(sample, fwd, bwd, n): distinct read pairs whose mates have few ambiguity codes; ``sample`` is "" where there is none."""
         reads = reads if "sample" in reads.columns else reads.withColumn("sample", F.lit(""))
         rows = reads.select("sample", *[dna.as_dna(F.col(c)).alias(c) for c in ("fwd", "bwd")]).groupBy("sample", "fwd", "bwd").agg(F.count(F.lit(1)).alias("n"))
-        return rows.where(dna.few_ambiguous(F.col("fwd"), self.max_ambiguous) & dna.few_ambiguous(F.col("bwd"), self.max_ambiguous))
+        few = dna.few_ambiguous(F.col("fwd"), self.max_ambiguous) & dna.few_ambiguous(F.col("bwd"), self.max_ambiguous)
+        # The count keeps the check above the aggregate: once for each distinct pair, not for each read and whatever makes it.
+        return rows.where(F.when(F.col("n") > 0, few))
 
     def assigned_kmers(self, reads: DataFrame) -> DataFrame:
         """(sample, region, fwd, bwd, n): trimmed k-mers of every distinct read pair in every region whose primers both fit."""
