@@ -66,9 +66,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str, str], object] = {}
 
 
-def forget() -> None:
-    """The next query builds all it needs anew."""
-    _BUILT.clear()
+def forget(keep: tuple[str, ...] = ()) -> None:
+    """The next query builds all it needs anew, but for what is kept."""
+    for key in [k for k in _BUILT if k[2] not in keep]:
+        del _BUILT[key]
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make):
