@@ -36,7 +36,7 @@ FREQUENT, ENDINGS = 24 * 1024, 7 * 1024
 #: Neighbours by which members are compared: so many frequent words and one for all others, on both sides.
 LANDMARKS = 31
 #: Hashed features of the class, the group and the member.
-FEATURES = (4, 3, 1)
+FEATURES = (4, 2, 1)
 #: Classes this far back are seen.
 BACK = 4
 #: Rows of a feature: a row for each so many characters of training text, in powers of two between these bounds.
@@ -301,7 +301,7 @@ def feature_rows(ids: np.ndarray, place: np.ndarray, text: Text, bits: int) -> t
     mix = lambda k, x: _MIX[k][x]
     features = (
         (h1, h1 ^ mix(0, c[2]), h2, mix(1, c[3]) ^ mix(2, c[4])),
-        (h1 ^ mix(3, cls), h2 ^ mix(4, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
+        (h1 ^ mix(3, cls), mix(6, c[1]) ^ mix(7, c[2]) ^ mix(8, cls)),
         (h1 ^ mix(9, group),),
     )
     rows, shift, base = [], np.uint32(32 - bits), 0
