@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliflow.llm import bpe, fingerprints, html_extract, license_scan, line_crf, maxent_lm, packing, quality_rules, simhash_dedup, suffix_dedup
+from ampliflow.llm import bpe, conversation_trie, exact_dedup, fill_in_middle, fingerprints, html_extract, license_scan, line_crf, maxent_lm, packing, quality_rules, simhash_dedup, suffix_dedup
 from ampliflow.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.op11_query(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.op12_query(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.op13_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_html_extract": op2_html_extract,
@@ -68,9 +80,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }
