@@ -5,11 +5,17 @@ Alphabet: ``ACGTU`` and the eleven IUPAC ambiguity codes, upper case.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -25,6 +31,57 @@ class InvalidDna(ValueError):
     """A symbol outside the alphabet."""
 
 
+class InvalidKmerLength(ValueError):
+    """A k-mer length that is not positive, or above that of the database."""
+
+
+class InvalidDimensions(ValueError):
+    """Sequences or matrices whose sizes don't agree."""
+
+
+@contextmanager
+def typed_errors() -> Iterator[None]:
+    """Inside, a task that fails on an invalid symbol raises ``InvalidDna`` here, with the beginning of the sequence."""
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as e:
+        found = re.search(r"invalid DNA: ([^\n]*)", str(e))
+        if found is None:
+            raise
+        raise InvalidDna(f"invalid DNA: {found[1][:60].strip()}") from e
+
+
+def checked_primer(p: str) -> str:
+    """The primer itself if it is a string of at least one base or code."""
+    if not isinstance(p, str):
+        raise TypeError(f"expected str, found {type(p).__name__}")
+    if not p or set(p) - set(COMPLEMENT[0]):
+        raise InvalidDna(f"invalid DNA: {p!r}")
+    return p
+
+
+def rejected(df: DataFrame, *columns: str) -> DataFrame:
+    """A row for each sequence of ``df`` with a symbol outside the alphabet: its other columns, and column, place (from 0), symbol and reason.
+
+    A null sequence is rejected too, with a null place.
+    """
+    others = [c for c in df.columns if c not in columns]
+    found = [F.struct(F.lit(c).alias("column"), F.col(c).alias("s"), is_valid(F.col(c)).alias("ok")) for c in columns]
+    bad = df.select(*others, F.explode(F.array(*found)).alias("r")).where("r.ok IS NULL OR NOT r.ok")
+    # The valid beginning is what is left of the first symbol that isn't in the alphabet.
+    place = F.length(F.regexp_extract("r.s", f"^[{SYMBOLS}]*", 0))
+    reason = F.when(F.col("r.s").isNull(), "no sequence").otherwise("invalid symbol")
+    return bad.select(*others, "r.column", place.alias("place"), F.substring(F.col("r.s"), place + 1, F.lit(1)).alias("symbol"), reason.alias("reason"))
+
+
+def accepted(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose sequences are all valid: those that ``rejected`` doesn't report."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.coalesce(is_valid(F.col(c)), F.lit(False))
+    return df.where(ok)
+
+
 def is_valid(s: Column) -> Column:
     return s.rlike(f"^[{SYMBOLS}]*$")
 
@@ -105,7 +162,10 @@ def bytes_of(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("ascii", "replace"), np.uint8)
 
 
-def mismatch_count(pattern: str, literal: str, compat: bool = True) -> int:
+def mismatch_count(pattern: str, literal: str, compat: bool = True, strict: bool = False) -> int:
+    """Mismatches over the shorter length; with ``strict``, lengths must be equal."""
+    if strict and len(pattern) != len(literal):
+        raise InvalidDimensions(f"lengths differ: {len(pattern)} and {len(literal)}")
     n = min(len(pattern), len(literal))
     return int(((match_masks(compat)[bytes_of(pattern)[:n]] & base_bits()[bytes_of(literal)[:n]]) == 0).sum())
 
@@ -139,6 +199,39 @@ def disambiguate(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else expansions(x) for x in s], dtype=object)
 
 
+class _Expand:
+    """Expansions one at a time: the next one changes one symbol of the last, as a counter does."""
+
+    def eval(self, s: str):
+        if s is None:
+            return
+        chars = list(s)
+        places = [(k, IUPAC[c]) for k, c in enumerate(chars) if c in IUPAC]
+        digits = [0] * len(places)
+        for k, bases in places:
+            chars[k] = bases[0]
+        while True:
+            yield ("".join(chars),)
+            for n, (k, bases) in enumerate(places):  # the leftmost code varies fastest
+                digits[n] = (digits[n] + 1) % len(bases)
+                chars[k] = bases[digits[n]]
+                if digits[n]:
+                    break
+            else:
+                return
+
+
+def is_coded(s: Column) -> Column:
+    """Whether there is an ambiguity code."""
+    return s.rlike(f"[{''.join(IUPAC)}]")
+
+
+def expanded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A row of ``df`` for each expansion of ``column``, as ``name``. Expansions stream, they are never an array; rows with null have none."""
+    expand = F.udtf(_Expand, returnType=f"`{name}` string")
+    return df.lateralJoin(expand(F.col(column).outer()))
+
+
 def pssm(primer: str, pseudocount: float = 0.1) -> list[dict[str, float]]:
     """Log2 odds of each base by position against equal shares, from the primer's expansions."""
     variants = expansions(primer)
@@ -150,9 +243,63 @@ def pssm(primer: str, pseudocount: float = 0.1) -> list[dict[str, float]]:
     return out
 
 
+def pssm_column(primer: Column, pseudocount: float = 0.1) -> Column:
+    """The matrix of ``pssm`` as array<array<double>>: for each position the log2 odds of A, C, G and T.
+
+    A code stands for each of its bases equally often among the expansions, so a position's shares follow from its own code and the number of
+    expansions; nothing is expanded.
+    """
+    shares = {c: [(b in bases) / len(bases) for b in "ACGT"] for c, bases in {**{b: b for b in "ACGT"}, **IUPAC}.items()}
+    table = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")
+    own = F.transform(F.filter(F.split(primer, ""), lambda c: c != ""), lambda c: F.element_at(table, c))
+    # A position with m bases, m = 1 / its largest share, makes m times as many expansions.
+    known = F.transform(F.array(own), lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(1.0), lambda n, x: n / F.array_max(x)).alias("n")))
+    odds = lambda s: F.transform(s["p"], lambda x: F.transform(x, lambda share: F.log2((share * s["n"] + pseudocount) / (s["n"] + 4 * pseudocount) / 0.25)))
+    return F.get(F.transform(known, odds), F.lit(0))
+
+
+def best_scores(primers: list[str], pseudocount: float = 0.1):
+    """A function of a sequence column: for each primer the place (from 0) with the highest score and that score, null where the sequence is shorter.
+
+    A symbol other than A, C, G and T adds nothing. Of equal scores the leftmost counts. One pass over a batch for each position of a primer.
+    """
+    tables = []
+    for p in primers:
+        table = np.zeros((len(p), 256))
+        for k, odds in enumerate(pssm(p, pseudocount)):
+            for b, x in odds.items():
+                table[k, ord(b)] = x
+        tables.append(table)
+
+    @F.pandas_udf("array<struct<score:double,pos:int>>")
+    def of(sequence: pd.Series) -> pd.Series:
+        texts = sequence.fillna("").tolist()
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(size) - size
+        symbols = bytes_of("".join(texts))
+        out: list[list] = [[] for _ in texts]
+        for table in tables:
+            width = len(table)
+            places = max(len(symbols) - width + 1, 0)
+            score = np.zeros(places)
+            for k in range(width):
+                score += table[k][symbols[k : k + places]]
+            for row, a, n in zip(out, begin.tolist(), size.tolist()):
+                if n < width:
+                    row.append(None)
+                else:
+                    # Scores of equal places may differ in their last bits: ties are to nine digits.
+                    own = np.round(score[a : a + n - width + 1], 9)
+                    row.append({"score": float(own.max()), "pos": int(own.argmax())})
+        return pd.Series(out, dtype=object)
+
+    return of.asNondeterministic()
+
+
 def register(spark: SparkSession) -> None:
     """SQL names for the kernels and the common expressions."""
     spark.udf.register("dna_mismatches", mismatches)
     spark.udf.register("dna_disambiguate", disambiguate)
+    spark.udtf.register("dna_expansions", F.udtf(_Expand, returnType="variant string"))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION dna_reverse_complement(s STRING) RETURNS STRING RETURN CASE WHEN s RLIKE '^[{COMPLEMENT[0]}]*$' THEN translate(reverse(s), '{COMPLEMENT[0]}', '{COMPLEMENT[1]}') END")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION dna_count_ambiguous(s STRING) RETURNS INT RETURN CASE WHEN s RLIKE '^[{SYMBOLS}]*$' THEN length(regexp_replace(s, '[{PLAIN}]', '')) END")

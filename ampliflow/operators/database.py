@@ -22,10 +22,7 @@ def primer_table(spark: SparkSession, primers: list[tuple[str, str]]) -> DataFra
         if len(pair) != 2:
             raise ValueError(f"expected a pair of primers, found {len(pair)}")
         for p in pair:
-            if not isinstance(p, str):
-                raise TypeError(f"expected str, found {type(p).__name__}")
-            if not p or set(p) - set(dna.COMPLEMENT[0]):
-                raise dna.InvalidDna(f"invalid DNA: {p!r}")
+            dna.checked_primer(p)
     return spark.createDataFrame([(k, f, b) for k, (f, b) in enumerate(primers)], "region int, fwd string, bwd string")
 
 
@@ -56,18 +53,31 @@ class Database:
 class ReferenceBuilder:
     """Collects primer-defined k-mers of reference sequences."""
 
-    def __init__(self, spark: SparkSession, primers: list[tuple[str, str]], k: int = 160, primer_mismatches: int = 2, max_ambiguous: int = 3):
+    def __init__(self, spark: SparkSession, primers: list[tuple[str, str]], k: int = 160, primer_mismatches: int = 2, max_ambiguous: int = 3, invalid: str = "raise"):
         self.spark, self.k, self.primer_mismatches, self.max_ambiguous = spark, k, primer_mismatches, max_ambiguous
+        if k <= 0:
+            raise dna.InvalidKmerLength(f"invalid k-mer length: {k}")
+        if invalid not in ("raise", "reject"):
+            raise ValueError(f"invalid is 'raise' or 'reject', not {invalid!r}")
+        self.invalid = invalid
         self.primers, self.pairs = primer_table(spark, primers), [tuple(p) for p in primers]
 
+    @staticmethod
+    def rejected(references: DataFrame) -> DataFrame:
+        """What ``invalid="reject"`` leaves out: the other columns of references with an invalid symbol, where and what it is."""
+        return dna.rejected(references, "sequence")
+
     def numbered(self, references: DataFrame) -> DataFrame:
         """(j, name, sequence) of references (seq_no, id, sequence) with few ambiguity codes, numbered by seq_no; U becomes T."""
+        references = dna.accepted(references, "sequence") if self.invalid == "reject" else references
         rows = references.select("seq_no", F.col("id").alias("name"), dna.as_dna(F.col("sequence")).alias("sequence"))
         return dense_index(rows.where(dna.few_ambiguous(F.col("sequence"), self.max_ambiguous)), ["seq_no", "name"], "j").drop("seq_no")
 
     def hits(self, numbered: DataFrame) -> DataFrame:
         """Every expansion of every reference in every region, with the best place of both primers."""
-        variants = numbered.select("j", "name", F.explode(dna.disambiguate("sequence")).alias("sequence"))
+        plain = ~dna.is_coded(F.col("sequence"))
+        coded = numbered.where(~plain).select("j", "name", F.col("sequence").alias("coded"))
+        variants = numbered.where(plain).unionByName(dna.expanded(coded, "coded", "sequence").drop("coded"))
         asked = [p for fwd, bwd in self.pairs for p in (fwd, dna.reverse_complement_of(bwd))]
         found = variants.withColumn("h", best_hits(asked)("sequence"))
         each = [F.struct(F.lit(k).alias("region"), F.lit(len(p[0])).alias("fwd_length"), F.get("h", F.lit(2 * k)).alias("f"), F.get("h", F.lit(2 * k + 1)).alias("b")) for k, p in enumerate(self.pairs)]
@@ -83,24 +93,58 @@ class ReferenceBuilder:
         return good.select("region", "j", "name", fwd.alias("fwd_kmer"), bwd.alias("bwd_kmer"), "fwd_mm", "bwd_mm").dropDuplicates()
 
     def build(self, references: DataFrame) -> Database:
-        numbered = stage(self.numbered(references).select("j", "name", "sequence"), "numbered")
+        return self._merged(None, references)
+
+    def add(self, db: Database, references: DataFrame) -> Database:
+        """The database of all references of ``db`` and then these, as if they had been built together.
+
+        Only the new references are searched for primers, and only their columns are normalised. The dictionaries are merged, as ids are ranks; what
+        there was keeps its columns and gets the new ids. ``db`` itself stays as it is.
+        """
+        mine = {(k, f, b) for k, (f, b) in enumerate(self.pairs)}
+        if db.k != self.k or {tuple(r) for r in db.primers.select("region", "fwd", "bwd").collect()} != mine:  # primers are few
+            raise ValueError("the database has another k or other primers")
+        return self._merged(db, references)
+
+    def _merged(self, db: Database | None, references: DataFrame) -> Database:
+        with dna.typed_errors():
+            return self._merge(db, references)
+
+    def _merge(self, db: Database | None, references: DataFrame) -> Database:
+        first = 0 if db is None else db.refs.count()  # every reference has a row, numbered from 0
+        numbered = self.numbered(references).select((F.col("j") + first).alias("j"), "name", "sequence")
+        numbered = stage(numbered, "numbered")
         sketches = stage(self.sketches(self.hits(numbered)), "sketches")
-        sides = sketches.select("region", F.lit("fwd").alias("side"), F.col("fwd_kmer").alias("kmer")).unionByName(sketches.select("region", F.lit("bwd").alias("side"), F.col("bwd_kmer").alias("kmer"))).distinct()
-        keyed = sides.withColumn("rs", F.concat_ws(":", F.col("region").cast("string"), "side"))
+        sides = sketches.select("region", F.lit("fwd").alias("side"), F.col("fwd_kmer").alias("kmer")).unionByName(sketches.select("region", F.lit("bwd").alias("side"), F.col("bwd_kmer").alias("kmer")))
+        sides = sides if db is None else sides.unionByName(db.kmers.select("region", "side", "kmer"))
+        keyed = sides.distinct().withColumn("rs", F.concat_ws(":", F.col("region").cast("string"), "side"))
         kmers = stage(dense_index(keyed, ["kmer"], "kmer_id", by="rs").drop("rs"), "kmers")
 
         def ids(side: str) -> DataFrame:
             return kmers.where(F.col("side") == side).select("region", F.col("kmer").alias(f"{side}_kmer"), F.col("kmer_id").alias(f"{side}_id"))
 
-        encoded = sketches.join(ids("fwd"), ["region", "fwd_kmer"]).join(ids("bwd"), ["region", "bwd_kmer"]).select("region", "j", "fwd_id", "bwd_id").distinct()
-        pairs = stage(dense_index(encoded.select("region", "fwd_id", "bwd_id").distinct(), ["fwd_id", "bwd_id"], "h", by="region").select("region", "h", "fwd_id", "bwd_id"), "pairs")
+        encoded = stage(sketches.join(ids("fwd"), ["region", "fwd_kmer"]).join(ids("bwd"), ["region", "bwd_kmer"]).select("region", "j", "fwd_id", "bwd_id").distinct(), "encoded")
+        known = encoded.select("region", "fwd_id", "bwd_id").distinct()
+        if db is not None:
+            moved = db.kmers.select("region", "side", "kmer", F.col("kmer_id").alias("old")).join(kmers, ["region", "side", "kmer"])
+            now = db.pairs
+            for side in ("fwd", "bwd"):
+                of = moved.where(F.col("side") == side).select("region", F.col("old").alias(f"{side}_id"), F.col("kmer_id").alias(f"{side}_now"))
+                now = now.join(of, ["region", f"{side}_id"])
+            old_pairs = stage(now.select("region", F.col("h").alias("old"), F.col("fwd_now").alias("fwd_id"), F.col("bwd_now").alias("bwd_id")), "old-pairs")
+            known = known.unionByName(old_pairs.drop("old")).distinct()
+        pairs = stage(dense_index(known, ["fwd_id", "bwd_id"], "h", by="region").select("region", "h", "fwd_id", "bwd_id"), "pairs")
         members = encoded.join(pairs, ["region", "fwd_id", "bwd_id"]).select("region", "h", "j")
         share = members.groupBy("region", "j").agg(F.count(F.lit(1)).alias("n"))
-        m = stage(members.join(share, ["region", "j"]).select("region", "h", "j", (1.0 / F.col("n")).alias("x")), "m")
+        m = members.join(share, ["region", "j"]).select("region", "h", "j", (1.0 / F.col("n")).alias("x"))
         counted = sketches.groupBy("j").agg(F.count(F.lit(1)).alias("n")).unionByName(share.select("j", "n")).groupBy("j").agg(F.sum("n").cast("int").alias("amplified"))
         refs = numbered.select("j", F.col("name").alias("original_name")).join(counted, "j", "left")
         refs = refs.select("j", F.when(F.col("amplified").isNotNull(), F.col("original_name")).otherwise("").alias("name"), "original_name", F.coalesce("amplified", F.lit(0)).alias("amplified"))
         perfect = sketches.groupBy("region", "j").agg(F.bool_or((F.col("fwd_mm") == 0) & (F.col("bwd_mm") == 0)).alias("perfect"))
         every = refs.select("j").crossJoin(F.broadcast(self.primers.select("region")))
         perfect = every.join(perfect, ["region", "j"], "left").select("region", "j", F.coalesce("perfect", F.lit(False)).alias("perfect"))
-        return Database(self.k, self.primers, stage(refs, "refs"), sketches, kmers, pairs, m, stage(perfect, "perfect"))
+        if db is not None:
+            ranks = old_pairs.join(pairs, ["region", "fwd_id", "bwd_id"]).select("region", "old", F.col("h").alias("now"))
+            m = m.unionByName(db.m.join(ranks, (db.m["region"] == ranks["region"]) & (db.m["h"] == ranks["old"])).select(db.m["region"], F.col("now").alias("h"), "j", "x"))
+            sketches, refs, perfect = [getattr(db, t).select(*new.columns).unionByName(new) for t, new in (("sketches", sketches), ("refs", refs), ("perfect", perfect))]
+        return Database(self.k, self.primers, stage(refs, "refs"), sketches, kmers, pairs, stage(m, "m"), stage(perfect, "perfect"))

@@ -1,7 +1,8 @@
 """Relative abundances by expectation-maximisation over a mapping, and what is read out of them.
 
 All frames carry ``sample``. A step is two joins and two sums over the non-zero entries. Long runs of small samples go to
-one kernel each; its size is checked, larger samples take the steps as queries.
+one kernel each; its size is checked. Larger samples take the steps as queries over two copies of the entries, bucketed by row and
+by group: a step then shuffles partial sums and vectors, never the entries.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from ampliflow.functions.dna import rounded_count
 from ampliflow.operators.mapper import Mapping
-from ampliflow.operators.staging import stage
+from ampliflow.operators.staging import bucketed, stage
 
 EPS = 2.220446049250313e-16
 #: Least share that counts as present.
 FLOOR = 1e-10
-#: Non-zero entries of a sample that one kernel takes.
-KERNEL_ENTRIES = 2_000_000
+#: Non-zero entries of a sample that one kernel takes (a few MB), and of a bucket.
+KERNEL_ENTRIES = 200_000
+BUCKET_ENTRIES = 2_000_000
 
 
 def nan_divide(a: Column, b: Column) -> Column:
@@ -36,12 +38,17 @@ def _share(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class Estimate:
-    """``qg`` (sample, i, g, x), ``pi`` (sample, g, pi) and the L1 change ``l1`` (sample, l1) of the last step, if any."""
+    """``qg`` (sample, i, g, x), ``pi`` (sample, g, pi) and the L1 change ``l1`` (sample, l1) of the last step, if any.
+
+    ``by_g`` and ``by_i`` are the entries bucketed by group and by row, if there are such copies.
+    """
 
     mapping: Mapping
     qg: DataFrame
     pi: DataFrame
     l1: DataFrame | None = None
+    by_g: DataFrame | None = None
+    by_i: DataFrame | None = None
 
     @classmethod
     def start(cls, mapping: Mapping) -> Estimate:
@@ -51,8 +58,32 @@ class Estimate:
         every = reps.select("sample", "g").join(raw, ["sample", "g"], "left").select("sample", "g", F.coalesce("pi", F.lit(0.0)).alias("pi"))
         return cls(mapping, qg, stage(_share(every, "pi"), "pi"))
 
+    def bucketed(self, buckets: int | None = None) -> Estimate:
+        """The same with bucketed copies of the entries, for many steps; ``y`` of a row stands beside its entries."""
+        if buckets is None:
+            buckets = max(self.qg.sparkSession.sparkContext.defaultParallelism, -(-self.qg.count() // BUCKET_ENTRIES))
+        entries = self.qg.join(self.mapping.y.select("sample", "i", "y"), ["sample", "i"])
+        return replace(self, by_g=bucketed(self.qg, ["sample", "g"], buckets, "qg_by_g"), by_i=bucketed(entries, ["sample", "i"], buckets, "qg_by_i"))
+
+    def _update(self) -> DataFrame:
+        """(sample, g, pi, change) after a step."""
+        if self.by_g is None:
+            by_g, by_i = self.qg, self.qg.join(self.mapping.y.select("sample", "i", "y"), ["sample", "i"])
+        else:
+            by_g, by_i = self.by_g, self.by_i
+        theta = by_g.join(self.pi, ["sample", "g"]).groupBy("sample", "i").agg(F.sum(F.col("x") * F.col("pi")).alias("theta"))
+        factor = by_i.join(theta, ["sample", "i"]).groupBy("sample", "g").agg(F.sum(F.col("x") * F.col("y") / (F.col("theta") + EPS)).alias("f"))
+        after = self.pi.join(factor, ["sample", "g"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+        return after.select("sample", "g", (F.col("pi") * F.col("f")).alias("pi"), (F.abs(1 - F.col("f")) * F.col("pi")).alias("change"))
+
+    def _stepped(self) -> Estimate:
+        after = stage(self._update(), "pi")
+        return replace(self, pi=after.select("sample", "g", "pi"), l1=after.groupBy("sample").agg(F.sum("change").alias("l1")))
+
     def step(self) -> Estimate:
         """One update; ``l1`` is the change that it makes."""
+        if self.by_g is not None:
+            return self._stepped()
         joined = self.qg.join(self.pi, ["sample", "g"])
         theta = joined.groupBy("sample", "i").agg(F.sum(F.col("x") * F.col("pi")).alias("theta"))
         weight = theta.join(self.mapping.y.select("sample", "i", "y"), ["sample", "i"]).select("sample", "i", (F.col("y") / (F.col("theta") + EPS)).alias("w"))
@@ -66,7 +97,7 @@ class Estimate:
         most = self.qg.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         if most <= KERNEL_ENTRIES:
             return self._refine_kernel(n, tol)
-        now = self
+        now = self if self.by_g is not None else self.bucketed()
         for _ in range(n):
             before, now = now, now.step()
             if tol > 0:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
 from ampliflow.operators.database import Database
-from ampliflow.operators.primers import edge_hit
+from ampliflow.operators.primers import edge_regions
 from ampliflow.operators.simjoin import hamming_join
 from ampliflow.operators.sparse import column_groups
 from ampliflow.operators.staging import dense_index, stage
@@ -32,7 +32,7 @@ class ReadMapper:
 
     def __init__(
         self, database: Database | None, *, primers: DataFrame | None = None, kmer_length: int | None = None, primer_mismatches: int = 2, kmer_mismatches: int = 2, error_probability: float = 0.005, partial_hits: bool = False,
-        primer_region: int = 20, min_read_frequency: float = 1e-4, min_read_count: int = 2, max_ambiguous: int = 0, strategy: str = "auto",
+        primer_region: int = 20, min_read_frequency: float = 1e-4, min_read_count: int = 2, max_ambiguous: int = 0, strategy: str = "auto", invalid: str = "raise",
     ):
         if database is None and (primers is None or kmer_length is None):
             raise ValueError("without a database, primers and kmer_length are needed")
@@ -40,13 +40,22 @@ class ReadMapper:
         self.primers = database.primers if primers is None else primers
         self.kmer_length = database.k if kmer_length is None else kmer_length
         if self.kmer_length <= 0 or database is not None and self.kmer_length > database.k:
-            raise ValueError("invalid k-mer length")
+            raise dna.InvalidKmerLength(f"invalid k-mer length: {self.kmer_length}")
+        if invalid not in ("raise", "reject"):
+            raise ValueError(f"invalid is 'raise' or 'reject', not {invalid!r}")
+        self.invalid = invalid
         self.primer_mismatches, self.kmer_mismatches, self.error_probability, self.partial_hits = primer_mismatches, kmer_mismatches, error_probability, partial_hits
         self.primer_region, self.min_read_frequency, self.min_read_count, self.max_ambiguous, self.strategy = primer_region, min_read_frequency, min_read_count, max_ambiguous, strategy
 
+    @staticmethod
+    def rejected(reads: DataFrame) -> DataFrame:
+        """What ``invalid="reject"`` leaves out: the other columns of reads with an invalid symbol, and which mate, where and what it is."""
+        return dna.rejected(reads, "fwd", "bwd")
+
     def distinct(self, reads: DataFrame) -> DataFrame:
         """(sample, fwd, bwd, n): distinct read pairs whose mates have few ambiguity codes; ``sample`` is "" where there is none."""
         reads = reads if "sample" in reads.columns else reads.withColumn("sample", F.lit(""))
+        reads = dna.accepted(reads, "fwd", "bwd") if self.invalid == "reject" else reads
         rows = reads.select("sample", *[dna.as_dna(F.col(c)).alias(c) for c in ("fwd", "bwd")]).groupBy("sample", "fwd", "bwd").agg(F.count(F.lit(1)).alias("n"))
         few = dna.few_ambiguous(F.col("fwd"), self.max_ambiguous) & dna.few_ambiguous(F.col("bwd"), self.max_ambiguous)
         # The count keeps the check above the aggregate: once for each distinct pair, not for each read and whatever makes it.
@@ -54,16 +63,15 @@ class ReadMapper:
 
     def assigned_kmers(self, reads: DataFrame) -> DataFrame:
         """(sample, region, fwd, bwd, n): trimmed k-mers of every distinct read pair in every region whose primers both fit."""
-        primers = F.broadcast(self.primers.select("region", F.col("fwd").alias("fp"), F.col("bwd").alias("bp")))
-        hit = edge_hit(self.primer_region)
-        found = self.distinct(reads).crossJoin(primers).withColumns({"f": hit("fwd", "fp"), "b": hit("bwd", "bp")})
-        found = found.where((F.col("f.mm") <= self.primer_mismatches) & (F.col("b.mm") <= self.primer_mismatches))
+        primers = self.primers.select("region", "fwd", "bwd").orderBy("region").collect()  # fewer than 255
+        found = self.distinct(reads).withColumn("hits", edge_regions([(p["fwd"], p["bwd"]) for p in primers], self.primer_mismatches, self.primer_region)("fwd", "bwd"))
+        found = found.select("sample", "fwd", "bwd", "n", F.explode("hits").alias("r"))
+        numbers = F.array(*[F.lit(p["region"]) for p in primers])
 
-        def trimmed(side: str, hit: str, primer: str):
-            start = F.col(f"{hit}.pos") + F.length(primer)
-            return F.substring(side, start + 1, F.lit(self.kmer_length)).alias(side)
+        def trimmed(side: str):
+            return F.substring(side, F.col(f"r.{side}_end") + 1, F.lit(self.kmer_length)).alias(side)
 
-        kmers = found.select("sample", "region", trimmed("fwd", "f", "fp"), trimmed("bwd", "b", "bp"), "n")
+        kmers = found.select("sample", F.get(numbers, "r.region").alias("region"), trimmed("fwd"), trimmed("bwd"), "n")
         return kmers if self.partial_hits else kmers.where((F.length("fwd") == self.kmer_length) & (F.length("bwd") == self.kmer_length))
 
     def read_counts(self, reads: DataFrame) -> DataFrame:

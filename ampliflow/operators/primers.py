@@ -72,20 +72,64 @@ def edge_hits(heads: list[str], sizes: np.ndarray, primer: str, region: int, mas
     Offsets run from one less than the primer's length before the read up to, but not including, the lesser of ``region``
     and what the read has beyond the primer. Each symbol before the read costs one. The leftmost of the cheapest wins.
     """
-    plen = len(primer)
-    pattern = masks[bytes_of(primer)]
-    width = region + plen
+    width = region + len(primer)
     block = bits[bytes_of("".join([h[:width].ljust(width) for h in heads]))].reshape(len(heads), width)
-    room = sizes - plen
-    cost, at = np.full(len(heads), 1 << 20), np.zeros(len(heads), np.int64)
-    for i in range(-(plen - 1), region):
-        if i < 0:
-            now = ((block[:, : plen + i] & pattern[-i:]) == 0).sum(1) - i
-        else:
-            now = ((block[:, i : i + plen] & pattern) == 0).sum(1)
-        better = (now < cost) & (i < np.minimum(region, room))
-        cost[better], at[better] = now[better], i
-    return cost, at
+    return _edge_costs(np.ascontiguousarray(block.T), sizes, masks[bytes_of(primer)], region)
+
+
+def _edge_costs(block: np.ndarray, sizes: np.ndarray, pattern: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``edge_hits`` for a block with a column for each read; it has ``region`` + the pattern's length rows or more.
+
+    A step for each symbol of the pattern adds to the costs of all offsets of all reads. Costs fit a byte, as patterns are shorter than 255.
+    """
+    plen, n = len(pattern), block.shape[1]
+    offsets = plen - 1 + region
+    padded = np.zeros((offsets + plen - 1, n), np.uint8)  # what lies before a read matches nothing
+    padded[plen - 1 :] = block[: offsets]
+    cost = np.zeros((offsets, n), np.uint8)
+    for k, mask in enumerate(pattern):
+        cost += (padded[k : k + offsets] & mask) == 0
+    end = np.minimum(region, sizes - plen)  # the first offset that isn't tried
+    if len(end) and end.min() < region:
+        cost[np.arange(1 - plen, region)[:, None] >= end[None, :]] = 255
+    at = cost.argmin(axis=0)
+    least = cost[at, np.arange(n)].astype(np.int64)
+    return np.where(least == 255, 1 << 20, least), at - (plen - 1)
+
+
+def edge_regions(pairs: list[tuple[str, str]], most: int, region: int = 20):
+    """A function of two read columns: an array of (region, fwd_end, bwd_end) for every pair of primers that both fit with ``most`` mismatches or fewer.
+
+    The ends are where the primers end in the reads. All primers are compared in one call, and only the heads of the reads go to Python.
+    """
+    width = max((len(p) for pair in pairs for p in pair), default=0) + region
+
+    @F.pandas_udf("array<struct<region:int,fwd_end:int,bwd_end:int>>")
+    def of(fwd: pd.Series, fwd_size: pd.Series, bwd: pd.Series, bwd_size: pd.Series) -> pd.Series:
+        masks, bits = match_masks(), base_bits()
+        n = len(fwd)
+        out: list[list] = [[] for _ in range(n)]
+        sides = []
+        for heads, sizes in ((fwd, fwd_size), (bwd, bwd_size)):
+            block = bits[bytes_of("".join([h[:width].ljust(width) for h in heads.fillna("")]))].reshape(n, width)
+            sides.append((np.ascontiguousarray(block.T), np.where(heads.isna(), -1, sizes.fillna(0).to_numpy(np.int64))))
+        for r, pair in enumerate(pairs):
+            fits, ends = np.ones(n, bool), []
+            for (block, sizes), primer in zip(sides, pair):
+                cost, at = _edge_costs(block, sizes, masks[bytes_of(primer)], region)
+                fits &= (cost <= most) & (sizes >= len(primer))
+                ends.append(at + len(primer))
+            for k in np.flatnonzero(fits).tolist():
+                out[k].append({"region": r, "fwd_end": int(ends[0][k]), "bwd_end": int(ends[1][k])})
+        return pd.Series(out, dtype=object)
+
+    kernel = of.asNondeterministic()
+
+    def regions(fwd: str | Column, bwd: str | Column) -> Column:
+        fwd, bwd = (F.col(c) if isinstance(c, str) else c for c in (fwd, bwd))
+        return kernel(F.left(fwd, F.lit(width)), F.length(fwd), F.left(bwd, F.lit(width)), F.length(bwd))
+
+    return regions
 
 
 def edge_hit(region: int = 20):

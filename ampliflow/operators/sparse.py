@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliflow.operators.staging import dense_index, stage
+from ampliflow.operators.staging import dense_index, join_group, stage
 
 
-def dot(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The product ``a @ b``."""
+#: Products of one inner index in one task; an index with more is cut into blocks.
+BLOCK_PRODUCTS = 4_000_000
+
+
+def dot(a: DataFrame, b: DataFrame, block: int = BLOCK_PRODUCTS) -> DataFrame:
+    """The product ``a @ b``.
+
+    An inner index with many entries on both sides would put all its products into one task. Its entries of ``a`` are dealt to p parts and those
+    of ``b`` to q, by row and by column, and each of the p x q blocks is a join key of its own, of about ``block`` products.
+    """
     right = b.select(F.col("i").alias("_k"), F.col("j").alias("_j"), F.col("x").alias("_x"))
-    return a.join(right, a["j"] == right["_k"]).groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
+    left = a.select("i", F.col("j").alias("_k"), "x")
+    sizes = left.groupBy("_k").agg(F.count(F.lit(1)).alias("_a")).join(right.groupBy("_k").agg(F.count(F.lit(1)).alias("_b")), "_k")
+    heavy = stage(sizes.where(F.col("_a").cast("double") * F.col("_b") > block), "heavy-inner")
+    if heavy.isEmpty():
+        return _products(left, right, ["_k"])
+    # Parts in proportion to the sides: a thin side isn't cut at all.
+    blocks = F.ceil(F.col("_a").cast("double") * F.col("_b") / block)
+    p = F.least(F.greatest(F.lit(1.0), F.sqrt(blocks * F.col("_a") / F.col("_b"))), blocks)
+    shape = heavy.select("_k", F.ceil(p).cast("int").alias("_p"), F.ceil(blocks / p).cast("int").alias("_q"))
+
+    def dealt(side: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        rows = side.join(shape, "_k", "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64(key), n_own), F.lit(0)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(n_other, F.lit(1)) - 1))).drop("_p", "_q")
+
+    return _products(dealt(left, "i", "_u", "_p", "_v", "_q"), dealt(right, "_j", "_v", "_q", "_u", "_p"), ["_k", "_u", "_v"])
+
+
+def _products(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    return left.join(right, on).groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
 
 
 def matrix_vector(m: DataFrame, v: DataFrame) -> DataFrame:
@@ -81,20 +107,32 @@ def column_groups(m: DataFrame, columns: DataFrame, by: str | None = None) -> Da
     m = m.where("x <> 0").select(*own, "i", "j", (F.col("x") + 0.0).alias("x"))
     digests = [F.bit_xor(F.xxhash64(F.lit(k), "i", "x")).alias(f"_d{k}") for k in (0, 1)]
     found = m.groupBy(*own, "j").agg(F.count(F.lit(1)).alias("_n"), *digests)
-    full = columns.select(*own, "j").join(found, [*own, "j"], "left").fillna(0, ["_n", "_d0", "_d1"])
+    every = stage(columns.select(*own, "j").join(found, [*own, "j"], "left"), "columns")
+    # Columns without entries need no join: there may be very many, and their group is the first.
+    empty = every.where("_n IS NULL").select(*own, "j")
+    first_empty = F.broadcast(empty.groupBy(*own).agg(F.min("j").alias("rep_j")))  # a row for each value of ``by``
     key = [*own, "_n", "_d0", "_d1"]
-    full = stage(full.join(full.groupBy(*key).agg(F.min("j").alias("rep_j")), key), "columns")
-    reps = dense_index(full.where("j = rep_j").select(*own, "rep_j", "_n"), ["_n", "rep_j"], "g", by=by).drop("_n")
-    groups = full.select(*own, "j", "rep_j", "_n").join(reps, [*own, "rep_j"])
-
-    followers = full.where("j <> rep_j AND _n > 0").select(*own, "j", "rep_j")
+    filled = every.where("_n IS NOT NULL")
+    sizes = stage(filled.groupBy(*key).agg(F.min("j").alias("rep_j"), F.count(F.lit(1)).alias("_size")), "column-groups")
+    reps = dense_index(sizes, ["_n", "rep_j"], "g", by=by)
+    if by:
+        shifted = reps.join(first_empty.select(by, F.lit(1).alias("_shift")), by, "left")
+    else:
+        shifted = reps.crossJoin(F.broadcast(empty.agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("_shift"))))
+    reps = stage(shifted.withColumn("g", F.col("g") + F.coalesce("_shift", F.lit(0))).drop("_shift"), "column-reps")
+    groups = stage(join_group(filled, reps, key, "_size").select(*own, "j", "rep_j", "_n", "g"), "column-members")
+
+    followers = groups.where("j <> rep_j").select(*own, "j", "rep_j")
     mine = m.join(followers, [*own, "j"]).select(*own, F.col("rep_j").alias("_r"), "i", "j", "x")
-    first = m.join(followers.select(*own, F.col("rep_j").alias("j")).distinct(), [*own, "j"]).select(*own, F.col("j").alias("_r"), "i", F.col("x").alias("_x"))
-    equal = mine.join(first, [*own, "_r", "i"]).where("x = _x").groupBy(*own, "j").agg(F.count(F.lit(1)).alias("_same"))
+    copied = reps.where("_size > 1").select(*own, F.col("rep_j").alias("j"))
+    first = m.join(copied, [*own, "j"]).select(*own, F.col("j").alias("_r"), "i", F.col("x").alias("_x"))
+    copies = stage(first.join(reps.select(*own, F.col("rep_j").alias("_r"), "_size"), [*own, "_r"]), "column-copies")
+    equal = join_group(mine, copies, [*own, "_r", "i"], "_size").where("x = _x").groupBy(*own, "j").agg(F.count(F.lit(1)).alias("_same"))
     checked = groups.join(equal, [*own, "j"], "left")
     unlike = (F.col("j") != F.col("rep_j")) & (F.coalesce("_same", F.lit(0)) != F.col("_n"))
     g = F.when(unlike, F.raise_error(F.lit("different columns have the same digest")).cast("long")).otherwise(F.col("g"))
-    return checked.select(*own, "j", g.alias("g"), "rep_j")
+    none = empty.join(first_empty, own) if by else empty.crossJoin(first_empty)
+    return checked.select(*own, "j", g.alias("g"), "rep_j").unionByName(none.select(*own, "j", F.lit(0).cast("long").alias("g"), "rep_j"))
 
 
 def duplicate_columns(groups: DataFrame) -> DataFrame:

@@ -5,24 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ampliflow.functions.dna import typed_errors
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again: cuts lineage, and survives lost executors. The session names the folder; in local mode it may be unset."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; in local mode it may be unset, and one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="ampliflow-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return base.rstrip("/")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write and read again: cuts lineage, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with typed_errors():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+    """Written and read again as an external table bucketed by ``keys``: joins and sums by these keys don't shuffle it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    with typed_errors():
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def dense_index(df: DataFrame, order: list[str], name: str, by: str | None = None) -> DataFrame:
     """``df`` with 0-based ranks of its rows in ascending ``order``, restarting for each value of ``by``.
 
@@ -37,3 +54,21 @@ def dense_index(df: DataFrame, order: list[str], name: str, by: str | None = Non
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
     inner = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1
     return parts.withColumn("_inner", inner).join(F.broadcast(sizes), [*([by] if by else []), "_part"]).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).select(*df.columns, name)
+
+
+#: Parts that the rows of a frequent group are dealt to.
+SALTS = 64
+
+
+def join_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has a row for each key (none is null) and its number of rows, ``size``.
+
+    Groups with over a thousandth of all rows are fewer than a thousand: their keys are broadcast, their rows dealt out, and they stand in
+    ``groups`` once for each part. Rows without a group go. The join shuffles at every size, so its cost grows in proportion.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    is_hot = F.col(size) > total / 1000
+    hot = F.broadcast(groups.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(0) * SALTS).cast("int")).otherwise(0)).drop("_hot")
+    each = groups.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(each.hint("merge"), [*keys, "_salt"]).drop("_salt")

@@ -49,18 +49,57 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_no", reference_id().alias("id"), F.concat(*parts).alias("sequence"), "dna")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fwd, bwd): a read pair for each line item."""
+def read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, l_suppkey, fwd, bwd): a read pair for each line item."""
     refs = stage(references(spark, sf_dir).select("seq_no", "dna"), "refs")
     n = refs.agg(F.count(F.lit(1)).alias("c"))
-    items = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").crossJoin(F.broadcast(n)).withColumn("seq_no", F.col("l_partkey") % F.col("c"))
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").crossJoin(F.broadcast(n)).withColumn("seq_no", F.col("l_partkey") % F.col("c"))
     region = (F.col("l_linenumber") % 2).cast("int")
-    rows = items.join(refs, "seq_no").select("l_suppkey", "l_returnflag", region.alias("region"), (1 + (F.col("l_suppkey") % 4) * 37).cast("int").alias("p"), F.substring("dna", 1 + 400 * region, F.lit(400)).alias("ins"))
+    rows = items.join(refs, "seq_no").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", region.alias("region"), (1 + (F.col("l_suppkey") % 4) * 37).cast("int").alias("p"), F.substring("dna", 1 + 400 * region, F.lit(400)).alias("ins"))
     changed = F.concat(F.substring("ins", F.lit(1), F.col("p") - 1), F.translate(F.substring("ins", F.col("p"), F.lit(1)), "ACGT", "CGTA"), F.substring("ins", F.col("p") + 1, 170 - F.col("p")))
     body = F.when(F.col("l_returnflag") == "R", changed).otherwise(F.substring("ins", 1, 170))
     r1 = F.concat(F.repeat(F.lit("A"), (F.col("l_suppkey") % 3).cast("int")), F.when(F.col("region") == 0, "CCTACGGGAGGCAGCAG").otherwise("GTGCCAGCAGCCGCGGTAA"), body)
     r2 = F.concat(F.when(F.col("region") == 0, "GACTACAAGGGTATCTAATCC").otherwise("CCGCCAATTCATTTAAGTTT"), F.substring(F.translate(F.reverse("ins"), "ACGT", "TGCA"), 1, 170))
-    return rows.select(r1.alias("fwd"), r2.alias("bwd"))
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", r1.alias("fwd"), r2.alias("bwd"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_rows(spark, sf_dir).select("fwd", "bwd")
+
+
+def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads cut to 80 to 185 symbols, each mate to a length of its own."""
+    cut = lambda c, n: F.left(c, F.lit(80) + (F.col("l_suppkey") % n * 15).cast("int")).alias(c)
+    return read_rows(spark, sf_dir).select(cut("fwd", 8), cut("bwd", 7))
+
+
+def ambiguous_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads with up to three N in the forward mate, and one in some backward ones."""
+    at = (60 + F.col("l_suppkey") % 40).cast("int")
+
+    def with_n(read, places):
+        for p in places:
+            read = F.concat(F.substring(read, F.lit(1), p - 1), F.lit("N"), F.substring(read, p + 1, F.lit(1000)))
+        return read
+
+    number = F.floor(F.col("l_linenumber") / 2)
+    fwd = F.col("fwd")
+    for n in (1, 2, 3):
+        fwd = F.when(number == n, with_n(F.col("fwd"), [at + 30 * k for k in range(n)])).otherwise(fwd)
+    bwd = F.when(F.col("l_suppkey") % 5 == 0, with_n(F.col("bwd"), [at])).otherwise(F.col("bwd"))
+    return read_rows(spark, sf_dir).select(fwd.alias("fwd"), bwd.alias("bwd"))
+
+
+#: Where references are made ambiguous; a reference has as many codes as its number leaves by six.
+CODED = (60, 110, 160, 210, 260)
+
+
+def coded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = references(spark, sf_dir).select("seq_no", "id", "sequence")
+    for k, p in enumerate(CODED):
+        coded = F.concat(F.substring("sequence", 1, p - 1), F.lit("R"), F.substring("sequence", p + 1, 2000))
+        rows = rows.withColumn("sequence", F.when(F.col("seq_no") % 6 > k, coded).otherwise(F.col("sequence")))
+    return rows
 
 
 _BUILT: dict[tuple[str, str, str], object] = {}
@@ -112,12 +151,33 @@ refs AS (SELECT (row_number() OVER (ORDER BY doc_id, w) - 1)::BIGINT AS seq_no,
   'AAAAAAAAAA' || 'CCTACGGGAGGCAGCAG' || dna[1:400] || 'GGATTAGATACCCTTGTAGTC' || 'GTGCCAGCAGCCGCGGTAA' || dna[401:800] || 'AAACTTAAATGAATTGGCGG' || 'AAAAAAAAAA' AS sequence
   FROM windows)"""
 
-SQL_READS = """
-reads AS (SELECT repeat('A', (l_suppkey % 3)::INT) || CASE WHEN region = 0 THEN 'CCTACGGGAGGCAGCAG' ELSE 'GTGCCAGCAGCCGCGGTAA' END ||
+def sql_reads(fwd: str = "fwd", bwd: str = "bwd") -> str:
+    """``reads`` of expressions over the read pairs of the line items."""
+    return f"""
+items AS (SELECT l_orderkey, l_linenumber, l_suppkey, repeat('A', (l_suppkey % 3)::INT) || CASE WHEN region = 0 THEN 'CCTACGGGAGGCAGCAG' ELSE 'GTGCCAGCAGCCGCGGTAA' END ||
     CASE WHEN l_returnflag = 'R' THEN substr(ins, 1, p - 1) || translate(substr(ins, p, 1), 'ACGT', 'CGTA') || substr(ins, p + 1, 170 - p) ELSE substr(ins, 1, 170) END AS fwd,
   CASE WHEN region = 0 THEN 'GACTACAAGGGTATCTAATCC' ELSE 'CCGCCAATTCATTTAAGTTT' END || substr(translate(reverse(ins), 'ACGT', 'TGCA'), 1, 170) AS bwd
-  FROM (SELECT l_suppkey, l_returnflag, (l_linenumber % 2)::INT AS region, (1 + (l_suppkey % 4) * 37)::INT AS p, substr(dna, 1 + 400 * (l_linenumber % 2)::INT, 400) AS ins
-    FROM lineitem CROSS JOIN (SELECT count(*) AS c FROM refs) JOIN refs ON l_partkey % c = seq_no))"""
+  FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, (l_linenumber % 2)::INT AS region, (1 + (l_suppkey % 4) * 37)::INT AS p, substr(dna, 1 + 400 * (l_linenumber % 2)::INT, 400) AS ins
+    FROM lineitem CROSS JOIN (SELECT count(*) AS c FROM refs) JOIN refs ON l_partkey % c = seq_no)),
+reads AS (SELECT {fwd} AS fwd, {bwd} AS bwd FROM items)"""
+
+
+SQL_READS = sql_reads()
+SQL_SHORT_READS = sql_reads("substr(fwd, 1, (80 + l_suppkey % 8 * 15)::INT)", "substr(bwd, 1, (80 + l_suppkey % 7 * 15)::INT)")
+
+
+def _sql_n(read: str, *places: str) -> str:
+    for p in places:
+        read = f"substr({read}, 1, ({p} - 1)::INT) || 'N' || substr({read}, ({p} + 1)::INT)"
+        read = f"({read})"
+    return read
+
+
+_AT = "60 + l_suppkey % 40"
+SQL_AMBIGUOUS_READS = sql_reads(
+    "CASE l_linenumber // 2 " + " ".join(f"WHEN {n} THEN {_sql_n('fwd', *[f'({_AT} + {30 * k})' for k in range(n)])}" for n in (1, 2, 3)) + " ELSE fwd END",
+    f"CASE WHEN l_suppkey % 5 = 0 THEN {_sql_n('bwd', f'({_AT})')} ELSE bwd END",
+)
 
 _EXPANSION = "MAP {'A':'A','C':'C','G':'G','T':'T','R':'AG','Y':'CT','S':'GC','W':'AT','K':'GT','M':'AC','B':'CGT','D':'AGT','H':'ACT','V':'ACG','N':'ACGT'}"
 
@@ -151,23 +211,44 @@ m AS (SELECT region, h, j, 1.0::DOUBLE / count(*) OVER (PARTITION BY region, j)
 amplified AS (SELECT seq_no AS j, id AS original_name, coalesce(n, 0)::INT AS amplified, CASE WHEN n IS NULL THEN '' ELSE id END AS name FROM refs LEFT JOIN
   (SELECT j, sum(n) AS n FROM (SELECT j, count(*) AS n FROM sketches GROUP BY j UNION ALL SELECT j, count(*) FROM m GROUP BY j) GROUP BY j) ON j = seq_no)"""
 
-SQL_COUNTS = """
-offers AS (SELECT fwd, bwd, count(*) AS n FROM reads GROUP BY ALL),
+def sql_counts(partial: bool = False, ambiguous: int = 0) -> str:
+    """``counts`` and ``frequent``: of reads with at most so many N, and with ``partial`` also of k-mers that reads cut short."""
+    few = " AND ".join(f"length({c}) - length(replace({c}, 'N', '')) <= {ambiguous}" for c in ("fwd", "bwd"))
+    whole = "" if partial else "WHERE length(fwd) = 160 AND length(bwd) = 160 "
+    return f"""
+offers AS (SELECT fwd, bwd, count(*) AS n FROM reads WHERE {few} GROUP BY ALL),
 ends AS (SELECT DISTINCT 'fwd' AS side, fwd AS r FROM offers UNION ALL SELECT DISTINCT 'bwd', bwd FROM offers),
-edges AS (SELECT r, region, v.side AS side, min(list_min([{'mm': CASE WHEN i >= 0 THEN hamming(v.v, r[i + 1 : i + length(v.v)]) ELSE hamming(v.v[1 - i :], r[: length(v.v) + i]) - i END, 'pos': i}
+edges AS (SELECT r, region, v.side AS side, min(list_min([{{'mm': CASE WHEN i >= 0 THEN hamming(v.v, r[i + 1 : i + length(v.v)]) ELSE hamming(v.v[1 - i :], r[: length(v.v) + i]) - i END, 'pos': i}}
     FOR i IN range(1 - length(v.v), least(20, length(r) - length(v.v)))])) AS b FROM ends JOIN variants v ON v.side = ends.side GROUP BY ALL),
 edge AS (SELECT fwd, bwd, n, region, e.side AS side, b.mm AS mm, b.pos AS pos FROM offers JOIN edges e ON r = CASE WHEN e.side = 'fwd' THEN fwd ELSE bwd END),
 placed AS (SELECT f.region, f.n, substr(f.fwd, (f.pos + 1 + (SELECT length(primer) FROM given g WHERE g.region = f.region AND g.side = 'fwd'))::INT, 160) AS fwd,
     substr(f.bwd, (b.pos + 1 + (SELECT length(primer) FROM given g WHERE g.region = f.region AND g.side = 'bwd'))::INT, 160) AS bwd
   FROM edge f JOIN edge b ON f.fwd = b.fwd AND f.bwd = b.bwd AND f.region = b.region AND f.side = 'fwd' AND b.side = 'bwd' WHERE f.mm <= 2 AND b.mm <= 2),
-counts AS (SELECT region, fwd, bwd, sum(n)::BIGINT AS n FROM placed WHERE length(fwd) = 160 AND length(bwd) = 160 GROUP BY ALL),
+counts AS (SELECT region, fwd, bwd, sum(n)::BIGINT AS n FROM placed {whole}GROUP BY ALL),
 assigned AS (SELECT region, sum(n)::BIGINT AS total FROM counts GROUP BY region),
 frequent AS (SELECT region, fwd, bwd, n FROM counts JOIN assigned USING (region) WHERE n >= greatest(1e-4 * total, 2))"""
 
-SQL_PROBABILITIES = """
-mf AS (SELECT q.region, q.fwd, kmer_id AS fwd_id, hamming(q.fwd, kmer) AS mm FROM (SELECT DISTINCT region, fwd FROM frequent) q JOIN kmers k ON k.region = q.region AND side = 'fwd' WHERE hamming(q.fwd, kmer) <= 2),
-mb AS (SELECT q.region, q.bwd, kmer_id AS bwd_id, hamming(q.bwd, kmer) AS mm FROM (SELECT DISTINCT region, bwd FROM frequent) q JOIN kmers k ON k.region = q.region AND side = 'bwd' WHERE hamming(q.bwd, kmer) <= 2),
-e AS (SELECT f.region, f.fwd, f.bwd, f.n, p.h, (mf.mm + mb.mm)::INT AS ne, pow(0.005 / 3, mf.mm + mb.mm) * pow(1 - 0.005, 320 - mf.mm - mb.mm) AS p
+
+SQL_COUNTS = sql_counts()
+
+
+
+def sql_distance(q: str, kmer: str) -> str:
+    """Mismatches of a read's k-mer, which may be shorter and hold N, with that of a reference."""
+    return f"(hamming({q}, {kmer}[1:length({q})]) - length({q}) + length(replace({q}, 'N', '')))"
+
+
+def sql_matches(d: int) -> str:
+    """``mf`` and ``mb``: k-mers within ``d`` of the frequent ones."""
+    return ",\n".join(
+        f"m{s[0]} AS (SELECT q.region, q.{s}, kmer_id AS {s}_id, {sql_distance(f'q.{s}', 'kmer')} AS mm FROM (SELECT DISTINCT region, {s} FROM frequent) q JOIN kmers k ON k.region = q.region AND side = '{s}' WHERE {sql_distance(f'q.{s}', 'kmer')} <= {d})"
+        for s in ("fwd", "bwd")
+    )
+
+
+SQL_PROBABILITIES = f"""
+{sql_matches(2)},
+e AS (SELECT f.region, f.fwd, f.bwd, f.n, p.h, (mf.mm + mb.mm)::INT AS ne, pow(0.005 / 3, mf.mm + mb.mm) * pow(1 - 0.005, length(f.fwd) + length(f.bwd) - mf.mm - mb.mm) AS p
   FROM frequent f JOIN mf ON mf.region = f.region AND mf.fwd = f.fwd JOIN pairs p ON p.region = f.region AND p.fwd_id = mf.fwd_id
   JOIN mb ON mb.region = f.region AND mb.bwd = f.bwd AND mb.bwd_id = p.bwd_id WHERE mf.mm + mb.mm <= 2)"""
 
@@ -193,6 +274,22 @@ pi{k + 1} AS (SELECT g, pi * coalesce(f, 0) AS pi, abs(1 - coalesce(f, 0)) * pi
     return "".join(",\n" + x for x in out)
 
 
+def sql_converged(most: int = 10_000, tol: float = 5e-7) -> str:
+    """``em`` with the shares of every step; the last one is that whose change is below ``tol``."""
+    return f""",
+em AS (SELECT 0 AS step, g, pi, 1.0::DOUBLE AS l1 FROM pi0 UNION ALL
+  SELECT step + 1, g, pi * f, sum(abs(1 - f) * pi) OVER () FROM (
+    SELECT e.step, e.g, e.pi, coalesce(f.f, 0) AS f FROM em e LEFT JOIN (SELECT q.g, sum(q.x * y / (theta + 2.220446049250313e-16)) AS f
+      FROM qg q JOIN (SELECT i, sum(x * em.pi) AS theta FROM qg JOIN em USING (g) GROUP BY i) USING (i) JOIN y USING (i) GROUP BY q.g) f USING (g) WHERE e.l1 >= {tol} AND e.step < {most}))"""
+
+
+#: References with codes: each of the expansions is searched as a reference of its own, ``j`` is that which it came from.
+SQL_CODED = f"""{SQL_REFS.replace("refs AS (", "plain_refs AS (")},
+coded0 AS (SELECT id, sequence AS s, seq_no % 6 AS codes, (row_number() OVER (ORDER BY seq_no) - 1)::BIGINT AS j FROM plain_refs WHERE seq_no % 6 <= 3),
+{", ".join(f"coded{k + 1} AS (SELECT id, j, codes, CASE WHEN b = '' THEN s ELSE s[:{p - 1}] || b || s[{p + 1}:] END AS s FROM (SELECT *, unnest(CASE WHEN codes > {k} THEN ['A', 'G'] ELSE [''] END) AS b FROM coded{k}))" for k, p in enumerate(CODED[:3]))},
+refs AS (SELECT row_number() OVER (ORDER BY j, s) AS seq_no, id, j AS of, s AS sequence FROM coded3)"""
+
+
 def sql_readouts(n: int) -> str:
     return f"""
 pm AS (SELECT j, CASE WHEN pi >= 1e-10 THEN pi ELSE 0 END AS p FROM groups JOIN pi{n} USING (g)),

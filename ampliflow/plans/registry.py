@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
 from ampliflow.operators import sparse
-from ampliflow.operators.database import primer_table
+from ampliflow.operators.database import ReferenceBuilder, primer_table
 from ampliflow.operators.mapper import ReadMapper
 from ampliflow.operators.primers import best_hits, edge_hit
 from ampliflow.operators.simjoin import hamming_join
-from ampliflow.operators.staging import dense_index
+from ampliflow.operators.staging import dense_index, shared_folder, stage
 from ampliflow.plans import fixture as fx
+from ampliflow.sources.readers import pair_reads, read_fasta, read_fastq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +82,35 @@ def disambiguate(spark, sf_dir):
     return t.where(dna.count_ambiguous(F.col("t")) <= 3).select("doc_id", "w", F.explode(dna.disambiguate("t")).alias("variant"))
 
 
+@query(ORACLES["disambiguate"])
+def disambiguate_stream(spark, sf_dir):
+    """The same by the table function, which gives expansions one at a time."""
+    last = F.floor((F.length("codes") - 1) / 12).cast("int")
+    cuts = fx.dna(spark, sf_dir).where("codes <> ''").select("doc_id", "codes", F.explode(F.sequence(F.lit(0), last)).alias("w"))
+    t = cuts.select("doc_id", "w", dna.as_dna(F.substring("codes", F.col("w") * 12 + 1, F.lit(12))).alias("t"))
+    return dna.expanded(t.where(dna.count_ambiguous(F.col("t")) <= 3), "t", "variant").select("doc_id", "w", "variant")
+
+
+@query(fx.sql_with(fx.SQL_DNA) + f" SELECT doc_id, 'u' AS \"column\", length(regexp_extract(u, '^[{dna.SYMBOLS}]*'))::INT AS place, u[length(regexp_extract(u, '^[{dna.SYMBOLS}]*')) + 1] AS symbol, 'invalid symbol' AS reason FROM l WHERE NOT regexp_matches(u, '^[{dna.SYMBOLS}]*$')")
+def dna_rejected(spark, sf_dir):
+    return dna.rejected(fx.read(spark, sf_dir, "documents").select("doc_id", fx.letters(F.col("text")).alias("u")), "u")
+
+
+_ODDS = "[log2((CASE WHEN contains(b, x) THEN n / length(b) ELSE 0 END + 0.1) / (n + 0.4) / 0.25) FOR x IN ['A', 'C', 'G', 'T']]"
+
+
+@query(fx.sql_with(fx.SQL_DNA, "t AS (SELECT doc_id, w::INT AS w, string_split(replace(substr(codes, (w * 12 + 1)::INT, 12), 'U', 'T'), '') AS s FROM (SELECT doc_id, codes, unnest(range(0, ((length(codes) + 11) // 12)::INT)) AS w FROM dna)), "
+    f"b AS (SELECT doc_id, w, [{fx._EXPANSION}[c] FOR c IN s] AS s, list_product([length({fx._EXPANSION}[c]) FOR c IN s]) AS n FROM t), "
+    "e AS (SELECT doc_id, w, n, unnest(s) AS b, unnest(range(len(s))) AS k FROM b)") + f" SELECT doc_id, w, k::INT AS k, round({_ODDS}[1], 9) AS a, round({_ODDS}[2], 9) AS c, round({_ODDS}[3], 9) AS g, round({_ODDS}[4], 9) AS t FROM e")
+def pssm(spark, sf_dir):
+    """Log odds by position of every template of twelve letters, as of a primer."""
+    last = F.floor((F.length("codes") - 1) / 12).cast("int")
+    cuts = fx.dna(spark, sf_dir).where("codes <> ''").select("doc_id", "codes", F.explode(F.sequence(F.lit(0), last)).alias("w"))
+    t = cuts.select("doc_id", "w", dna.pssm_column(dna.as_dna(F.substring("codes", F.col("w") * 12 + 1, F.lit(12)))).alias("m"))
+    each = t.select("doc_id", "w", F.posexplode("m").alias("k", "o"))
+    return each.select("doc_id", "w", "k", *[F.round(F.get("o", F.lit(n)), 9).alias(b) for n, b in enumerate("acgt")])
+
+
 @query("SELECT l_orderkey, l_linenumber, round(pow(0.005 / 3, l_linenumber) * pow(1 - 0.005, 320 - l_linenumber), 12) AS p, round(l_extendedprice / 7)::BIGINT AS rounded, greatest(0.0001 * l_extendedprice, 2.0) AS least FROM lineitem")
 def error_model(spark, sf_dir):
     n, price = F.col("l_linenumber"), F.col("l_extendedprice")
@@ -134,6 +165,22 @@ def build_matrix_m(spark, sf_dir):
     return fx.database(spark, sf_dir).m.withColumn("x", F.round("x", 12))
 
 
+@query(f"{_BUILD} SELECT region, h, j, round(x, 12) AS x FROM m")
+def build_added(spark, sf_dir):
+    """The matrix of a database of half of the references, to which the others were added."""
+    references = stage(fx.references(spark, sf_dir).select("seq_no", "id", "sequence"), "references")
+    half = references.count() // 2
+    builder = ReferenceBuilder(spark, fx.PRIMERS)
+    db = builder.add(builder.build(references.where(F.col("seq_no") < half)), references.where(F.col("seq_no") >= half))
+    return db.m.withColumn("x", F.round("x", 12))
+
+
+@query(fx.sql_with(fx.SQL_CODED, fx.SQL_PRIMERS, fx.SQL_SKETCHES) + " SELECT DISTINCT s.region, of AS j, s.name, fwd_kmer, bwd_kmer, fwd_mm, bwd_mm FROM sketches s JOIN refs ON s.j = seq_no")
+def build_coded_sketches(spark, sf_dir):
+    """References with codes: three are expanded, more are left out."""
+    return ReferenceBuilder(spark, fx.PRIMERS).build(fx.coded_references(spark, sf_dir)).sketches
+
+
 @query(f"{_BUILD} SELECT j, name, original_name, amplified FROM amplified")
 def build_amplified(spark, sf_dir):
     return fx.database(spark, sf_dir).refs.select("j", "name", "original_name", "amplified")
@@ -173,15 +220,24 @@ def hamming_join_seed(spark, sf_dir):
     return _hamming(spark, sf_dir, "seed")
 
 
+_E20 = fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_SKETCHES, fx.SQL_READS, fx.SQL_COUNTS, fx.sql_matches(20))
+
+
+@query(f"{_E20} SELECT region, fwd AS q, fwd_id AS kmer_id, mm::INT AS mm FROM mf")
+def hamming_join_20(spark, sf_dir):
+    """Twenty mismatches, by combinations of equal segments."""
+    return _hamming(spark, sf_dir, "seed", 20)
+
+
 @query(f"{_E} SELECT region, fwd AS q, fwd_id AS kmer_id, mm::INT AS mm FROM mf")
 def hamming_join_scan(spark, sf_dir):
     return _hamming(spark, sf_dir, "scan")
 
 
-def _hamming(spark, sf_dir, strategy):
+def _hamming(spark, sf_dir, strategy, d=2):
     db = fx.database(spark, sf_dir)
     queries = ReadMapper(db).frequent(fx.counts(spark, sf_dir)).select("region", F.col("fwd").alias("q")).distinct()
-    return hamming_join(queries, db.kmers.where("side = 'fwd'").select("region", "kmer_id", "kmer"), 2, db.k, strategy)
+    return hamming_join(queries, db.kmers.where("side = 'fwd'").select("region", "kmer_id", "kmer"), d, db.k, strategy)
 
 
 @query(f"{_E} SELECT region, fwd, bwd, n, h, ne, round(p, 12) AS p FROM e")
@@ -190,6 +246,47 @@ def read_probabilities(spark, sf_dir):
     return plain(mapper.probabilities(mapper.frequent(fx.counts(spark, sf_dir)))).withColumn("p", F.round("p", 12))
 
 
+def _sql_variant(reads: str, **counts) -> str:
+    return fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_SKETCHES, reads, fx.sql_counts(**counts), fx.SQL_PROBABILITIES)
+
+
+_PARTIAL, _AMBIGUOUS = _sql_variant(fx.SQL_SHORT_READS, partial=True), _sql_variant(fx.SQL_AMBIGUOUS_READS, ambiguous=2)
+
+
+def _partial_mapper(spark, sf_dir):
+    return ReadMapper(fx.database(spark, sf_dir), partial_hits=True, strategy="seed")
+
+
+def _ambiguous_mapper(spark, sf_dir):
+    return ReadMapper(fx.database(spark, sf_dir), max_ambiguous=2, strategy="seed")
+
+
+@query(f"{_PARTIAL} SELECT region, fwd, bwd, n FROM counts")
+def partial_counts(spark, sf_dir):
+    return plain(_partial_mapper(spark, sf_dir).read_counts(fx.short_reads(spark, sf_dir)))
+
+
+@query(f"{_PARTIAL} SELECT region, fwd, bwd, n, h, ne, round(p, 12) AS p FROM e")
+def partial_probabilities(spark, sf_dir):
+    """Reads cut short are compared by their length."""
+    mapper = _partial_mapper(spark, sf_dir)
+    counts = stage(mapper.read_counts(fx.short_reads(spark, sf_dir)), "partial-counts")
+    return plain(mapper.probabilities(mapper.frequent(counts))).withColumn("p", F.round("p", 12))
+
+
+@query(f"{_AMBIGUOUS} SELECT region, fwd, bwd, n FROM counts")
+def ambiguous_counts(spark, sf_dir):
+    return plain(_ambiguous_mapper(spark, sf_dir).read_counts(fx.ambiguous_reads(spark, sf_dir)))
+
+
+@query(f"{_AMBIGUOUS} SELECT region, fwd, bwd, n, h, ne, round(p, 12) AS p FROM e")
+def ambiguous_probabilities(spark, sf_dir):
+    """Reads with up to two N, which match any base."""
+    mapper = _ambiguous_mapper(spark, sf_dir)
+    counts = stage(mapper.read_counts(fx.ambiguous_reads(spark, sf_dir)), "ambiguous-counts")
+    return plain(mapper.probabilities(mapper.frequent(counts))).withColumn("p", F.round("p", 12))
+
+
 _Q = fx.sql_with(fx.SQL_REFS, fx.SQL_PRIMERS, fx.SQL_SKETCHES, fx.SQL_READS, fx.SQL_COUNTS, fx.SQL_PROBABILITIES, fx.SQL_Q)
 
 
@@ -240,9 +337,12 @@ def refine_error(spark, sf_dir):
     return plain(fx.estimate(spark, sf_dir, 3).l1).withColumn("l1", F.round("l1", 10))
 
 
-@query()
+_CONVERGED = f"{_Q}{fx.sql_converged()} SELECT g, round(pi, 7) AS pi FROM em WHERE step = (SELECT max(step) FROM em)"
+
+
+@query(_CONVERGED)
 def refine_converged(spark, sf_dir):
-    return plain(fx.estimate(spark, sf_dir).refine().pi)
+    return plain(fx.estimate(spark, sf_dir).refine().pi).withColumn("pi", F.round("pi", 7))
 
 
 _READ_OUT = f"{_Q},{fx.sql_readouts(0)}"
@@ -269,6 +369,29 @@ def taxonomy_report(spark, sf_dir):
     return plain(fx.estimate(spark, sf_dir).report(lineages)).drop("j").withColumns({c: F.round(c, 10) for c in ("proportion", "frequency")})
 
 
+# Files.
+
+
+@query(fx.sql_with(fx.SQL_REFS) + " SELECT seq_no, id, sequence FROM refs")
+def fasta_references(spark, sf_dir):
+    """References written to files in their order, eighty symbols a line, and read again in many splits."""
+    path = f"{shared_folder(spark)}/fasta-{uuid4().hex}"
+    rows = fx.references(spark, sf_dir).repartitionByRange("seq_no").sortWithinPartitions("seq_no")
+    rows.select(F.concat(F.lit(">"), "id", F.lit("\n"), F.rtrim(F.regexp_replace("sequence", "(.{80})", "$1\n"))).alias("value")).write.text(path)
+    return read_fasta(spark, path, split_bytes=1 << 18)
+
+
+@query(fx.sql_with(fx.SQL_REFS, fx.SQL_READS) + " SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, fwd, bwd) - 1)::BIGINT AS read_no, '@' || l_orderkey || '/' || l_linenumber AS id, fwd, bwd FROM items")
+def fastq_pairs(spark, sf_dir):
+    """Mates written to files of their own, read in splits of different sizes and paired by place."""
+    base, key = f"{shared_folder(spark)}/fastq-{uuid4().hex}", ["l_orderkey", "l_linenumber", "fwd", "bwd"]
+    rows = stage(fx.read_rows(spark, sf_dir), "read-rows").repartitionByRange(*key).sortWithinPartitions(*key)
+    for mate in ("fwd", "bwd"):
+        record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")), mate, F.lit("+"), F.repeat(F.lit("@"), F.length(mate)))
+        rows.select(record.alias("value")).write.text(f"{base}-{mate}")
+    return pair_reads(read_fastq(spark, f"{base}-fwd", split_bytes=1 << 20), read_fastq(spark, f"{base}-bwd", split_bytes=3 << 19))
+
+
 # Sparse algebra over line items: rows are orders, columns suppliers.
 
 _A = "a AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL)"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampliflow.operators.database import Database
+from ampliflow.operators.database import Database, primer_table
 from ampliflow.operators.staging import stage
+from ampliflow.sources import sequences
 
 #: Shape of the interchange file.
 DATABASE_JSON = (
@@ -15,31 +16,47 @@ DATABASE_JSON = (
 )
 
 
-def _numbered(df: DataFrame, name: str = "n") -> DataFrame:
-    """Records in file order, numbered from 0 without gaps; only the sizes of partitions are gathered."""
-    pairs = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.sparkSession.createDataFrame(pairs, f"{fields}, {name} long")
+_REGISTERED: set[str] = set()
 
 
-def read_fasta(spark: SparkSession, path: str, id_first_token: bool = False, to_dna: bool = False) -> DataFrame:
+def _records(spark: SparkSession, kind: str, path: str, number: str, split_bytes: int) -> DataFrame:
+    """Records with their 0-based ``number`` in the order of files and lines.
+
+    Two passes: the first one counts the records of each split, the second one makes them; a row for each split is all that is joined.
+    Records of compressed files, which are one split each, are dealt out.
+    """
+    files = sequences.listed(path)
+    if spark.sparkContext.applicationId not in _REGISTERED:
+        sequences.register(spark)
+        _REGISTERED.add(spark.sparkContext.applicationId)
+    source = spark.read.format(kind).option("path", path).option("splitBytes", split_bytes)
+    counts = stage(source.option("counts", "true").load(), f"{kind}-counts")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # rows are splits
+    before = stage(counts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")), f"{kind}-splits")
+    rows = source.option("counts", "false").load().join(before, ["file", "split"])
+    rows = rows.select((F.col("_before") + F.col("row")).alias(number), *[c for c in rows.columns if c not in ("file", "split", "row", "_before")])
+    return rows.repartition(spark.sparkContext.defaultParallelism) if any(sequences.is_compressed(f) for f, _ in files) else rows
+
+
+def read_fasta(spark: SparkSession, path: str, id_first_token: bool = False, to_dna: bool = False, strip_cr: bool = False, split_bytes: int = sequences.SPLIT_BYTES) -> DataFrame:
     """(seq_no, id, sequence): a record for each header line. The id is the whole header, or its first token.
 
-    Lines of a sequence are joined as they are, so a carriage return stays. A file whose first line has no ``>`` takes it as a
-    header all the same.
+    Lines of a sequence are joined as they are, so a carriage return stays unless ``strip_cr`` is set. A file whose first line has no ``>``
+    takes it as a header all the same.
     """
-    raw = _numbered(spark.read.option("lineSep", "\n>").text(path), "seq_no")
-    head = F.rtrim(F.regexp_replace(F.substring_index("value", "\n", 1), "^>+", ""))
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), "\n", "")
-    sequence = F.translate(body, "U", "T") if to_dna else body
-    return raw.select("seq_no", (F.substring_index(head, " ", 1) if id_first_token else head).alias("id"), sequence.alias("sequence"))
+    raw = _records(spark, "fasta", path, "seq_no", split_bytes)
+    sequence = F.translate("sequence", "\r", "") if strip_cr else F.col("sequence")
+    sequence = F.translate(sequence, "U", "T") if to_dna else sequence
+    return raw.select("seq_no", (F.substring_index("id", " ", 1) if id_first_token else F.col("id")).alias("id"), sequence.alias("sequence"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_no, id, sequence, strand, quality) from records of four lines; a truncated record at the end is left out."""
-    lines = _numbered(spark.read.option("lineSep", "\n").text(path)).select((F.col("n") / 4).cast("long").alias("read_no"), (F.col("n") % 4).alias("part"), "value")
-    parts = [F.max(F.when(F.col("part") == k, F.col("value"))).alias(name) for k, name in enumerate(("id", "sequence", "strand", "quality"))]
-    return lines.groupBy("read_no").agg(*parts, F.count(F.lit(1)).alias("_n")).where("_n = 4").drop("_n")
+def read_fastq(spark: SparkSession, path: str, strip_cr: bool = False, split_bytes: int = sequences.SPLIT_BYTES) -> DataFrame:
+    """(read_no, id, sequence, strand, quality) from records of four lines; a truncated record at the end is left out.
+
+    Lines are as they are, so a carriage return stays unless ``strip_cr`` is set.
+    """
+    raw = _records(spark, "fastq", path, "read_no", split_bytes)
+    return raw.select("read_no", *[F.regexp_replace(c, "\r$", "").alias(c) for c in raw.columns[1:]]) if strip_cr else raw
 
 
 def pair_reads(forward: DataFrame, backward: DataFrame) -> DataFrame:
@@ -50,7 +67,8 @@ def pair_reads(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """(id, lineage) split at the first tab; of lines with one id the last counts. A line without a tab is an error."""
-    lines = _numbered(spark.read.text(path).where("trim(value) <> ''"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("n")).where("trim(value) <> ''")
     value = F.rtrim("value")
     row = lines.select("n", F.when(value.contains("\t"), F.split(value, "\t", 2)).otherwise(F.raise_error(F.concat(F.lit("no tab in: "), value))).alias("p"))
     return row.groupBy(F.col("p")[0].alias("id")).agg(F.max_by(F.col("p")[1], "n").alias("lineage"))
@@ -69,7 +87,8 @@ def load_database(spark: SparkSession, path: str, format: str = "parquet") -> Da
     if first is None or first["k"] is None:
         raise EOFError("no database in the file")
     regions = doc.select(F.posexplode("regions").alias("region", "r"))
-    primers = regions.select("region", F.col("r.primer")[0].alias("fwd"), F.col("r.primer")[1].alias("bwd"))
+    given = regions.select("region", "r.primer").orderBy("region").collect()  # regions are few
+    primers = primer_table(spark, [tuple(r["primer"]) for r in given])
     refs = doc.select(F.posexplode(F.arrays_zip("names", "amplified")).alias("j", "z")).select(F.col("j").cast("long").alias("j"), F.col("z.names").alias("name"), F.col("z.names").alias("original_name"), F.col("z.amplified").alias("amplified"))
     # Forward k-mers come first, then backward ones; both are sorted, and their order is trusted.
     sides = [regions.select("region", F.lit(side).alias("side"), F.posexplode(F.col("r.unique_kmers")[k]).alias("kmer_id", "kmer")) for k, side in enumerate(("fwd", "bwd"))]

@@ -6,8 +6,9 @@ import random
 import pytest
 
 from ampliflow.operators.database import ReferenceBuilder
+from ampliflow.operators import estimate
 from ampliflow.operators.estimate import Estimate
-from ampliflow.operators.mapper import ReadMapper
+from ampliflow.operators.mapper import Mapping, ReadMapper
 from ampliflow.functions.dna import mismatch_count
 from ampliflow.operators.primers import best_hits_of
 from ampliflow.operators.simjoin import hamming_join, scan_join
@@ -150,6 +151,59 @@ def test_scan_of_partial_reads_and_many_mismatches(spark, limit):
     assert scan_join(q, kmers.where("kmer_id < 0"), 12, limit).collect() == []
 
 
+def random_mapping(spark, db, seed, rows, groups, samples=("a", "b")):
+    """A mapping of made-up entries; each sample has its own."""
+    r = random.Random(seed)
+    q, y, g = [], [], []
+    for s in samples:
+        q += [(s, i, j, r.random()) for i in range(rows) for j in r.sample(range(groups), r.randrange(1, 6))]
+        y += [(s, i, 0, 1, 1.0 / rows) for i in range(rows)]
+        g += [(s, j, j, j) for j in range(groups)]
+    none = spark.createDataFrame([], "sample string, region int, n long")
+    return Mapping(db, spark.createDataFrame(q, "sample string, i long, j long, x double"), spark.createDataFrame(y, "sample string, i long, region int, n long, y double"), spark.createDataFrame(g, "sample string, j long, g long, rep_j long"), none, none)
+
+
+def test_steps_converge_as_the_kernel_does(spark, db, monkeypatch):
+    """Both ways stop each sample at the same step; bucketed or not, a step is the same."""
+    start = Estimate.start(random_mapping(spark, db, 1, 40, 12))
+    by_kernel = start.refine(n=60, tol=2e-3)
+    monkeypatch.setattr(estimate, "KERNEL_ENTRIES", 0)
+    by_steps = start.refine(n=60, tol=2e-3)
+    shares = [{(r["sample"], r["g"]): r["pi"] for r in e.pi.collect()} for e in (by_kernel, by_steps)]
+    assert shares[0].keys() == shares[1].keys() and len(shares[0]) == 24
+    assert all(shares[0][k] == pytest.approx(shares[1][k], abs=1e-14) for k in shares[0])
+    changes = [{r["sample"]: r["l1"] for r in e.l1.collect()} for e in (by_kernel, by_steps)]
+    assert changes[0] == pytest.approx(changes[1], rel=1e-9) and all(x < 2e-3 for x in changes[0].values())
+    plain, cut = start.step(), start.bucketed(3).step()
+    assert sorted(r["pi"] for r in plain.pi.collect()) == pytest.approx(sorted(r["pi"] for r in cut.pi.collect()), abs=1e-15)
+
+
+def test_a_step_does_not_shuffle_entries(spark, db):
+    """Between the bucketed entries and their joins there is no exchange; shares and sums are what moves."""
+    start = Estimate.start(random_mapping(spark, db, 2, 30, 10)).bucketed(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = start._update()._jdf.queryExecution().sparkPlan()
+        prepared = start._update()._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan is not None
+    scans = [k for k, line in enumerate(prepared) if "qg_by_" in line and "Scan" in line]
+    assert len(scans) == 2
+    for k in scans:
+        depth = prepared[k].index("Scan")
+        above = []
+        for line in reversed(prepared[:k]):  # the operators that the scan feeds, up to its join
+            at = next((i for i, c in enumerate(line) if c.isalpha()), len(line))
+            if at < depth:
+                above.append(line)
+                depth = at
+                if "Join" in line:
+                    break
+        assert any("Join" in line for line in above) and not any("Exchange" in line for line in above)
+
+
 def test_best_hits_are_brute_force():
     r = random.Random(3)
     sequences = ["".join(r.choice("ACGTRN") for _ in range(r.choice([0, 3, 17, 60, 900]))) for _ in range(80)]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ampliflow.operators import sparse
 
@@ -64,3 +65,63 @@ def test_select_columns(spark):
     mapping = lambda old: spark.createDataFrame([(n, o) for n, o in enumerate(old)], "new_j long, old_j long")
     assert rows(sparse.select_columns(a, mapping([0, 2]))) == [(1, 1, 1.0)]
     assert rows(sparse.select_columns(a, mapping([0, 1, 2, 3]))) == rows(a)
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 4_000_000])
+def test_heavy_inner_index(spark, block):
+    """One dense column of ``a`` meets one dense row of ``b``; a thin side isn't cut."""
+    a = [(i, 0, i + 1) for i in range(40)] + [(i, i % 5, 2) for i in range(1, 20)] + [(3, 7, 1)]
+    b = [(0, j, j - 3) for j in range(30)] + [(k, k * 2, 5) for k in range(6)] + [(7, j, 1) for j in range(25)]
+    want = {}
+    for i, k, x in a:
+        for k2, j, y in b:
+            if k == k2:
+                want[i, j] = want.get((i, j), 0.0) + x * y
+    got = {(r["i"], r["j"]): r["x"] for r in sparse.dot(m(spark, a), m(spark, b), block).collect()}
+    assert got == want
+
+
+def test_largest_task_of_a_product(spark):
+    """With one dense column and row, no block has many more products than it should."""
+    a, b = m(spark, [(i, 0, 1) for i in range(600)]), m(spark, [(0, j, 1) for j in range(500)])
+    seen = []
+    original = sparse._products
+
+    def watched(left, right, on):
+        seen.append(left.join(right, on).groupBy(*on).count().agg({"count": "max"}).first()[0])
+        return original(left, right, on)
+
+    sparse._products = watched
+    try:
+        assert sparse.dot(a, b, 10_000).count() == 300_000
+    finally:
+        sparse._products = original
+    assert seen[0] < 3 * 10_000
+
+
+@pytest.mark.parametrize("by", [None, "sample"])
+def test_many_empty_and_many_equal_columns(spark, by):
+    triples = [(i, j, 1 + i) for j in range(300, 500) for i in range(3)] + [(9, 3, 2), (9, 250, 2), (1, 8, 1), (2, 8, 0)]
+    samples = ["x", "y"] if by else [None]
+    rows_, columns = [], []
+    for s in samples:
+        rows_ += [(i, j, float(x), s) for i, j, x in triples]
+        columns += [(j, s) for j in range(500)]
+    mm = spark.createDataFrame(rows_, "i long, j long, x double, sample string")
+    cc = spark.createDataFrame(columns, "j long, sample string")
+    if not by:
+        mm, cc = mm.drop("sample"), cc.drop("sample")
+    entries = {j: tuple(sorted((i, x) for i, k, x in triples if k == j and x)) for j in range(500)}
+    first = {}
+    for j in range(500):
+        first.setdefault(entries[j], j)
+    order = sorted(first, key=lambda e: (len(e), first[e]))
+    want = [(j, order.index(entries[j]), first[entries[j]]) for j in range(500)]
+    got = sparse.column_groups(mm, cc, by)
+    for s in samples:
+        part = got.where(F.col("sample") == s) if by else got
+        assert sorted((r["j"], r["g"], r["rep_j"]) for r in part.collect()) == want
+    # Without an empty column groups are numbered from 0 all the same.
+    few = sparse.column_groups(m(spark, [(0, 4, 1), (0, 5, 1)]), spark.createDataFrame([(4,), (5,)], "j long"))
+    assert sorted(map(tuple, few.collect())) == [(4, 0, 4), (5, 0, 4)]
+    assert sparse.column_groups(m(spark, [(0, 4, 1)]).where("x > 1"), spark.range(3).withColumnRenamed("id", "j")).where("g <> 0 OR rep_j <> 0").count() == 0
