@@ -76,21 +76,3 @@ def least_hashed(rows: DataFrame, key: str, most: int) -> DataFrame:
     share = min(1.0, (4 * most + 1000) / max(n, 1))
     top = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
     return rows.where(F.xxhash64(key) <= F.lit(top)).orderBy(F.xxhash64(key), key).limit(most)
-
-
-#: Parts that a group with over a thousandth of all rows is dealt to.
-SALTS = 64
-
-
-def join_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
-    """``rows`` with the columns of their group; ``groups`` has a row for each key (none is null) and its number of rows, ``size``.
-
-    Groups with over a thousandth of all rows are fewer than a thousand: their keys are broadcast, their rows dealt out, and they stand
-    in ``groups`` once for each part. Rows without a group go.
-    """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    is_hot = F.col(size) > total / 1000
-    hot = F.broadcast(groups.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
-    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(0) * SALTS).cast("int")).otherwise(0)).drop("_hot")
-    each = groups.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(each, [*keys, "_salt"]).drop("_salt")

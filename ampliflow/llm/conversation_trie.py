@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import join_group, materialize
+from ampliflow.llm.common import materialize
+from ampliflow.operators.staging import join_group
 
 #: Shared turns: a conversation takes up to so many, less one, of the first of its hundred.
 DRAWS, FAMILY = 6, 100

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import id_or_marker, id_or_null, join_group, materialize, small_batches
+from ampliflow.llm.common import id_or_marker, id_or_null, materialize, small_batches
+from ampliflow.operators.staging import join_group
 
 #: A prime drawn at random, without a short form in powers of two, which would let close edits cancel out.
 MODULUS = 56214856418151067837448704512816775237
