@@ -26,7 +26,12 @@ TREES, DEPTH, RATE = 60, 4, 0.25
 MARKS = ("\ue000", "\ue001")
 BINS = 24
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+#: A tag whose quoted values may hold ``>``, and what is left of that where quotes don't pair up.
+_BROKEN_TOKEN = r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>"
+_TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|" + _BROKEN_TOKEN, re.S)
+_BROKEN_TOKEN = re.compile(_BROKEN_TOKEN, re.S)
+#: Lengths of a page that tags with quotes that don't pair up may be looked through in vain; later tags end at their first ``>``.
+_VAIN = 16
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements of HTML by their role. Fixed values of the HTML standard.
@@ -84,77 +89,108 @@ def _attributes(raw: str) -> tuple[int, bool]:
     return groups, hidden
 
 
+class _Open:
+    """The open elements, inline ones too, with the block that each belongs to; the nearest one of a name is looked up, not searched for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    @property
+    def owner(self) -> int:
+        return self.stack[-1][1]
+
+    def nearest(self, names) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def push(self, name: str, owner: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, owner))
+
+    def close(self, to: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self.stack) > to:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+
 def parse(page: str) -> list[Node]:
-    """Block nodes of a page, parents before children; inline markup is left out, its text goes to the block around it."""
+    """Block nodes of a page, parents before children; inline markup is left out, its text goes to the block around it.
+
+    The time is linear in the page, whatever is broken in it.
+    """
     nodes = [Node("#root", -1, 0)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones too, with the block they belong to
-    links, at, n = 0, 0, len(page)
+    opened = _Open()
+    n, last, vain = len(page), page.rfind(">"), _VAIN * len(page)
+    begin = at = 0  # where the text that is not yet in a node begins, and where to go on
 
     def text(raw: str) -> None:
         if raw:
-            node = nodes[stack[-1][1]]
+            node = nodes[opened.owner]
             node.pieces.append(raw)
-            if links:
+            if opened.places.get("a"):
                 node.link += len(raw.strip())
 
-    def close(to: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[to:])
-        del stack[to:]
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            # No tag ends from here on; a comment may begin.
+            comment = page.find("<!--", lt) if lt >= 0 else -1
+            text(page[begin : comment if comment >= 0 else n])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+        m = (_TOKEN if vain >= 0 else _BROKEN_TOKEN).match(page, lt)
+        if m is None:
+            at = lt + 1
+            continue
+        text(page[begin:lt])
+        begin = at = m.end()
+        if m.re is _BROKEN_TOKEN:
+            ending, name, raw = m[1], m[2], m[3]
+        elif m[2]:
+            ending, name, raw = m[1], m[2], m[3]
+        else:
+            ending, name, raw = m[4], m[5], m[6]
+            vain -= (n - lt) if name else 0
         if not name:
             continue
-        name, ending, raw = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        name, raw = name.lower(), raw or ""
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in _BLOCK and stack[k][0] in _BLOCK:
-                    break  # an inline end tag doesn't close blocks
+            place = opened.nearest((name,))
+            if place > (0 if name in _BLOCK else opened.blocks[-1]):  # an inline end tag doesn't close blocks
+                opened.close(place)
             continue
-        nodes[stack[-1][1]].tags += 1
+        nodes[opened.owner].tags += 1
         if name in _RAW and not raw.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            begin = at = close + 1 if close >= 0 else n
             text(" ")
             continue
         if name in _VOID:
             text(" ")
             continue
         if name in _BLOCK:
-            if name in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in _BLOCK:
-                        break
+            if name in _CLOSES_P and opened.stack[opened.blocks[-1]][0] == "p":
+                opened.close(opened.blocks[-1])
             if name in _SELF_CLOSING:
                 same, barrier = _SELF_CLOSING[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in same:
-                        close(k)
-                        if stack[-1][0] not in same:
-                            break
-                    elif stack[k][0] in barrier:
+                while (place := opened.nearest(same)) > opened.nearest(barrier):
+                    opened.close(place)
+                    if opened.stack[-1][0] not in same:
                         break
-            owner = stack[-1][1]
+            owner = opened.owner
             groups, hidden = _attributes(raw)
             nodes[owner].pieces.append(len(nodes))
             nodes.append(Node(name, owner, nodes[owner].depth + 1, groups, hidden or nodes[owner].hidden))
-            stack.append((name, len(nodes) - 1))
+            opened.push(name, len(nodes) - 1)
         else:
-            stack.append((name, stack[-1][1]))
-            links += name == "a"
+            opened.push(name, opened.owner)
     return _with_text_nodes(nodes)
 
 
