@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import least_hashed, small_batches
+from ampliflow.llm.common import least_hashed, materialize, small_batches
 
 #: Bound on the labelled documents that are learned from; they are those with the least hashes of their ids.
 MAX_LABELLED = 6000
-#: Characters of a document that may teach; longer ones are scored like all others.
-MAX_CHARS = 200_000
+#: Bound on the lines that are learned from. A document of more than PART_LINES lines teaches in parts, as chains of their own; parts are
+#: taken in the order of their documents' hashes.
+MAX_LINES, PART_LINES = 2_000_000, 4096
 THRESHOLD = 0.7
 _SYMBOLS = "#*$%&<>"
 _ENDS = frozenset(".!?:;…\"'”»)")
@@ -186,22 +187,27 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LineCrf:
-    """Fit on at most ``max_labelled`` labelled documents that aren't held out, of at most ``MAX_CHARS`` characters each; only these documents' bins reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES, part_lines: int = PART_LINES) -> LineCrf:
+    """Fit on at most ``max_labelled`` labelled documents that aren't held out, of any length, and at most ``max_lines`` of their lines; only the bins of these reach the driver."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.min("_label").alias("_label"))
     known = least_hashed(known, "_id", max_labelled)
     rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
     # Rows that share an id teach once, by their least text.
-    rows = rows.where(F.length("_text") <= MAX_CHARS).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [line_features(t) for t in batch["_text"]]
-            yield pd.DataFrame({"id": batch["_id"], "label": batch["_label"], "bins": [x.tobytes() for x, _ in found], "lengths": [n.tobytes() for _, n in found]})
-
-    got = rows.mapInPandas(bins, "id long, label int, bins binary, lengths binary").toPandas().sort_values(["id", "bins"])
+            for doc, label, text in zip(batch["_id"], batch["_label"], batch["_text"]):
+                x, n = line_features(text)
+                at = range(0, max(len(n), 1), part_lines)
+                yield pd.DataFrame({"id": doc, "label": label, "part": range(len(at)), "n": [len(n[a : a + part_lines]) for a in at], "bins": [x[a : a + part_lines].tobytes() for a in at], "lengths": [n[a : a + part_lines].tobytes() for a in at]})
+
+    parts = materialize(rows.mapInPandas(bins, "id long, label int, part int, n int, bins binary, lengths binary"), "op5-bins")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id", "part").rowsBetween(Window.unboundedPreceding, 0)  # a row for each part
+    wanted = parts.select("id", "part", F.sum("n").over(order).alias("so_far")).where(F.col("so_far") <= max_lines).select("id", "part")
+    got = parts.join(F.broadcast(wanted), ["id", "part"]).toPandas().sort_values(["id", "part"])
     sample = [(np.frombuffer(x, np.int16).reshape(-1, len(_BINS)), np.frombuffer(n, np.int64)) for x, n in zip(got["bins"], got["lengths"])]
     return fit(sample, got["label"].to_numpy())
 
