@@ -20,6 +20,10 @@ BOILERPLATE = (
 )
 
 
+#: A phrase between word boundaries.
+WHOLE_PHRASE = r"(^|[^\p{L}\p{N}_])(" + "|".join(BOILERPLATE) + r")($|[^\p{L}\p{N}_])"
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Thresholds. A line fails if any rule holds; a document is kept if enough of its text is in lines that pass."""
@@ -31,8 +35,8 @@ class LineRules:
     min_distinct_share: float = 0.25
     min_distinct_words: int = 12
     max_boilerplate_words: int = 12
-    #: Phrases count between word boundaries only ("log in" isn't in "catalog in"); the SQL of op7 takes any substring.
-    whole_phrases: bool = False
+    #: Phrases count between word boundaries only: "log in" isn't in "catalog in".
+    whole_phrases: bool = True
     min_unended_words: int = 2
     min_kept_share: float = 0.5
     window: int = 5
@@ -100,7 +104,7 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
         lower = F.lower(line)
         phrase = F.lit(False)
         if rules.whole_phrases:
-            phrase = lower.rlike(r"(?<![\p{L}\p{N}_])(" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}_])")
+            phrase = lower.rlike(WHOLE_PHRASE)
         else:
             for p in BOILERPLATE:
                 phrase = phrase | lower.contains(p)
@@ -150,7 +154,6 @@ def op7_query(docs: DataFrame) -> DataFrame:
     return q.select("doc_id", *[F.col(f"qr_{n}").alias(n) for n in names], F.length("qr_clean_text").cast("long").alias("clean_chars"))
 
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
 
 #: The same in DuckDB, with the default thresholds.
 ORACLE = rf"""
@@ -169,7 +172,7 @@ j AS (SELECT rid, pos, line,
   OR (len(lw) >= 3 AND length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) > 0.6 * length(regexp_replace(line, '[^\p{{L}}]', '', 'g')))
   OR (len(lw) >= 12 AND len(list_distinct(lw)) < 0.25 * len(lw))
   OR (len(lw) < 2 AND NOT regexp_matches(line, '[.!?:;,"''”»…)\]][\x20\x09-\x0D]*$'))
-  OR (len(lw) <= 12 AND ({_PHRASES})) AS fails FROM l),
+  OR (len(lw) <= 12 AND regexp_matches(lower(line), '{WHOLE_PHRASE}')) AS fails FROM l),
 a AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) + count(*) - 1 AS line_chars,
   greatest(coalesce(sum(length(line)) FILTER (NOT fails), 0) + count(*) FILTER (NOT fails) - 1, 0) AS clean_chars FROM j GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
