@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ampliflow.operators.database import Database, ReferenceBuilder
 from ampliflow.operators.estimate import Estimate
 from ampliflow.operators.mapper import ReadMapper
+from ampliflow.operators.staging import release
 from ampliflow.sources.readers import load_database, pair_reads, read_fasta, read_fastq, read_taxonomy
 from ampliflow.sources.writers import save_database, write_report
 
@@ -55,6 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     mapped = mapping.mapped.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     write_report(report, args.report, args.r1, args.r2, reads.count(), mapped)
     report.where(F.col("frequency") > args.show).orderBy(F.desc("frequency")).show(truncate=False)
+    release(spark)
 
 
 if __name__ == "__main__":

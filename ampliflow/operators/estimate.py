@@ -169,3 +169,15 @@ class Estimate:
             rows = rows.join(taxonomy.select(F.col("id").alias("_id"), "lineage"), F.col("name") == F.col("_id"), "left")
             lineage = F.when(F.col("lineage").isNull(), F.raise_error(F.concat(F.lit("no lineage for "), "name"))).otherwise(F.col("lineage")) if strict else F.col("lineage")
         return rows.select("sample", "j", F.col("name").alias("id"), lineage.alias("taxonomy"), "proportion", "frequency", "mapped")
+
+    def arrays(self, sample: str = "") -> dict[str, np.ndarray]:
+        """Proportions, frequencies and mapped reads of one sample as arrays by reference, and assigned and mapped reads by region.
+
+        For use beside the tables: an array has a value for each reference, which the driver must hold.
+        """
+        rows = self.frequencies().join(self.mapped_by_reference(), ["sample", "j"]).where(F.col("sample") == sample).orderBy("j").toPandas()
+        out = {c: rows[c].to_numpy() for c in ("proportion", "frequency", "mapped")}
+        for name in ("assigned", "mapped"):
+            counts = dict(getattr(self.mapping, name).where(F.col("sample") == sample).select("region", "n").collect())
+            out[f"{name}_by_region"] = np.array([counts.get(r["region"], 0) for r in self.mapping.database.primers.select("region").orderBy("region").collect()])
+        return out

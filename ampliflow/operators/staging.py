@@ -25,18 +25,42 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     with typed_errors():
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders and tables that this application has written, by its id.
+_STAGED: dict[str, list[str]] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which ``release`` removes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all intermediate tables of this application, and says how many: when every result that reads them has been written or collected."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix('table:')}")
+            continue
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
     """Written and read again as an external table bucketed by ``keys``: joins and sums by these keys don't shuffle it."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     with typed_errors():
-        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", new_path(spark, table)).saveAsTable(table)
+    _STAGED[spark.sparkContext.applicationId].append(f"table:{table}")
     return spark.table(table)
 
 

@@ -103,6 +103,7 @@ def coded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUILT: dict[tuple[str, str, str], object] = {}
+_STAMPS: dict[tuple[str, str, str], list] = {}
 
 
 def forget(keep: tuple[str, ...] = ()) -> None:
@@ -112,9 +113,13 @@ def forget(keep: tuple[str, ...] = ()) -> None:
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make):
-    """What several queries of one application start from is built once; its tables are in the shared folder."""
+    """What several queries of one application start from is built once, as long as the files it is made of are the same; its tables are in the shared folder."""
+    changed = [read(spark, sf_dir, t).agg(F.max("_metadata.file_modification_time"), F.count(F.lit(1))).first() for t in ("documents", "lineitem")]
     key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key in _BUILT and _STAMPS[key] != changed:
+        forget()
     if key not in _BUILT:
+        _STAMPS[key] = changed
         _BUILT[key] = make()
     return _BUILT[key]
 

@@ -16,7 +16,8 @@ from ampliflow.operators.primers import best_hits, edge_hit
 from ampliflow.operators.simjoin import hamming_join
 from ampliflow.operators.staging import dense_index, shared_folder, stage
 from ampliflow.plans import fixture as fx
-from ampliflow.sources.readers import pair_reads, read_fasta, read_fastq
+from ampliflow.sources.readers import load_database, pair_reads, read_fasta, read_fastq
+from ampliflow.sources.writers import save_database
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,6 +176,14 @@ def build_added(spark, sf_dir):
     return db.m.withColumn("x", F.round("x", 12))
 
 
+@query(f"{_BUILD} SELECT region, h, j, round(x, 12) AS x FROM m")
+def database_exchanged(spark, sf_dir):
+    """The matrix of a database that was written as one MessagePack document and read again."""
+    path = f"{shared_folder(spark)}/database-{uuid4().hex}.mp"
+    save_database(fx.database(spark, sf_dir), path, "messagepack")
+    return load_database(spark, path, "messagepack").m.withColumn("x", F.round("x", 12))
+
+
 @query(fx.sql_with(fx.SQL_CODED, fx.SQL_PRIMERS, fx.SQL_SKETCHES) + " SELECT DISTINCT s.region, of AS j, s.name, fwd_kmer, bwd_kmer, fwd_mm, bwd_mm FROM sketches s JOIN refs ON s.j = seq_no")
 def build_coded_sketches(spark, sf_dir):
     """References with codes: three are expanded, more are left out."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ampliflow.operators.database import Database, primer_table
 from ampliflow.operators.staging import stage
 from ampliflow.sources import sequences
+from ampliflow.sources.messagepack import read_documents
 
 #: Shape of the interchange file.
 DATABASE_JSON = (
@@ -80,9 +81,12 @@ def load_database(spark: SparkSession, path: str, format: str = "parquet") -> Da
         tables = {t: spark.read.parquet(f"{path}/{t}") for t in Database.TABLES}
         k = spark.read.parquet(f"{path}/meta").first()["k"]
         return Database(k=k, **tables)
-    if format != "json":
+    if format == "json":
+        doc = spark.read.schema(DATABASE_JSON).json(path, multiLine=True)
+    elif format == "messagepack":
+        doc = read_documents(spark, path).select(F.from_json("value", DATABASE_JSON).alias("d")).select("d.*")
+    else:
         raise ValueError(f"invalid format: {format!r}")
-    doc = spark.read.schema(DATABASE_JSON).json(path, multiLine=True)
     first = doc.select("k").first()
     if first is None or first["k"] is None:
         raise EOFError("no database in the file")

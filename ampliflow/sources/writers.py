@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliflow.operators.database import Database
+from ampliflow.sources.messagepack import write_document
 
 
 def save_database(db: Database, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
-    """Parquet: a folder of tables. JSON: one interchange document, which one task assembles; for exchange with other tools only."""
+    """Parquet: a folder of tables. JSON and MessagePack: one interchange document, which one task assembles; for exchange with other tools only."""
     if format == "parquet":
         for t in Database.TABLES:
             getattr(db, t).write.mode(mode).parquet(f"{path}/{t}")
         db.primers.sparkSession.createDataFrame([(db.k,)], "k int").write.mode(mode).parquet(f"{path}/meta")
     elif format == "json":
         database_json(db).coalesce(1).write.mode(mode).text(path)
+    elif format == "messagepack":
+        write_document(database_json(db), path, mode)
     else:
         raise ValueError(f"invalid format: {format!r}")
 

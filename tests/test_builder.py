@@ -139,3 +139,17 @@ def test_best_scores(spark):
                 continue
             best = max(round(x, 9) for x in scores)
             assert hit["score"] == pytest.approx(best, abs=2e-9) and scores[hit["pos"]] == pytest.approx(best, abs=2e-9)
+
+
+def test_intermediate_tables_are_removed(spark, monkeypatch):
+    import os
+
+    from ampliflow.operators import staging
+
+    monkeypatch.setattr(staging, "_STAGED", {})  # those of other tests stay
+    kept = stage(spark.range(5), "some")
+    cut = staging.bucketed(spark.range(5).withColumnRenamed("id", "k"), ["k"], 2, "cut")
+    assert kept.count() == cut.count() == 5
+    paths = [p for p in staging._STAGED[spark.sparkContext.applicationId] if not p.startswith("table:")]
+    assert len(paths) == 2 and all(os.path.isdir(p) for p in paths)
+    assert staging.release(spark) == 3 and not any(os.path.exists(p) for p in paths) and staging.release(spark) == 0

@@ -1,5 +1,6 @@
 """The toy community of FIXTURES.md, whose numbers were worked out by hand."""
 
+import json
 import math
 import random
 
@@ -13,6 +14,7 @@ from ampliflow.functions.dna import mismatch_count
 from ampliflow.operators.primers import best_hits_of
 from ampliflow.operators.simjoin import hamming_join, scan_join
 from ampliflow.operators.staging import dense_index
+from ampliflow.sources import messagepack
 from ampliflow.sources.readers import load_database
 from ampliflow.sources.writers import report_lines, save_database, write_report
 
@@ -95,7 +97,7 @@ def test_report(spark, mapping, tmp_path):
         Estimate.start(mapping).report(lineages.where("id <> 'b5'"), strict=True).collect()
 
 
-@pytest.mark.parametrize("format", ["parquet", "json"])
+@pytest.mark.parametrize("format", ["parquet", "json", "messagepack"])
 def test_database_round_trip(spark, db, mapping, tmp_path, format):
     save_database(db, str(tmp_path / "db"), format)
     again = load_database(spark, str(tmp_path / "db"), format)
@@ -151,6 +153,29 @@ def test_scan_of_partial_reads_and_many_mismatches(spark, limit):
     assert scan_join(q, kmers.where("kmer_id < 0"), 12, limit).collect() == []
 
 
+def test_messagepack():
+    """Values of the format's specification, and every length and number form."""
+    for value, data in ((None, "c0"), (True, "c3"), (5, "05"), (-1, "ff"), (-33, "d0df"), (200, "ccc8"), (1 << 40, "cf0000010000000000"), (0.5, "cb3fe0000000000000"), ("a", "a161"), ([1, "b"], "9201a162"), ({"a": 1}, "81a16101"), (b"x", "c40178")):
+        assert messagepack.packed(value).hex() == data and messagepack.unpacked(bytes.fromhex(data)) == value
+    for value in ([0] * 70_000, "x" * 70_000, {str(k): k for k in range(20)}, [-(1 << 63), (1 << 64) - 1, -129, 65536, -40_000], b"y" * 300, 1.25):
+        assert messagepack.unpacked(messagepack.packed(value)) == value
+    with pytest.raises(EOFError):
+        messagepack.unpacked(b"\x92\x01")
+    with pytest.raises(ValueError):
+        messagepack.unpacked(b"\x01\x01")
+    named = {"k": 6, "regions": [{"primer": ["A", "C"], "unique_pairs": [], "unique_kmers": [[], []], "matrix": {"cols": 1, "data": [], "col_index": [], "row_index": [0]}, "perfect_match": [True]}], "names": ["b"], "amplified": b"\x02"}
+    doc = json.loads(messagepack.to_json(messagepack.packed(named)))
+    assert doc["amplified"] == [2] and doc["regions"][0]["perfect_match"] == [1] and json.loads(messagepack.to_json(messagepack.from_json(json.dumps(doc)))) == doc
+    with pytest.raises(ValueError, match="names"):
+        messagepack.to_json(messagepack.packed({"k": 6, "regions": [], "amplified": []}))
+
+
+def test_arrays(mapping):
+    got = Estimate.start(mapping).arrays()
+    assert list(got["mapped"]) == [4, 4, 4, 0, 4] and got["frequency"].sum() == pytest.approx(1)
+    assert list(got["assigned_by_region"]) == [7, 10] and list(got["mapped_by_region"]) == [5, 9]
+
+
 def random_mapping(spark, db, seed, rows, groups, samples=("a", "b")):
     """A mapping of made-up entries; each sample has its own."""
     r = random.Random(seed)
