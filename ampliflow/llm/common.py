@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampliflow.operators.staging import new_path
+
 #: White space of every word definition in this package: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -33,23 +33,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, bound)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; in local mode one is made where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-        base = tempfile.mkdtemp(prefix="ampliflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` below the shared folder and read it again: lineage ends there and survives lost executors. ``staging.release`` removes it."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

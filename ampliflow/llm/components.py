@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliflow.llm.common import materialize
+from ampliflow.operators.staging import join_group
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    """(u, v) with the least of u and its neighbours. The edges of a hub are dealt out."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    return join_group(edges, materialize(least, "least"), ["u"]).drop("size")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -41,6 +42,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if seen == before or not seen[0]:
             break
         before = seen
-        state = materialize(small_star(large_star(state).distinct()).distinct(), name)
+        state = materialize(large_star(state).distinct(), name)
+        state = materialize(small_star(state).distinct(), name)
     members = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("node"), "component")).distinct()

@@ -3,7 +3,8 @@
 The counts of a fingerprint's 32 two-bit segments are a point; the Manhattan distance of two points is at most the
 Hamming distance of their fingerprints. A pair within distance 3 is within 1 on the left or on the right 16 segments, so
 on one of the two grids of unit cells it lies in the same cell or in cells that touch: one side visits its own cell and
-those one step up, the other only its own. Pairs that pass the bound on all segments are verified exactly.
+those one step up, the other only its own. Pairs that pass the bound on all segments are verified exactly. Of many
+fingerprints, cells are cut once more by the quarters of the other half; in crowded cells groups stand in for their pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from ampliflow.llm.components import connected_components
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Fingerprints of a cell from which on it is crowded, and of all from which on cells are cut by a second grid.
+CROWD = 1000
+FINE_FROM = 20_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = 0x5555555555555555
 
@@ -61,10 +65,15 @@ def embedding(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _cells(fps: DataFrame, steps: bool) -> DataFrame:
-    """(fp, point, grid, cell): the cells of the left and right half; with ``steps`` also those one count higher."""
+def _cells(fps: DataFrame, steps: bool, fine: bool) -> DataFrame:
+    """(fp, point, grid, cell, step, quarter, part) and further columns of ``fps``: the cells of the left and right half.
 
-    def half(point: Column, shift: int) -> list[Column]:
+    With ``steps`` also the cells one count higher. With ``fine``, cells are cut by the two quarters of the other half, of which one agrees within
+    one count: here those without ``steps`` visit the parts one count lower and higher.
+    """
+    point = F.col("point")
+
+    def half(shift: int) -> list[Column]:
         own = F.shiftrightunsigned(point, shift).bitwiseAND(F.lit(0xFFFFFFFF))
         cells = [own]
         for k in range(0, 32, 2) if steps else ():
@@ -72,27 +81,92 @@ def _cells(fps: DataFrame, steps: bool) -> DataFrame:
             cells.append(F.when(count == 0, own + (1 << k)).when(count == 1, own + (2 << k)))
         return [F.struct(F.lit(shift).alias("grid"), c.alias("cell"), F.lit(k > 0).alias("step")) for k, c in enumerate(cells)]
 
-    points = fps.select("fp", embedding(F.col("fp")).alias("point"))
-    return points.select("fp", "point", F.explode(F.array(*half(F.col("point"), 0), *half(F.col("point"), 32))).alias("c")).select("fp", "point", "c.*").where("cell IS NOT NULL")
-
-
-def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp_a, fp_b) for every pair of the distinct fingerprints ``fp`` within ``radius`` (3 or less) bits, once each."""
-    if radius > 3:
-        raise ValueError("two grids find pairs within 3 bits")
-    a = _cells(fps, True).select(*[F.col(c).alias(f"a_{c}") for c in ("fp", "point", "grid", "cell", "step")])
-    b = _cells(fps, False).drop("step")
+    def quarters(shift: int) -> list[Column]:
+        out = []
+        for q in (0, 1):
+            own = F.shiftrightunsigned(point, (32 - shift) + 16 * q).bitwiseAND(F.lit(0xFFFF))
+            parts = [own]
+            for k in range(0, 16, 2) if not steps else ():
+                count = F.shiftright(own, k).bitwiseAND(F.lit(3))  # 0, 1 or 2 in unary: 0, 1, 3
+                parts.append(F.when(count == 0, own + (1 << k)).when(count == 1, own + (2 << k)))
+                parts.append(F.when(count == 1, own - (1 << k)).when(count == 3, own - (2 << k)))
+            out += [F.struct(F.lit(q).alias("quarter"), p.alias("part")) for p in parts]
+        return out
+
+    rows = fps.withColumn("point", embedding(F.col("fp")))
+    found = None
+    for shift in (0, 32):
+        own = rows.select("*", F.explode(F.array(*half(shift))).alias("c")).select(*rows.columns, "c.*").where("cell IS NOT NULL")
+        if fine:
+            own = own.select("*", F.explode(F.array(*quarters(shift))).alias("p")).select(*own.columns, "p.*").where("part IS NOT NULL")
+        else:
+            own = own.withColumns({"quarter": F.lit(0), "part": F.lit(0).cast("long")})
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+#: Cells; a pair of rows in the same one is compared.
+CELL = ["grid", "cell", "quarter", "part"]
+
+
+def _meet(a: DataFrame, b: DataFrame, radius: int, fine: bool) -> DataFrame:
+    """(fp_a, fp_b) within ``radius`` bits from rows of ``_cells`` with and without steps, each pair once."""
+    a = a.select(*[F.col(c).alias(f"a_{c}") for c in ("fp", "point", "step", *CELL)])
     apart = F.col("a_point").bitwiseXOR(F.col("point"))
-    on = (F.col("a_grid") == F.col("grid")) & (F.col("a_cell") == F.col("cell"))
+    on = F.lit(True)
+    for c in CELL:
+        on = on & (F.col(f"a_{c}") == F.col(c))
     once = (F.col("a_step") | (F.col("a_fp") < F.col("fp"))) & ((F.col("grid") == 0) | (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) > 1))
+    if fine:
+        first = F.when(F.col("grid") == 0, F.shiftrightunsigned(apart, 32)).otherwise(apart).bitwiseAND(F.lit(0xFFFF))
+        once = once & ((F.col("quarter") == 0) | (F.bit_count(first) > 1))
     bound = F.bit_count(apart) <= radius
     exact = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("fp"))) <= radius) & (F.col("a_fp") != F.col("fp"))
     return a.join(b, on & once & bound & exact).select(F.col("a_fp").alias("fp_a"), F.col("fp").alias("fp_b"))
 
 
+def near_pairs(fps: DataFrame, radius: int = RADIUS, fine: bool = False) -> DataFrame:
+    """(fp_a, fp_b) for every pair of the distinct fingerprints ``fp`` within ``radius`` (3 or less) bits, once each."""
+    if radius > 3:
+        raise ValueError("two grids find pairs within 3 bits")
+    return _meet(_cells(fps.select("fp"), True, fine), _cells(fps.select("fp"), False, fine), radius, fine)
+
+
+def one_bit_links(fps: DataFrame) -> DataFrame:
+    """(u, v): every fingerprint is linked with the least of those that differ from it in one given bit only; work in proportion to the rows."""
+    masked = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("bit"), F.col("fp").bitwiseAND(F.lit(~(1 << k) if k < 63 else (1 << 63) - 1)).alias("rest")) for k in range(64)])).alias("m"))
+    pairs = masked.groupBy("m.bit", "m.rest").agg(F.min("fp").alias("u"), F.max("fp").alias("v"))  # at most two: the bit set or not
+    return pairs.where("u <> v").select("u", "v")
+
+
+def linking_pairs(fps: DataFrame, name: str, crowd: int = CROWD, fine: bool | None = None) -> DataFrame:
+    """Pairs (u, v) within ``RADIUS`` bits that join whatever chains of such pairs join; not all pairs of a dense group.
+
+    The fingerprints of crowded cells are first linked where they differ in one bit, which takes linear work. In such a cell those of the
+    largest group so found aren't compared with one another, only the others with all; so a dense group costs its size, not the
+    square of it. From ``FINE_FROM`` fingerprints on, cells are cut by a second grid, so that fewer unrelated ones meet.
+    """
+    fine = fps.count() >= FINE_FROM if fine is None else fine
+    fps = fps.select("fp")
+    sizes = _cells(fps, False, fine).groupBy(*CELL).agg(F.count(F.lit(1)).alias("c"))
+    crowded = materialize(sizes.where(F.col("c") > crowd).select(*CELL), f"{name}-crowded")
+    if crowded.isEmpty():
+        return near_pairs(fps, fine=fine).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
+    inside = _cells(fps, False, fine).join(crowded, CELL, "left_semi")
+    links = materialize(one_bit_links(inside.select("fp").distinct()), f"{name}-one-bit")
+    group = connected_components(links, f"{name}-one-bit-groups").withColumnRenamed("node", "fp")
+    known = materialize(fps.join(group, "fp", "left").select("fp", F.coalesce("component", "fp").alias("own")), f"{name}-own")
+    b = _cells(known, False, fine)
+    largest = b.join(crowded, CELL, "left_semi").groupBy(*CELL, "own").agg(F.count(F.lit(1)).alias("c")).groupBy(*CELL).agg(F.max_by("own", "c").alias("largest"))
+    largest = materialize(largest, f"{name}-largest")
+    a, b = [x.join(largest, CELL, "left").withColumn("most", F.coalesce(F.col("own") == F.col("largest"), F.lit(False))) for x in (_cells(known, True, fine), b)]
+    found = _meet(a.where(~F.col("most")), b, RADIUS, fine).unionByName(_meet(a.where("most"), b.where(~F.col("most")), RADIUS, fine))
+    return found.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).unionByName(links)
+
+
 def _groups(fps: DataFrame, name: str) -> DataFrame:
     """(fp, group) of distinct fingerprints: those that links of ``RADIUS`` bits or fewer join share a group."""
-    found = connected_components(near_pairs(fps).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")), name)
+    found = connected_components(linking_pairs(fps, name), name)
     return fps.join(found, fps["fp"] == found["node"], "left").select(fps["fp"], F.coalesce("component", fps["fp"]).alias("group"))
 
 
