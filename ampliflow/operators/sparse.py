@@ -18,8 +18,8 @@ def dot(a: DataFrame, b: DataFrame, block: int = BLOCK_PRODUCTS) -> DataFrame:
     An inner index with many entries on both sides would put all its products into one task. Its entries of ``a`` are dealt to p parts and those
     of ``b`` to q, by row and by column, and each of the p x q blocks is a join key of its own, of about ``block`` products.
     """
-    right = b.select(F.col("i").alias("_k"), F.col("j").alias("_j"), F.col("x").alias("_x"))
-    left = a.select("i", F.col("j").alias("_k"), "x")
+    right = stage(b.select(F.col("i").alias("_k"), F.col("j").alias("_j"), F.col("x").alias("_x")), "right")
+    left = stage(a.select("i", F.col("j").alias("_k"), "x"), "left")
     sizes = left.groupBy("_k").agg(F.count(F.lit(1)).alias("_a")).join(right.groupBy("_k").agg(F.count(F.lit(1)).alias("_b")), "_k")
     heavy = stage(sizes.where(F.col("_a").cast("double") * F.col("_b") > block), "heavy-inner")
     if heavy.isEmpty():
