@@ -64,3 +64,18 @@ def test_sql_functions(spark):
     dna.register(spark)
     row = spark.sql("SELECT dna_reverse_complement('AACG') AS a, dna_count_ambiguous('ANR') AS b, dna_mismatches('AN', 'AC') AS c, dna_disambiguate('R') AS d").first()
     assert (row.a, row.b, row.c, row.d) == ("CGTT", 2, 0, ["A", "G"])
+
+
+def test_pssm_rows(spark):
+    """Positions of a primer as ``pssm`` has them; scores of a long primer are taken once."""
+    primers = ["AGGRYNBACGTT", "N", "", None, "ACGTRYSWKMBDHVN"]
+    df = spark.createDataFrame(list(enumerate(primers)), "n int, p string")
+    found = {(r.n, r.k): (r.a, r.c, r.g, r.t) for r in dna.pssm_rows(df, "p").collect()}
+    wanted = {(n, k): tuple(odds[b] for b in "ACGT") for n, p in enumerate(primers) if p for k, odds in enumerate(dna.pssm(p) if len(p) < 13 else [])}
+    assert {x: v for x, v in found.items() if x[0] != 4}.keys() == wanted.keys()
+    assert all(abs(a - b) < 1e-9 for x in wanted for a, b in zip(found[x], wanted[x]))
+    long = df.where("n = 4").select(dna.pssm_column(F.col("p")).alias("m")).first()["m"]
+    assert all(abs(a - b) < 1e-9 for k, odds in enumerate(long) for a, b in zip(found[4, k], odds))
+    rounded = dna.pssm_rows(df.where("n = 0"), "p", digits=9)
+    plan = rounded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("round(") > plan.index("Generate")  # below it: a rounding for a primer, not for each position
