@@ -25,6 +25,32 @@ def test_dot(spark):
     assert rows(sparse.dot(a, a)) == [(0, 0, 7.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 6.0)]
 
 
+@pytest.mark.parametrize("limits", [{}, {"ROW_BLOCK": 40, "SLICE": 7, "CHUNK": 5}, {"LONG_ROW": 3, "ROW_BLOCK": 40}])
+def test_dot_by_rows(spark, monkeypatch, limits):
+    """Many blocks, slices and pieces of a row give one sum for each entry; what is shuffled grows with the entries, not with the products."""
+    for name, value in limits.items():
+        monkeypatch.setattr(sparse, name, value)
+    a = [(i, k, i + 10 * k + 1) for i in range(-3, 9) for k in range(12) if (i * k) % 3 != 1]
+    b = [(k, j * 1000, k - j) for k in range(14) for j in range(9) if (k + j) % 4]
+    wanted = {}
+    for i, k, x in a:
+        for r, j, y in b:
+            if r == k:
+                wanted[i, j] = wanted.get((i, j), 0.0) + x * y
+    product = sparse.dot(m(spark, a), m(spark, b))
+    assert rows(product) == sorted((i, j, x) for (i, j), x in wanted.items())
+    if not limits:
+        plan = product._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [i" not in plan and "MapInPandas" in plan
+
+
+def test_dot_with_nulls(spark):
+    a = spark.createDataFrame([(None, 0, 2.0), (1, None, 3.0), (1, 0, None), (2, 0, 5.0)], "i long, j long, x double")
+    b = spark.createDataFrame([(0, None, 1.0), (0, 7, 10.0), (None, 7, 1.0)], "i long, j long, x double")
+    found = {(r.i, r.j): r.x for r in sparse.dot(a, b).collect()}
+    assert found == {(None, None): 2.0, (None, 7): 20.0, (1, None): None, (1, 7): None, (2, None): 5.0, (2, 7): 50.0}
+
+
 def test_stack_and_sums(spark):
     a = m(spark, [(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4), (2, 0, 5), (2, 1, 6)])
     assert rows(sparse.axis_sum(a, "columns")) == [(0, 3.0), (1, 7.0), (2, 11.0)]
