@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampliflow.operators.database import Database, primer_table
 from ampliflow.operators.staging import stage
 from ampliflow.sources import sequences
-from ampliflow.sources.messagepack import read_documents
+from ampliflow.sources.messagepack import read_values
 
 #: Shape of the interchange file.
 DATABASE_JSON = (
@@ -84,7 +86,7 @@ def load_database(spark: SparkSession, path: str, format: str = "parquet") -> Da
     if format == "json":
         doc = spark.read.schema(DATABASE_JSON).json(path, multiLine=True)
     elif format == "messagepack":
-        doc = read_documents(spark, path).select(F.from_json("value", DATABASE_JSON).alias("d")).select("d.*")
+        return _from_values(spark, path)
     else:
         raise ValueError(f"invalid format: {format!r}")
     first = doc.select("k").first()
@@ -103,9 +105,36 @@ def load_database(spark: SparkSession, path: str, format: str = "parquet") -> Da
     cells = F.explode(F.expr("transform(slice(m.col_index, cast(begin + 1 as int), cast(end - begin as int)), (j, n) -> struct(j, m.data[cast(begin as int) + n] as x))"))
     m = rows.where("end > begin").select("region", F.col("h").cast("long").alias("h"), cells.alias("c")).select("region", "h", F.col("c.j").alias("j"), F.col("c.x").alias("x"))
     perfect = regions.select("region", F.posexplode("r.perfect_match").alias("j", "p")).select("region", F.col("j").cast("long").alias("j"), (F.col("p") != 0).alias("perfect"))
+    return _database(first["k"], primers, refs, kmers, pairs, m, perfect)
+
+
+def _from_values(spark: SparkSession, path: str) -> Database:
+    """The tables of a MessagePack document. Entries of the matrix meet by their place in its lists."""
+    values = read_values(spark, path)
+    of = lambda *fields: values.where(F.col("field").isin(*fields))
+    first = of("k").first()
+    if first is None:
+        raise EOFError("no database in the file")
+    given = of("primer").orderBy("region").collect()  # regions are few
+    primers = primer_table(spark, [tuple(json.loads(r["s"])) for r in given])
+    names, amplified = of("names").select("at", F.col("s").alias("name")), of("amplified").select("at", F.col("a").cast("int").alias("amplified"))
+    refs = names.join(amplified, "at").select(F.col("at").alias("j"), "name", F.col("name").alias("original_name"), "amplified")
+    kmers = of("fwd", "bwd").select("region", F.col("field").alias("side"), F.col("at").alias("kmer_id"), F.col("s").alias("kmer"))
+    pairs = of("unique_pairs").select("region", F.col("at").alias("h"), F.col("a").alias("fwd_id"), F.col("b").alias("bwd_id"))
+    ends = of("row_index").where("at > 0").select("region", (F.col("at") - 1).alias("h"), F.col("a").alias("end"))
+    begins = of("row_index").select("region", F.col("at").alias("h"), F.col("a").alias("begin"))
+    rows = begins.join(ends, ["region", "h"]).where("end > begin").select("region", "h", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
+    cells = of("col_index").select("region", "at", F.col("a").alias("j")).join(of("data").select("region", "at", "x"), ["region", "at"])
+    m = rows.join(cells, ["region", "at"]).select("region", "h", "j", "x")
+    perfect = of("perfect_match").select("region", F.col("at").alias("j"), (F.col("a") != 0).alias("perfect"))
+    return _database(first["a"], primers, refs, kmers, pairs, m, perfect)
+
+
+def _database(k: int, primers: DataFrame, refs: DataFrame, kmers: DataFrame, pairs: DataFrame, m: DataFrame, perfect: DataFrame) -> Database:
+    """Sketches are made of the other tables; how the primers fitted is not in a document."""
     names = refs.where("name <> ''").select("j", "name")
     ids = lambda side: kmers.where(F.col("side") == side).select("region", F.col("kmer_id").alias(f"{side}_id"), F.col("kmer").alias(f"{side}_kmer"))
     zero = F.lit(None).cast("int")
     sketches = m.join(pairs, ["region", "h"]).join(ids("fwd"), ["region", "fwd_id"]).join(ids("bwd"), ["region", "bwd_id"]).join(names, "j").select("region", "j", "name", "fwd_kmer", "bwd_kmer", zero.alias("fwd_mm"), zero.alias("bwd_mm"))
-    return Database(first["k"], *[stage(t, "load") for t in (primers, refs, sketches, kmers, pairs, m, perfect)])
+    return Database(k, *[stage(t, "load") for t in (primers, refs, sketches, kmers, pairs, m, perfect)])
 

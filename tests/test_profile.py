@@ -16,7 +16,7 @@ from ampliflow.operators.simjoin import hamming_join, scan_join
 from ampliflow.operators.staging import dense_index
 from ampliflow.sources import messagepack
 from ampliflow.sources.readers import load_database
-from ampliflow.sources.writers import report_lines, save_database, write_report
+from ampliflow.sources.writers import database_json, report_lines, save_database, write_report
 
 PRIMERS = [("ACCGTA", "TTGACC"), ("CAGYTG", "GGATTC")]
 B1 = "TTTTACCGTAAAGGCTGGGTCTCAAGGTCAAAAAACAGCTGGATAGACCCCTTACTGAATCCTTTT"
@@ -170,6 +170,28 @@ def test_messagepack():
         messagepack.to_json(messagepack.packed({"k": 6, "regions": [], "amplified": []}))
 
 
+def test_messagepack_streams(spark, db, tmp_path, monkeypatch):
+    """The document is that of the JSON form; no task holds it, neither when it is written nor when it is read, whatever the form of its structures."""
+    for name in ("from_json", "unpacked", "to_json"):
+        monkeypatch.setattr(messagepack, name, None)
+    monkeypatch.setattr(messagepack, "PIECE", 16)
+    path = str(tmp_path / "streamed")
+    save_database(db, path, "messagepack")
+    again = load_database(spark, path, "messagepack")
+    assert sorted(map(tuple, again.m.collect())) == sorted(map(tuple, db.m.select(again.m.columns).collect()))
+    monkeypatch.undo()
+    doc = json.loads(messagepack.to_json(open(path, "rb").read()))
+    assert doc == json.loads(database_json(db).first()["value"])
+    named = tmp_path / "named"
+    doc["amplified"] = bytes(doc["amplified"])
+    named.write_bytes(messagepack.packed(doc | {"other": [1, {"a": "b"}]}))
+    of_names = load_database(spark, str(named), "messagepack")
+    for t in ("m", "kmers", "pairs", "perfect", "refs"):
+        assert sorted(map(tuple, getattr(of_names, t).collect())) == sorted(map(tuple, getattr(again, t).collect())), t
+    with pytest.raises(FileExistsError):
+        save_database(db, path, "messagepack")
+
+
 def test_arrays(mapping):
     got = Estimate.start(mapping).arrays()
     assert list(got["mapped"]) == [4, 4, 4, 0, 4] and got["frequency"].sum() == pytest.approx(1)
