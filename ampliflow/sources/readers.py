@@ -26,7 +26,7 @@ def _records(spark: SparkSession, kind: str, path: str, number: str, split_bytes
     """Records with their 0-based ``number`` in the order of files and lines.
 
     Two passes: the first one counts the records of each split, the second one makes them; a row for each split is all that is joined.
-    Records of compressed files, which are one split each, are dealt out.
+    Records of compressed files, which are one split each, are dealt out if the files are fewer than the tasks that may run.
     """
     files = sequences.listed(path)
     if spark.sparkContext.applicationId not in _REGISTERED:
@@ -38,7 +38,8 @@ def _records(spark: SparkSession, kind: str, path: str, number: str, split_bytes
     before = stage(counts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")), f"{kind}-splits")
     rows = source.option("counts", "false").load().join(before, ["file", "split"])
     rows = rows.select((F.col("_before") + F.col("row")).alias(number), *[c for c in rows.columns if c not in ("file", "split", "row", "_before")])
-    return rows.repartition(spark.sparkContext.defaultParallelism) if any(sequences.is_compressed(f) for f, _ in files) else rows
+    tasks = spark.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if len(files) < tasks and any(sequences.is_compressed(f) for f, _ in files) else rows
 
 
 def read_fasta(spark: SparkSession, path: str, id_first_token: bool = False, to_dna: bool = False, strip_cr: bool = False, split_bytes: int = sequences.SPLIT_BYTES) -> DataFrame:

@@ -116,3 +116,21 @@ def test_stream_of_files(spark, tmp_path):
     for k in range(3):  # each run reads the new file only
         add(k)
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(want)
+
+
+def test_pairs_are_not_written_plain(spark, monkeypatch):
+    """Mates that are written to be read again are compressed, and forward ones go without the backward ones; the pairs are those of the rows."""
+    from pathlib import Path
+
+    from ampliflow.operators.staging import shared_folder
+    from ampliflow.plans import fixture as fx
+    from ampliflow.plans import registry
+
+    rows = [(o, n, 7, f"{'ACGT' * 40}{m}", f"{'TTGA' * 40}{b}") for o, n, m, b in ((2, 1, "A", "C"), (1, 2, "C", "A"), (1, 1, "G", "G"), (1, 1, "A", "T"), (1, 1, "A", "A"))]
+    monkeypatch.setattr(fx, "read_rows", lambda *_: spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, fwd string, bwd string"))
+    before = set(Path(shared_folder(spark)).glob("fastq-*-?wd"))
+    found = [tuple(r) for r in registry.fastq_pairs(spark, "").orderBy("read_no").collect()]
+    ordered = sorted((o, n, f, b) for o, n, _, f, b in rows)
+    assert found == [(k, f"@{o}/{n}", f, b) for k, (o, n, f, b) in enumerate(ordered)]
+    made = [p for folder in set(Path(shared_folder(spark)).glob("fastq-*-?wd")) - before for p in folder.glob("part-*")]
+    assert made and all(p.suffix == ".gz" for p in made)
