@@ -122,3 +122,19 @@ def test_choice_by_size(spark):
     t = spark.createDataFrame([(0, 0, "A" * 40)], "region int, kmer_id long, kmer string")
     assert hamming_join(spark.createDataFrame([], "region int, q string"), t, 2, 40).collect() == []
     assert hamming_join(spark.createDataFrame([(0, "A" * 40)], "region int, q string"), t.where("kmer_id > 0"), 2, 40).collect() == []
+
+
+def test_only_kmers_with_a_key_of_a_query_are_shuffled(spark):
+    """The keys of queries come first: k-mers without one are left out before the join, and the pairs are all there."""
+    import random
+
+    from ampliflow.operators import simjoin
+
+    r = random.Random(3)
+    kmers = ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(300)]
+    near = kmers[7][:20] + ("A" if kmers[7][20] != "A" else "C") + kmers[7][21:]
+    known = spark.createDataFrame([(0, n, s) for n, s in enumerate(kmers)], "region int, kmer_id long, kmer string")
+    asked = spark.createDataFrame([(0, near), (0, kmers[5][:30] + "N" + kmers[5][31:])], "region int, q string")
+    found = simjoin.seed_join(asked, known, 2, 60, scans=False)
+    assert sorted((x["kmer_id"], x["mm"]) for x in found.collect()) == [(5, 0), (7, 1)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
