@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ampliflow.operators import simjoin
 from ampliflow.operators.database import ReferenceBuilder, primer_table
 from ampliflow.operators.mapper import ReadMapper
 from ampliflow.operators.staging import dense_index, dense_ranks
@@ -54,3 +55,11 @@ def test_queries_leave_nothing_to_the_next_one(spark):
     entry.queries()["read_threshold"](spark, "/root/testdata/sf0.001")
     assert given and set(fx._BUILT) == given
     fx.forget()
+
+
+def test_packed_words_translate_their_own_bases(spark):
+    row = spark.createDataFrame([("ACGT" * 40,)], "kmer string").select(*simjoin.packed(F.col("kmer"), 160))
+    digits = "0123" * 40
+    assert list(row.first()) == [int(digits[a : a + 31], 4) for a in range(0, 160, 31)]
+    words = row._jdf.queryExecution().analyzed().toString()
+    assert "translate(substring(" in words and "substring(translate(" not in words  # else each of the six words translates all bases
