@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ampliflow.operators import simjoin
+from ampliflow.operators import simjoin, staging
 from ampliflow.operators.database import ReferenceBuilder, primer_table
 from ampliflow.operators.mapper import ReadMapper
 from ampliflow.operators.staging import dense_index, dense_ranks
@@ -63,3 +63,34 @@ def test_packed_words_translate_their_own_bases(spark):
     assert list(row.first()) == [int(digits[a : a + 31], 4) for a in range(0, 160, 31)]
     words = row._jdf.queryExecution().analyzed().toString()
     assert "translate(substring(" in words and "substring(translate(" not in words  # else each of the six words translates all bases
+
+
+def test_sequences_are_looked_at_once_after_the_shuffle(spark, monkeypatch):
+    seen, write = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    rows = [(5, "a", "ACGT"), (3, "b", "ACGN"), (9, "c", "NNNNA"), (7, "d", "UUGA")]
+    numbered = ReferenceBuilder(spark, PRIMERS, k=6).numbered(spark.createDataFrame(rows, "seq_no long, id string, sequence string"))
+    assert sorted(map(tuple, numbered.select("j", "name", "sequence").collect())) == [(0, "b", "ACGN"), (1, "a", "ACGT"), (2, "d", "TTGA")]
+    plan = dict(seen)["index-j"]
+    assert "RLIKE" in plan and plan.rindex("RLIKE") < plan.index("RepartitionByExpression")  # below it, it would be done for the sample of the ranges too
+
+
+def test_regions_of_reads_stay_in_compiled_code(spark):
+    reads = spark.createDataFrame([("ACCGTAAAGGCTGGG", "TTGACCTTGAGACCC", 5)], "fwd string, bwd string, n long")
+    kmers = ReadMapper(None, primers=primer_table(spark, PRIMERS), kmer_length=6, primer_mismatches=0).assigned_kmers(reads)
+    assert [tuple(r) for r in kmers.collect()] == [("", 0, "AAGGCT", "TTGAGA", 5)]
+    assert "lambda" not in kmers._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_are_those_of_column_functions(spark, tmp_path):
+    texts = [None, "", "12 .", "Zebra! ñandú ſharp K\n\tx" * 90, "abc" * 800, "Ａa😀b", "y" * 800]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    windows = fx._cut(spark, str(tmp_path))
+    got = {}
+    for r in windows.orderBy("doc_id", "w").collect():
+        got.setdefault(r["doc_id"], []).append(r["dna"])
+    dna = {r["doc_id"]: r["dna"] for r in fx.dna(spark, str(tmp_path)).collect()}
+    want = {k: [(s[at : at + 800] + "ACGT" * 200)[:800] for at in range(0, max(len(s), 1), 800)] for k, s in dna.items()}
+    assert got == want and len(want) == len(texts)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "regexp" not in plan  # each letter would be looked up as a string of its own
