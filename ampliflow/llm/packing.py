@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliflow.llm.common import id_or_marker, id_or_null, materialize, small_batches
+from ampliflow.llm.common import given, id_or_marker, id_or_null, materialize, small_batches
 
 SEQUENCE = 2048
 END_ID = 0
@@ -130,10 +130,10 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_
     pieces = materialize(rows.mapInPandas(tokenized(tokenizer, size, end_id), PIECES), "op10-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     places = plan(counts, size)
-    place = spark.createDataFrame(places or [(0, 0, 0, 0, 0)], "length long, from_rank long, to_rank long, first_sequence long, offset long")
+    place = given(spark, {c: [x[k] for x in places] for k, c in enumerate(("length", "from_rank", "to_rank", "first_sequence", "offset"))})
     # Ranks are counted in groups within a length. n pieces have about sqrt(n) groups of sqrt(n) pieces, so neither the ranks in
     # a group nor the groups of a length are one large task, however many pieces share a length.
-    ways = spark.createDataFrame([(n, isqrt(c) + 1) for n, c in counts.items()] or [(0, 1)], "length long, ways long")
+    ways = given(spark, {"length": list(counts), "ways": [isqrt(c) + 1 for c in counts.values()]})
     pieces = pieces.join(F.broadcast(ways), "length").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.col("ways"))).drop("ways")
     grouped = pieces.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)

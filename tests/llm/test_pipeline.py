@@ -47,3 +47,20 @@ def test_phrases_at_word_boundaries(spark):
     docs = spark.createDataFrame([(1, "\n".join([*lines, "The lake was calm this morning and we walked along it for an hour."]), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.clean_lines(spark, docs, "").first()["text"]
     assert lines[0] in kept and lines[1] in kept and lines[2] not in kept
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeats_are_removed_once_a_row(spark):
+    rows = [(k, f"{k} " + " ".join(f"w{j}x{j * j}" for j in range(60)), "en", "s", 1) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_repeats(spark, docs, "")
+    assert plan_of(kept).count("cleaned(") == 1
+    assert {r["doc_id"]: r["text"] for r in kept.collect()}[0] == rows[0][1]
+
+
+def test_packing_gives_its_tables_without_python(spark):
+    docs = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
+    assert "ExistingRDD" not in plan_of(corpus_pipeline.pack(spark, docs, ""))
