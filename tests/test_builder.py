@@ -120,6 +120,28 @@ def test_expansions_stream(spark):
     assert spark.sql("SELECT k, variant FROM coded, LATERAL dna_expansions(s) WHERE k = 1").count() == 4
 
 
+def test_expansions_come_in_bounded_pieces(spark, monkeypatch):
+    """Expansions of many short sequences are made together, those of one that has very many in pieces, and texts are cut in one pass."""
+    import pyarrow as pa
+
+    from ampliflow.plans import registry
+
+    texts = ["RAY", None, "", "N" * 9, "ACGT", "é-R", "BDHV" * 2, "NACGTNRYKM", "S", None]
+    batch = pa.RecordBatch.from_pydict({"s": pa.array(["skipped", *texts])}).slice(1)
+    for most, size in ((dna.EXPANSIONS, dna.EXPANDED_BYTES), (1000, 1 << 20), (7, 50)):
+        monkeypatch.setattr(dna, "EXPANSIONS", most)
+        monkeypatch.setattr(dna, "EXPANDED_BYTES", size)
+        pieces = [(rows.tolist(), found.to_pylist()) for rows, found in dna.expanded_rows(batch, "s")]
+        assert [v for _, found in pieces for v in found] == [v for t in texts if t is not None for v in dna.expansions(t)]
+        assert [r for rows, _ in pieces for r in rows] == [k for k, t in enumerate(texts) if t is not None for _ in dna.expansions(t)]
+        assert max(len(found) for _, found in pieces) <= 2 * most
+    assert len(list(dna.expanded_rows(batch.slice(1, 1), "s"))) == 0
+    codes = spark.createDataFrame([("ACGT",), ("RYK",), ("RYKM",), ("RXA",), ("",), (None,), ("ANCNGNTU",)], "s string")
+    assert [r["ok"] for r in codes.select(dna.at_most_ambiguous(F.col("s"), 3).alias("ok")).collect()] == [True, True, False, False, True, None, True]
+    plan = registry.QUERIES["disambiguate_stream"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "PythonUDTF" not in plan and "substring" not in plan
+
+
 def test_position_scores(spark):
     primers = ["GTGYCAGCMGCCGCGGTAA", "ACG", "SRN"]
     df = spark.createDataFrame([(p,) for p in primers], "p string").select("p", dna.pssm_column(F.col("p")).alias("m"))
