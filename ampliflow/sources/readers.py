@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampliflow.operators.database import Database, primer_table
@@ -22,6 +24,20 @@ DATABASE_JSON = (
 _REGISTERED: set[str] = set()
 
 
+def _source(spark: SparkSession, kind: str, path: str, split_bytes: int) -> DataFrameReader:
+    if spark.sparkContext.applicationId not in _REGISTERED:
+        sequences.register(spark)
+        _REGISTERED.add(spark.sparkContext.applicationId)
+    return spark.read.format(kind).option("path", path).option("splitBytes", split_bytes)
+
+
+def _splits(spark: SparkSession, kind: str, path: str, split_bytes: int) -> DataFrame:
+    """(file, split, n, before): the records of each split and those before it; a row for each split."""
+    counts = stage(_source(spark, kind, path, split_bytes).option("counts", "true").load(), f"{kind}-counts")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # rows are splits
+    return stage(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), f"{kind}-splits")
+
+
 def _records(spark: SparkSession, kind: str, path: str, number: str, split_bytes: int) -> DataFrame:
     """Records with their 0-based ``number`` in the order of files and lines.
 
@@ -29,14 +45,8 @@ def _records(spark: SparkSession, kind: str, path: str, number: str, split_bytes
     Records of compressed files, which are one split each, are dealt out if the files are fewer than the tasks that may run.
     """
     files = sequences.listed(path)
-    if spark.sparkContext.applicationId not in _REGISTERED:
-        sequences.register(spark)
-        _REGISTERED.add(spark.sparkContext.applicationId)
-    source = spark.read.format(kind).option("path", path).option("splitBytes", split_bytes)
-    counts = stage(source.option("counts", "true").load(), f"{kind}-counts")
-    earlier = Window.partitionBy(F.lit(0)).orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # rows are splits
-    before = stage(counts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")), f"{kind}-splits")
-    rows = source.option("counts", "false").load().join(before, ["file", "split"])
+    before = _splits(spark, kind, path, split_bytes).select("file", "split", F.col("before").alias("_before"))
+    rows = _source(spark, kind, path, split_bytes).load().join(before, ["file", "split"])
     rows = rows.select((F.col("_before") + F.col("row")).alias(number), *[c for c in rows.columns if c not in ("file", "split", "row", "_before")])
     tasks = spark.sparkContext.defaultParallelism
     return rows.repartition(tasks) if len(files) < tasks and any(sequences.is_compressed(f) for f, _ in files) else rows
@@ -69,6 +79,35 @@ def pair_reads(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.select("read_no", "id", F.col("sequence").alias("fwd")).join(right, "read_no")
 
 
+#: Backward records that ``read_pairs`` may read for each that there is.
+READ_AGAIN = 4
+
+
+def read_pairs(spark: SparkSession, forward: str, backward: str, split_bytes: int = sequences.SPLIT_BYTES) -> DataFrame:
+    """(read_no, id, fwd, bwd) of two FASTQ paths, as ``pair_reads`` of both.
+
+    A task reads a forward split beside the backward splits that hold its mates, so no read is shuffled. Where the cuts are so unlike that
+    backward splits would be read again and again, reads are joined.
+    """
+    own, other = (_splits(spark, "fastq", path, split_bytes).where("n > 0") for path in (forward, backward))
+    overlap = (F.col("o.before") < F.col("f.before") + F.col("f.n")) & (F.col("f.before") < F.col("o.before") + F.col("o.n"))
+    met = own.alias("f").join(F.broadcast(other.alias("o")), overlap)
+    met = stage(met.groupBy("f.file", "f.split", "f.n", "f.before").agg(F.array_sort(F.collect_list(F.struct("o.before", "o.file", "o.split"))).alias("others"), F.sum("o.n").alias("again")), "fastq-pairs")
+    sizes = met.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("again"), F.lit(0)).alias("again")).first()
+    if sizes["again"] > READ_AGAIN * (other.agg(F.sum("n")).first()[0] or 0):
+        return pair_reads(read_fastq(spark, forward, split_bytes=split_bytes), read_fastq(spark, backward, split_bytes=split_bytes))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = lambda file, at: sequences.Split(file, at, -1 if sequences.is_compressed(file) else at + split_bytes)
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from sequences.paired_batches(split(r["file"], r["split"]), r["before"], r["n"], [(x["before"], split(x["file"], x["split"])) for x in r["others"]])
+
+    rows = met.repartition(max(sizes["splits"], 1)).mapInArrow(paired, "read_no long, id string, fwd string, bwd string")
+    tasks = spark.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if sizes["splits"] < tasks and any(sequences.is_compressed(f) for f, _ in sequences.listed(forward)) else rows
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """(id, lineage) split at the first tab; of lines with one id the last counts. A line without a tab is an error."""
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())

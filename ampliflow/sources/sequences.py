@@ -186,6 +186,33 @@ def fastq_batches(split: Split) -> Iterator[pa.RecordBatch]:
             row += len(part) // 4
 
 
+def paired_batches(forward: Split, first: int, n: int, backward: list[tuple[int, Split]]) -> Iterator[pa.RecordBatch]:
+    """(read_no, id, fwd, bwd) of the ``n`` records of a forward split, of which the first has the number ``first``, by the splits of backward
+    mates that hold these numbers, each with the number of its first record; records without a mate are left out."""
+
+    def mates() -> Iterator[list[bytes]]:
+        for at, split in backward:
+            for lines in fastq_lines(split):
+                found = lines[1::4]
+                yield found[max(0, first - at) : max(0, first + n - at)]
+                at += len(found)
+                if at >= first + n:
+                    break
+
+    rest, others, number = [], mates(), first
+    for lines in fastq_lines(forward):
+        for a in range(0, len(lines), 4 * _RECORDS):
+            part = lines[a : a + 4 * _RECORDS]
+            ids, own = part[::4], part[1::4]
+            while len(rest) < len(ids) and (more := next(others, None)) is not None:
+                rest += more
+            size = min(len(ids), len(rest))
+            yield pa.RecordBatch.from_pydict({"read_no": pa.array(range(number, number + size), pa.int64()), "id": _text(ids[:size]), "fwd": _text(own[:size]), "bwd": _text(rest[:size])})
+            rest, number = rest[size:], number + size
+            if size < len(ids):
+                return
+
+
 _PLACE = "file string, split long, row long"
 
 

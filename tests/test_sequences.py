@@ -7,7 +7,7 @@ import random
 import pytest
 
 from ampliflow.sources import sequences
-from ampliflow.sources.readers import pair_reads, read_fasta, read_fastq
+from ampliflow.sources.readers import pair_reads, read_fasta, read_fastq, read_pairs
 from ampliflow.sources.sequences import Split, fasta_batches, fastq_batches, listed, splits_of
 
 
@@ -134,3 +134,40 @@ def test_pairs_are_not_written_plain(spark, monkeypatch):
     assert found == [(k, f"@{o}/{n}", f, b) for k, (o, n, f, b) in enumerate(ordered)]
     made = [p for folder in set(Path(shared_folder(spark)).glob("fastq-*-?wd")) - before for p in folder.glob("part-*")]
     assert made and all(p.suffix == ".gz" for p in made)
+
+
+def test_pairs_are_read_side_by_side(spark, tmp_path, monkeypatch):
+    """Splits with their mates, however they are cut, give what joining the reads gives, and shuffle none; unlike cuts are joined."""
+    from ampliflow.sources import readers
+
+    texts, want = zip(*(fastq_text(seed, n) for seed, n in ((1, 300), (2, 7), (3, 200), (4, 150), (5, 330))))
+    for name, numbers in (("r1", (0, 1, 2)), ("r2", (3, 4))):
+        (tmp_path / name).mkdir()
+        for n in numbers:
+            (tmp_path / name / f"part-{n}.fq.gz").write_bytes(gzip.compress(texts[n]))
+            (tmp_path / f"{name}.fq").write_bytes(b"".join(texts[k] for k in numbers))
+    one, two = [x for n in (0, 1, 2) for x in want[n]], [x for n in (3, 4) for x in want[n]]
+    pairs = [(k, x[0], x[1], y[1]) for k, (x, y) in enumerate(zip(one, two))]
+    for r1, r2 in (("r1", "r2"), ("r1", "r2.fq"), ("r1.fq", "r2"), ("r1.fq", "r2.fq")):
+        found = read_pairs(spark, str(tmp_path / r1), str(tmp_path / r2), split_bytes=997)
+        assert sorted(map(tuple, found.collect())) == pairs
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(sequences, "_RECORDS", 7)
+    assert sorted(map(tuple, read_pairs(spark, str(tmp_path / "r2"), str(tmp_path / "r1")).collect())) == [(k, y[0], y[1], x[1]) for k, (x, y) in enumerate(zip(one, two))]
+    monkeypatch.setattr(readers, "READ_AGAIN", 0)
+    joined = read_pairs(spark, str(tmp_path / "r1"), str(tmp_path / "r2"))
+    assert sorted(map(tuple, joined.collect())) == pairs and "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bases_are_packed(spark):
+    from pyspark.errors import PythonException
+    from pyspark.sql import functions as F
+
+    from ampliflow.functions import dna
+
+    texts = ["", "A", "AC", "AAA", "TTTT", "ACGTA", "C" * 170, "GATTACA" * 30, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").select("k", dna.packed("s").alias("p"))
+    found = rows.select("k", F.length("p").alias("n"), dna.unpacked("p").alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in found] == texts and [r["n"] for r in found] == [None if t is None else len(t) // 4 + 1 for t in texts]
+    with pytest.raises(PythonException, match="invalid DNA: AXN"):
+        spark.createDataFrame([("AXN",)], "s string").select(dna.packed("s")).collect()
