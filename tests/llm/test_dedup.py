@@ -124,6 +124,21 @@ def test_suffix_dedup_repeated_rows_and_empty(spark):
     assert suffix_dedup.op6_query(df.where("doc_id > 5")).collect() == []
 
 
+@pytest.mark.parametrize("hot", (False, True))
+def test_repeated_rows_share_their_spans(spark, monkeypatch, hot):
+    """Rows that share id and text are told of once: with the spans of all of them in each, their size would be the square of their number."""
+    if hot:
+        monkeypatch.setattr(suffix_dedup, "HOT", 10**9)  # every bucket is hot
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(400))
+    rows = [(1, text)] * 3 + [(2, "x" + text)] * 40 + [(None, text + "y")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    starts = [tuple(x) for x in suffix_dedup.repeated_starts(suffix_dedup.keyed(df)).collect()]
+    assert len(starts) == len(set(starts)) and {x[0] for x in starts} == {1, 2}
+    got = suffix_dedup.op6_query(df).collect()
+    assert sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"]) for x in got) == sorted([(1, 400, 400)] * 3 + [(2, 401, 400)] * 40 + [(0, 401, 0)] * 40)
+
+
 def test_suffix_dedup_repeated_rows_of_different_runs(spark):
     r = random.Random(8)
     text = lambda n: " ".join("".join(r.choice("abcde") for _ in range(6)) for _ in range(n))
