@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,17 @@ def test_expansions_vary_leftmost_fastest():
     assert dna.expansions("ACG") == ["ACG"]
 
 
+def test_disambiguation_takes_a_batch_together(spark):
+    """Arrow batches are expanded as they are; the arrays are those of ``expansions``, also of nulls, repeated and odd texts."""
+    texts = ["ARYT", None, "", "ACG", "NNNB", "ARYT", "U-r", "R\u00e9Y\n", None, "N" * 9]
+    wanted = [t if t is None else dna.expansions(t) for t in texts]
+    assert dna.disambiguate.func(pa.array(texts, pa.string())).to_pylist() == wanted
+    assert dna.disambiguate.func(pa.array(texts, pa.string()).slice(1, 4)).to_pylist() == wanted[1:5]
+    assert [dna.disambiguate.func(pa.array(x, pa.string())).to_pylist() for x in ([], [None])] == [[], [None]]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, s string")
+    assert {r.n: r.v for r in df.select("n", dna.disambiguate("s").alias("v")).collect()} == dict(enumerate(wanted))
+
+
 def test_kernels_take_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([("ARC", "AGC"), (None, "A"), ("A", None)], "p string, s string")
     assert [r[0] for r in df.select(dna.mismatches("p", "s")).collect()] == [0, None, None]
