@@ -1,3 +1,5 @@
+import math
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,23 @@ def test_pssm_rows(spark):
     rounded = dna.pssm_rows(df.where("n = 0"), "p", digits=9)
     plan = rounded._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("round(") > plan.index("Generate")  # below it: a rounding for a primer, not for each position
+
+
+def test_pssm_rows_look_a_position_up_once(spark):
+    """A symbol is found by one lookup, codes of a primer are counted in one pass; odd rows keep their scores."""
+    primers = ["ACGTRYSWKMBDHVN", "NNRB", "U", "AuR-N", "R\u00e9A", "234A", "NNRB", "", None]
+    df = spark.createDataFrame(list(enumerate(primers)), "n int, p string")
+    rows = dna.pssm_rows(df, "p", digits=9)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and " IN (" not in plan and " INSET " not in plan
+    bases = {**{b: b for b in "ACGT"}, **dna.IUPAC}
+    wanted = {}
+    for row, p in enumerate(primers):
+        # A symbol outside the alphabet counts as a code of each size, and matches no base.
+        number = math.prod(math.prod((2, 3, 4)) if c not in bases else len(bases[c]) for c in p or "")
+        for k, c in enumerate(p or ""):
+            own = bases.get(c, "")
+            wanted[row, k] = tuple(math.log2(((number / len(own) if b in own else 0) + 0.1) / (number + 0.4) / 0.25) for b in "ACGT")
+    found = {(r.n, r.k): (r.a, r.c, r.g, r.t) for r in rows.collect()}
+    assert found.keys() == wanted.keys()
+    assert all(abs(a - b) < 2e-9 for x in wanted for a, b in zip(found[x], wanted[x]))
