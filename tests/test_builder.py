@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
+from ampliflow.operators import database
 from ampliflow.operators.database import Database, ReferenceBuilder
 from ampliflow.operators.mapper import ReadMapper
 from ampliflow.operators.staging import stage
@@ -39,6 +40,28 @@ def test_build_and_add_is_build(spark, whole, cut):
     assert tables(builder.add(first, references(spark, range(cut, 6)) if cut < 6 else references(spark, range(1)).where("seq_no < 0"))) == whole
 
 
+def test_build_reads_its_tables_once(spark, monkeypatch):
+    """Each step reads a table that was written before it once; odd rows and rows that come twice are counted as often as they are there."""
+    seen = {}
+    monkeypatch.setattr(database, "stage", lambda df, name: seen.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or stage(df, name))
+    sequences = [*REFERENCES, REFERENCES[4], None, "", "NNNN" + REFERENCES[0], REFERENCES[0].replace("T", "U")]
+    rows = [(n // 2, None if n == 2 else f"b{n}", s) for n, s in enumerate(sequences)]  # numbers and references repeat, a name is null
+    db = ReferenceBuilder(spark, PRIMERS, k=6, primer_mismatches=0).build(spark.createDataFrame(rows, "seq_no long, id string, sequence string"))
+    # A numbered table is read with the sizes of its parts.
+    reads = {name: plan.count("Relation [") for name, plan in seen.items()}
+    assert {k: reads[k] for k in ("encoded", "m", "refs", "perfect")} == {"encoded": 2, "m": 2, "refs": 3, "perfect": 3}
+    assert seen["encoded"].count("Join") == 1 and "RepartitionByExpression [j#" in seen["encoded"]  # with the sizes; the ends meet without one
+    kmers = {(r["region"], r["side"], r["kmer"]): r["kmer_id"] for r in db.kmers.collect()}
+    sketches = [r.asDict() for r in db.sketches.collect()]
+    coded = {(r["region"], r["j"], kmers[r["region"], "fwd", r["fwd_kmer"]], kmers[r["region"], "bwd", r["bwd_kmer"]]) for r in sketches}
+    pairs = {(r["region"], r["fwd_id"], r["bwd_id"]): r["h"] for r in db.pairs.collect()}
+    assert set(pairs) == {(region, fwd, bwd) for region, _, fwd, bwd in coded}
+    want = sorted((region, pairs[region, fwd, bwd], j, 1 / sum(c[:2] == (region, j) for c in coded)) for region, j, fwd, bwd in coded)
+    assert sorted((r["region"], r["h"], r["j"], r["x"]) for r in db.m.collect()) == want
+    amplified = {r["j"]: r["amplified"] for r in db.refs.collect()}
+    assert amplified == {j: sum(r["j"] == j for r in sketches) + sum(c[1] == j for c in coded) for j in amplified} and len(amplified) == 8
+
+
 def test_add_one_after_another(spark, whole):
     builder = ReferenceBuilder(spark, PRIMERS, k=6, primer_mismatches=0)
     db = builder.build(references(spark, [0]))
